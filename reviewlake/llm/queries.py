@@ -10,10 +10,16 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .decontaminate import CONTAINED_SQL, contained
+from .mixing import mix
 from .secret_scan import digest, secret_scan
 from .token_counts import token_counts
 
 
+def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars")
+    return mix(docs).select("doc_id", "source", "n_chars", "slot", "offset")
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "item_id", "n_item", "n_found", F.round(F.col("n_found") / F.col("n_item"), 6).alias("containment"))
@@ -30,7 +36,7 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_decontaminate, op3_secret_scan, op4_token_counts)}
+    return {f.__name__: f for f in (op1_mix, op2_decontaminate, op3_secret_scan, op4_token_counts)}
 
 
 def oracle_sql() -> dict[str, str]:
