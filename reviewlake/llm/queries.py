@@ -12,6 +12,7 @@ from .common import table
 from .decontaminate import CONTAINED_SQL, contained
 from .mixing import mix
 from .secret_scan import digest, secret_scan
+from .simhash import hex_print, near_duplicates
 from .token_counts import token_counts
 
 
@@ -35,8 +36,13 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(docs).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", hex_print(F.col("f")).alias("fingerprint"), "component_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix, op2_decontaminate, op3_secret_scan, op4_token_counts)}
+    return {f.__name__: f for f in (op1_mix, op2_decontaminate, op3_secret_scan, op4_token_counts, op7_simhash)}
 
 
 def oracle_sql() -> dict[str, str]:
