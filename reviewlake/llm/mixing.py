@@ -108,7 +108,7 @@ def mix(df: DataFrame, weights: dict[str | None, float] | None = None, source: s
     phases, periods = schedule(blocks, {k: named.get(k, 0.0) for k in blocks}, period)
 
     # Ranges of the hash (equal high bits, so equal signs) within a source: each is sorted by itself, and starts at the cost of those before it.
-    bits = max(4, min(20, math.ceil(math.log2(max(2, max((r["n"] for r in sums), default=0) / ROWS_PER_BUCKET))) + 4))
+    bits = max(10, min(20, math.ceil(math.log2(max(2, max((r["n"] for r in sums), default=0) / ROWS_PER_BUCKET))) + 4))
     df = df.withColumn("_b", F.shiftrightunsigned("_h", 64 - bits).cast("int"))
     each = stored(df.groupBy("_s", "_b").agg(F.sum("_c").alias("_c")))
     before = Window.partitionBy("_s").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
