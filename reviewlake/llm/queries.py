@@ -12,6 +12,7 @@ from .common import table
 from .decontaminate import CONTAINED_SQL, contained
 from .langid import identify
 from .mixing import mix
+from .quality import classify
 from .secret_scan import digest, secret_scan
 from .simhash import hex_print, near_duplicates
 from .token_counts import token_counts
@@ -42,13 +43,18 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", hex_print(F.col("f")).alias("fingerprint"), "component_id")
 
 
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
+    return classify(docs, table(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     return identify(docs).select("doc_id", "held_out", "lang_pred", "score")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix, op2_decontaminate, op3_secret_scan, op4_token_counts, op7_simhash, op10_language)}
+    return {f.__name__: f for f in (op1_mix, op2_decontaminate, op3_secret_scan, op4_token_counts, op7_simhash, op8_quality, op10_language)}
 
 
 def oracle_sql() -> dict[str, str]:
