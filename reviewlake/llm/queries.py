@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .decontaminate import CONTAINED_SQL, contained
+from .html_extract import extract
 from .langid import identify
 from .mixing import mix
 from .quality import classify
@@ -38,6 +39,11 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(docs).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op6_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return extract(pages).select("page_id", "url", "text", "n_chars")
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", hex_print(F.col("f")).alias("fingerprint"), "component_id")
@@ -54,7 +60,7 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix, op2_decontaminate, op3_secret_scan, op4_token_counts, op7_simhash, op8_quality, op10_language)}
+    return {f.__name__: f for f in (op1_mix, op2_decontaminate, op3_secret_scan, op4_token_counts, op6_html_extract, op7_simhash, op8_quality, op10_language)}
 
 
 def oracle_sql() -> dict[str, str]:
