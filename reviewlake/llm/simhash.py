@@ -8,9 +8,11 @@ indices of these are its keys.
 A fingerprint of 64 bits is cut into A and B of 23 bits and R of 18.  Let a pair
 differ in a, b, r bits of them, 4 or fewer in all.
   r = 0:  a or b is at most 2, so R with a key of A, or R with a key of B, agrees.
-  r > 0:  a + b is at most 3.  If a or b is 0, A or B itself agrees; else both
-          are at most 2 and a pair of keys, one of A and one of B, agrees.
+  r > 0:  a + b is at most 3.  If a or b is 0, A or B itself agrees.  Else both
+          are at most 2, and so is r: a key of A, a key of B and one of the
+          three thirds of R agree.
 So every link has a key in common; candidates are then verified on all 64 bits.
+Keys of 23 or 30 bits keep unlinked fingerprints from meeting by chance.
 
 Fingerprints are made distinct first.  A bucket's members are linked to its
 least one (a star), which joins dense groups with one row a member.  What is left
@@ -107,8 +109,9 @@ def keys_of(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         near_b | r[:, None] << 12 | 1 << 32,
         a[:, None] | 2 << 32,
         b[:, None] | 3 << 32,
-        (near_a[:, :, None] << 12 | near_b[:, None, :] | 4 << 32).reshape(len(a), -1),
     ]
+    pairs = (near_a[:, :, None] << 12 | near_b[:, None, :]).reshape(len(a), -1) << 6
+    parts += [pairs | (r >> 6 * i & 63)[:, None] | 4 + i << 32 for i in range(3)]
     keys = np.sort(np.concatenate(parts, axis=1), axis=1)
     fresh = np.ones(keys.shape, bool)
     fresh[:, 1:] = keys[:, 1:] != keys[:, :-1]
