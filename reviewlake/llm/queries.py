@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import stored, table
 from .decontaminate import CONTAINED_SQL, contained
 from .html_extract import extract
 from .langid import identify
@@ -17,6 +17,7 @@ from .quality import classify
 from .secret_scan import digest, secret_scan
 from .simhash import hex_print, near_duplicates
 from .token_counts import token_counts
+from .warc import PAGES_SQL, audit, damaged, page_archive, record_hashes
 
 
 def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,9 +60,18 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(docs).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op9_warc_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages as an archive's records, audited against a replica with planted damage."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    a = stored(page_archive(pages))
+    found = audit(record_hashes(a), record_hashes(page_archive(damaged(pages)))).withColumnRenamed("file", "_file").withColumnRenamed("offset", "_offset")
+    rows = a.select("page_id", "file", "offset", "length", F.sha2(F.col("content").cast("binary"), 256).alias("sha256"))
+    return rows.join(found.select("_file", "_offset", "status"), (F.col("file") == F.col("_file")) & (F.col("offset") == F.col("_offset")), "left").select("page_id", "file", "offset", "length", "sha256", F.coalesce("status", F.lit("intact")).alias("status"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix, op2_decontaminate, op3_secret_scan, op4_token_counts, op6_html_extract, op7_simhash, op8_quality, op10_language)}
+    return {f.__name__: f for f in (op1_mix, op2_decontaminate, op3_secret_scan, op4_token_counts, op6_html_extract, op7_simhash, op8_quality, op9_warc_audit, op10_language)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontaminate": CONTAINED_SQL}
+    return {"op2_decontaminate": CONTAINED_SQL, "op9_warc_audit": PAGES_SQL}
