@@ -27,7 +27,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -134,9 +134,13 @@ def fingerprint_roots(prints: DataFrame, bits: int = 4) -> DataFrame:
     most `bits` (4 at most) differing bits reach; f without links is left out."""
     if not 0 <= bits <= 4:
         raise ValueError("the keys find links of at most 4 bits")
-    keyed = prints.select("f", F.explode(golay_keys("f")).alias("k"))
-    shared = keyed.groupBy("k").agg(F.min("f").alias("rep"), F.max("f").alias("_max")).filter(F.col("rep") != F.col("_max")).drop("_max")
-    many = stored(keyed.join(shared, "k"))
+    # The keys are a hundred times as many as the rows: they are made by all tasks and dealt out once.
+    # The window's functions look at neighbours in sorted order and hold no bucket in memory.
+    spread = prints.select("f").repartition(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    bucket = Window.partitionBy("k").orderBy("f")
+    keyed = spread.select("f", F.explode(golay_keys("f")).alias("k"))
+    keyed = keyed.withColumns({"rep": F.first("f").over(bucket), "_last": F.lag("f").over(bucket), "_next": F.lead("f").over(bucket)})
+    many = stored(keyed.filter(F.col("_last").isNotNull() | F.col("_next").isNotNull()).select("k", "f", "rep"))
     stars = many.filter((F.col("f") != F.col("rep")) & close(F.col("f"), F.col("rep"), bits)).select(F.col("f").alias("a"), F.col("rep").alias("b"))
     first = components(stars)
 
