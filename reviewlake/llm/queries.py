@@ -12,6 +12,7 @@ from .common import stored, table
 from .decontaminate import CONTAINED_SQL, contained
 from .html_extract import extract
 from .langid import identify
+from .media import drawn, image_copies
 from .mixing import mix
 from .quality import classify
 from .secret_scan import digest, secret_scan
@@ -40,6 +41,11 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(docs).select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The vectors as a media column, with edited copies of every 50th planted in it."""
+    return image_copies(drawn(table(spark, sf_dir, "embeddings")))
+
+
 def op6_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     return extract(pages).select("page_id", "url", "text", "n_chars")
@@ -70,7 +76,7 @@ def op9_warc_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_mix, op2_decontaminate, op3_secret_scan, op4_token_counts, op6_html_extract, op7_simhash, op8_quality, op9_warc_audit, op10_language)}
+    return {f.__name__: f for f in (op1_mix, op2_decontaminate, op3_secret_scan, op4_token_counts, op5_media, op6_html_extract, op7_simhash, op8_quality, op9_warc_audit, op10_language)}
 
 
 def oracle_sql() -> dict[str, str]:
