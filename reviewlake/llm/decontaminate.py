@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, text_or_empty
+from .common import packed, stored, text_or_empty
 from .secret_scan import let
 
 #: Broadcast up to so many rows of two longs; beyond, the join shuffles.
@@ -99,7 +99,7 @@ def contained(docs: DataFrame, items: DataFrame, threshold: float = 0.8, n: int
 def clean(docs: DataFrame, items: DataFrame, broadcast_rows: int = BROADCAST_ROWS, **options) -> DataFrame:
     """The documents that contain no item, with their columns as they are."""
     bad = small_side(stored(contained(docs, items, broadcast_rows=broadcast_rows, **options).select("_key").distinct()), broadcast_rows)
-    return docs.withColumn("_key", row_key()).join(bad, "_key", "left_anti").drop("_key")
+    return packed(docs, _key=row_key()).join(bad, "_key", "left_anti").select("row.*")
 
 
 CONTAINED_SQL = r"""

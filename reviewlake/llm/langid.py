@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc_mod, text_or_empty
+from .common import crc_mod, packed, text_or_empty
 
 PAD = 256
 UNKNOWN = "und"
@@ -185,7 +185,7 @@ def sample(df: DataFrame, text: str, lang: str, id_col: str, per_language: int,
         raise ValueError(f"more than {max_languages} languages")
     body = text_or_empty(text)
     cuts = [F.substring(body, F.pmod(F.xxhash64(F.col(id_col), F.lit(i)), F.greatest(F.length(body) - length, F.lit(1))).cast("int") + 1, F.lit(length)) for i in range(pieces)]
-    rows = df.join(F.broadcast(chosen), F.col(id_col).eqNullSafe(F.col("_id")), "left_semi").filter(F.col(lang).isNotNull()).select(F.col(lang), F.explode(F.array_distinct(F.array(*cuts))).alias("s")).filter(F.col("s").rlike(r"\p{L}"))
+    rows = df.select(id_col, lang, text).join(F.broadcast(chosen), F.col(id_col).eqNullSafe(F.col("_id")), "left_semi").filter(F.col(lang).isNotNull()).select(F.col(lang), F.explode(F.array_distinct(F.array(*cuts))).alias("s")).filter(F.col("s").rlike(r"\p{L}"))
     return sorted((r[0], r[1]) for r in rows.collect())
 
 
@@ -240,8 +240,5 @@ def identify(df: DataFrame, text: str = "text", lang: str = "lang", id_col: str
 
 def known_language(df: DataFrame, text: str = "text") -> DataFrame:
     """The rows whose language the model can tell, with their columns as they are."""
-    named = {"held_out": "_held", "lang_pred": "_pred", "score": "_score"}
-    own = [c for c in df.columns if c not in named]
-    hidden = [(c, f"_own_{c}") for c in df.columns if c in named]
-    safe = df.select(*own, *(F.col(c).alias(x) for c, x in hidden))
-    return identify(safe, text).filter(F.col("lang_pred") != UNKNOWN).select(*(F.col(dict(hidden).get(c, c)).alias(c) for c in df.columns))
+    rows = packed(df, doc_id=F.col("doc_id"), text=F.col(text), lang=F.col("lang"))
+    return identify(rows).filter(F.col("lang_pred") != UNKNOWN).select("row.*")

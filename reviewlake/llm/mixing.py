@@ -20,7 +20,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import packed, stored
 
 #: Rows of one source that one sorting task gets, about.
 ROWS_PER_BUCKET = 50_000
@@ -99,7 +99,8 @@ def mix(df: DataFrame, weights: dict[str | None, float] | None = None, source: s
     gives an empty result.
     """
     unit = F.lit(1).cast("long") if cost is None else F.greatest(F.coalesce(F.col(cost).cast("long"), F.lit(0)), F.lit(0)).cast("long")
-    df = df.withColumns({"_s": source_key(F.col(source)), "_c": unit, "_h": F.xxhash64(F.col(id_col), F.lit(seed))})
+    own = [c for c in df.columns if c not in ("slot", "offset")]
+    df = packed(df.select(*own), _s=source_key(F.col(source)), _c=unit, _h=F.xxhash64(F.col(id_col), F.lit(seed)))
     sums = df.groupBy("_s").agg(F.sum("_c").alias("c"), F.count(F.lit(1)).alias("n")).limit(max_sources + 1).collect()
     if len(sums) > max_sources:
         raise ValueError(f"more than {max_sources} sources")
@@ -113,7 +114,7 @@ def mix(df: DataFrame, weights: dict[str | None, float] | None = None, source: s
     each = stored(df.groupBy("_s", "_b").agg(F.sum("_c").alias("_c")))
     before = Window.partitionBy("_s").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     starts = each.select("_s", "_b", F.coalesce(F.sum("_c").over(before), F.lit(0)).alias("_start"))
-    inside = Window.partitionBy("_s", "_b").orderBy("_h", id_col, "_c").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("_s", "_b").orderBy("_h", F.col("row").getField(id_col), "_c").rowsBetween(Window.unboundedPreceding, -1)
     placed = df.withColumn("_in", F.coalesce(F.sum("_c").over(inside), F.lit(0))).join(starts, ["_s", "_b"]).withColumn("_at", F.col("_start") + F.col("_in"))
 
     spark = df.sparkSession
@@ -127,5 +128,4 @@ def mix(df: DataFrame, weights: dict[str | None, float] | None = None, source: s
     placed = placed.withColumn("_i", F.col("_j") - F.col("_first")).withColumn("_k", F.col("_i") % F.col("_a"))
     placed = placed.join(F.broadcast(places), ["_s", "_p", "_k"])
     slot = F.col("_base") + F.floor(F.col("_i") / F.col("_a")) * F.col("_w") + F.col("_slot")
-    own = [c for c in df.columns if c not in ("_s", "_c", "_h", "_b")]
-    return placed.select(*(c for c in own if c not in ("slot", "offset")), slot.cast("long").alias("slot"), (F.col("_at") - F.col("_j") * block).cast("long").alias("offset"))
+    return placed.select("row.*", slot.cast("long").alias("slot"), (F.col("_at") - F.col("_j") * block).cast("long").alias("offset"))

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, text_or_empty
+from .common import packed, stored, text_or_empty
 
 #: The kinds in their order, their patterns, the group that holds
 #: the value, and the least length of that group.
@@ -171,5 +171,8 @@ def redact_live(df: DataFrame, text: str = "text", **options) -> DataFrame:
     found = secret_scan(df.select("doc_id", "source", text, key.alias("_key")), text, **options)
     live = found.select("_key", F.filter("spans", lambda x: ~x["example"]).alias("_live")).filter(F.size("_live") > 0).dropDuplicates(["_key"])
     hit = F.col("_live").isNotNull()
-    out = df.withColumn("_key", key).join(live, "_key", "left").withColumn("_new", F.when(hit, redact(F.col(text), F.col("_live"))).otherwise(F.col(text)))
-    return out.select(*(F.col("_new").alias(c) if c == text else F.when(hit, F.length("_new")).otherwise(F.col(c)).cast(df.schema[c].dataType).alias(c) if c == "n_chars" else F.col(c) for c in df.columns))
+    old = F.col("row").getField(text)
+    out = packed(df, _key=key).join(live, "_key", "left").withColumn("_new", F.when(hit, redact(old, F.col("_live"))).otherwise(old))
+    size = lambda c: F.when(hit, F.length("_new")).otherwise(c).cast(df.schema["n_chars"].dataType)
+    own = {c: F.col("row").getField(c) for c in df.columns}
+    return out.select(*(F.col("_new").alias(c) if c == text else size(x).alias(c) if c == "n_chars" else x.alias(c) for c, x in own.items()))

@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, stored
+from .common import cut, packed, stored
 from .components import components
 from .decontaminate import row_key
 
@@ -179,7 +179,7 @@ def one_each(df: DataFrame, text: str = "text", id_col: str = "doc_id", bits: in
     found = near_duplicates(df, text, id_col, bits)
     # Nulls sort first, so a null id is taken only where there is nothing else.
     keep = found.groupBy("component_id").agg(F.min(F.struct(F.col(id_col).isNull().alias("none"), id_col, "_key")).alias("x")).select(F.col("x._key").alias("_key"))
-    return df.withColumn("_key", row_key(id_col, text)).join(keep, "_key", "left_semi").dropDuplicates(["_key"]).drop("_key")
+    return packed(df, _key=row_key(id_col, text)).join(keep, "_key", "left_semi").dropDuplicates(["_key"]).select("row.*")
 
 
 def hex_print(f: Column) -> Column:
