@@ -144,7 +144,7 @@ def train(parts: list[bytes], labels: list[int], classes: int, hidden: int = 8,
 
 
 class Model:
-    """What is broadcast: weights, languages and the length of a segment."""
+    """Weights, languages and the length of a segment."""
 
     def __init__(self, weights: dict[str, np.ndarray], languages: list[str], length: int):
         self.weights, self.languages, self.length = weights, languages, length
@@ -208,12 +208,12 @@ def predict(df: DataFrame, model: Model, text: str = "text", rows: int = 512) ->
     texts without a letter get `und` and 0, as does everything if there was
     nothing to learn from.
     """
-    shared = df.sparkSession.sparkContext.broadcast(model)
+    shared = df.sparkSession.sparkContext.broadcast((model.weights, model.languages, model.length))
     kind = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
 
     @F.arrow_udf(kind)
     def label(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        m = shared.value
+        m = Model(*shared.value)
         for batch in batches:
             names, scores = [], []
             for i in range(0, len(batch), rows):

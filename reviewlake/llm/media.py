@@ -20,7 +20,6 @@ from __future__ import annotations
 import struct
 import zlib
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -142,8 +141,7 @@ def _resized(x: np.ndarray, scale: float) -> np.ndarray:
     return top * (1 - fy) + low * fy
 
 
-@cache
-def tests() -> np.ndarray:
+def _tests() -> np.ndarray:
     """Offsets (turn, test, end, xy) of the binary tests, from a fixed draw."""
     rng = np.random.default_rng(256)
     ends = np.clip(rng.normal(0, RADIUS / 2, (256, 2, 2)), -RADIUS + 1, RADIUS - 1)
@@ -154,6 +152,9 @@ def tests() -> np.ndarray:
     return np.clip(np.rint(np.stack([x, y], axis=-1)), -RADIUS, RADIUS).astype(np.int64)
 
 
+_TESTS = _tests()
+
+
 def corners(images: np.ndarray, most: int) -> tuple[np.ndarray, ...]:
     """Up to `most` corners on each scale of each of (image, height, width):
     image number, x, y (of the full image), turn, scale number, descriptor words."""
@@ -188,7 +189,7 @@ def corners(images: np.ndarray, most: int) -> tuple[np.ndarray, ...]:
         angle = np.arctan2((patch * r[:, None]).sum(axis=(1, 2)), (patch * r).sum(axis=(1, 2)))
         turn = np.rint(angle * TURNS / 2 / np.pi).astype(np.int64) % TURNS
         smooth = _box(x, 1)
-        place = tests()[turn]
+        place = _TESTS[turn]
         seen = smooth[owner[:, None, None], yy[:, None, None] + place[..., 1], xx[:, None, None] + place[..., 0]]
         bits = seen[..., 0] < seen[..., 1]
         words = np.packbits(bits, axis=1, bitorder="little").view("<u4").astype(np.int64)

@@ -23,7 +23,7 @@ only against the members outside the bucket's largest component.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -77,12 +77,9 @@ def syndrome(words: np.ndarray) -> np.ndarray:
     return rest
 
 
-@cache
-def nearby() -> tuple[np.ndarray, np.ndarray]:
+def _nearby() -> tuple[np.ndarray, np.ndarray]:
     """For each syndrome, the message parts of all error patterns of weight 4 or
     less that have it (rows of 6, the first repeated to fill), and how many."""
-    from itertools import combinations
-
     patterns = np.array([sum(1 << i for i in c) for w in range(5) for c in combinations(range(23), w)], np.int64)
     at = syndrome(patterns)
     lists: list[list[int]] = [[] for _ in range(2048)]
@@ -92,9 +89,13 @@ def nearby() -> tuple[np.ndarray, np.ndarray]:
     return np.array([x + x[:1] * (6 - len(x)) for x in lists], np.int64), count
 
 
+#: Made once; it travels with the functions that use it.
+_NEARBY = _nearby()
+
+
 def codewords(words: np.ndarray) -> np.ndarray:
     """Indices of the codewords near 23-bit words, 6 columns; repeats fill a row."""
-    return (words >> 11)[:, None] ^ nearby()[0][syndrome(words)]
+    return (words >> 11)[:, None] ^ _NEARBY[0][syndrome(words)]
 
 
 def keys_of(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -5,7 +5,7 @@ import numpy as np
 import xxhash
 
 from reviewlake.llm.components import components
-from reviewlake.llm.simhash import codewords, fingerprint, fingerprint_roots, keys_of, near_duplicates, nearby, one_each
+from reviewlake.llm.simhash import _NEARBY, codewords, fingerprint, fingerprint_roots, keys_of, near_duplicates, one_each
 
 
 def plain(text):
@@ -43,7 +43,7 @@ def test_fingerprints():
 
 def test_the_code_is_perfect():
     """Each syndrome has one pattern of weight 3 or less; two words within 2 share a codeword."""
-    _, count = nearby()
+    _, count = _NEARBY
     assert sorted(set(count.tolist())) == [1, 6] and (count == 1).sum() == 1 + 23 + 253
     rng = random.Random(1)
     for _ in range(500):
