@@ -4,13 +4,13 @@ normalised binary tests, Hamming-table joins and geometric consensus.
 Images with the same pixels are one class first.  In each class's grey image,
 corners (Harris) are found on three scales; each has an orientation from its
 patch's intensity centroid and a descriptor of 256 comparisons of smoothed pixels
-at positions turned by that orientation.  A descriptor is cut into eight words of
-32 bits, the keys of eight tables: two descriptors within 7 differing bits share
-at least one, those further apart often do.  Corners that share a key and differ
+at positions turned by that orientation.  Six stretches of 42 bits of a descriptor
+are the keys of six tables: two descriptors within 5 differing bits share at
+least one, those further apart often do.  Corners that share a key and differ
 in few enough bits vote for a similarity transform (turn, scale and shift); a
 pair of classes is linked if enough corners agree on one.  Links make components.
 
-A bucket of a table with many classes is cut again by its next word; what is
+A bucket of a table with many classes is cut again by the next key; what is
 still large then is compared with its first class instead of all pairs, so no
 bucket costs its square, and classes without a corner fall back to equal pixels.
 """
@@ -35,6 +35,7 @@ RADIUS = 7
 TURNS = 32
 #: Corners match up to so many differing bits; buckets above LARGE are cut again.
 MOST_BITS, LARGE = 36, 64
+KEYS, KEY_BITS = 6, 42
 PNG = b"\x89PNG\r\n\x1a\n"
 
 
@@ -157,7 +158,8 @@ _TESTS = _tests()
 
 def corners(images: np.ndarray, most: int) -> tuple[np.ndarray, ...]:
     """Up to `most` corners on each scale of each of (image, height, width):
-    image number, x, y (of the full image), turn, scale number, descriptor words."""
+    image number, x, y (of the full image), turn, scale number, descriptor (four
+    words of 64 bits) and keys."""
     found: list[list[np.ndarray]] = []
     for k, scale in enumerate(SCALES):
         x = _resized(images, scale)
@@ -192,15 +194,16 @@ def corners(images: np.ndarray, most: int) -> tuple[np.ndarray, ...]:
         place = _TESTS[turn]
         seen = smooth[owner[:, None, None], yy[:, None, None] + place[..., 1], xx[:, None, None] + place[..., 0]]
         bits = seen[..., 0] < seen[..., 1]
-        words = np.packbits(bits, axis=1, bitorder="little").view("<u4").astype(np.int64)
-        found.append([owner, (xx + 0.5) / scale, (yy + 0.5) / scale, turn, np.full(len(owner), k), words])
+        words = np.packbits(bits, axis=1, bitorder="little").view("<i8")
+        keys = bits[:, : KEYS * KEY_BITS].reshape(-1, KEYS, KEY_BITS).astype(np.int64) @ (1 << np.arange(KEY_BITS, dtype=np.int64))
+        found.append([owner, (xx + 0.5) / scale, (yy + 0.5) / scale, turn, np.full(len(owner), k), words, keys])
     if not found:
         none = np.zeros(0, np.int64)
-        return none, none, none, none, none, np.zeros((0, 8), np.int64)
+        return none, none, none, none, none, np.zeros((0, 4), np.int64), np.zeros((0, KEYS), np.int64)
     return tuple(np.concatenate(parts) for parts in zip(*found))
 
 
-CORNER = T.StructType([T.StructField("x", T.FloatType()), T.StructField("y", T.FloatType()), T.StructField("turn", T.IntegerType()), T.StructField("scale", T.IntegerType()), T.StructField("words", T.ArrayType(T.LongType()))])
+CORNER = T.StructType([T.StructField("x", T.FloatType()), T.StructField("y", T.FloatType()), T.StructField("turn", T.IntegerType()), T.StructField("scale", T.IntegerType()), T.StructField("words", T.ArrayType(T.LongType())), T.StructField("keys", T.ArrayType(T.LongType()))])
 
 
 def described(df: DataFrame, image: str, most: int) -> DataFrame:
@@ -218,15 +221,15 @@ def described(df: DataFrame, image: str, most: int) -> DataFrame:
                         out[i] = []
                         shapes.setdefault(grey.shape, []).append((i, grey))
                 for own in shapes.values():
-                    for n, x, y, turn, scale, words in zip(*(v.tolist() for v in corners(np.stack([g for _, g in own]), most))):
-                        out[own[n][0]].append({"x": x, "y": y, "turn": turn, "scale": scale, "words": words})
-            yield pa.array(out, pa.list_(pa.struct([("x", pa.float32()), ("y", pa.float32()), ("turn", pa.int32()), ("scale", pa.int32()), ("words", pa.list_(pa.int64()))])))
+                    for n, x, y, turn, scale, words, keys in zip(*(v.tolist() for v in corners(np.stack([g for _, g in own]), most))):
+                        out[own[n][0]].append({"x": x, "y": y, "turn": turn, "scale": scale, "words": words, "keys": keys})
+            yield pa.array(out, pa.list_(pa.struct([("x", pa.float32()), ("y", pa.float32()), ("turn", pa.int32()), ("scale", pa.int32()), ("words", pa.list_(pa.int64())), ("keys", pa.list_(pa.int64()))])))
 
     return df.withColumn("corners", find(F.col(image)))
 
 
 def _distance(a: Column, b: Column) -> Column:
-    return sum((F.bit_count(a[i].bitwiseXOR(b[i])) for i in range(8)), F.lit(0))
+    return sum((F.bit_count(a[i].bitwiseXOR(b[i])) for i in range(4)), F.lit(0))
 
 
 def _pairs(buckets: DataFrame, key: list[str]) -> DataFrame:
@@ -237,12 +240,12 @@ def _pairs(buckets: DataFrame, key: list[str]) -> DataFrame:
 
 
 def matches(each: DataFrame, large: int = LARGE) -> DataFrame:
-    """Pairs of near corners of two classes, from each(c, n, words, t), a row a corner."""
+    """Pairs of near corners of two classes, from each(c, n, words, keys, t), a row a corner."""
     bucket = Window.partitionBy("k")
-    keyed = each.select("c", "n", F.posexplode("words").alias("i", "w")).select("c", "n", F.shiftleft(F.col("i").cast("long"), 32).bitwiseOR(F.col("w")).alias("k"))
+    keyed = each.select("c", "n", F.posexplode("keys").alias("i", "w")).select("c", "n", F.shiftleft(F.col("i").cast("long"), KEY_BITS).bitwiseOR(F.col("w")).alias("k"))
     keyed = keyed.withColumns({"lo": F.min("c").over(bucket), "hi": F.max("c").over(bucket), "size": F.count(F.lit(1)).over(bucket)})
     shared = stored(keyed.filter(F.col("lo") != F.col("hi")).select("k", "c", "n", "size"))
-    held = stored(shared.join(each, ["c", "n"]).withColumn("w2", F.col("words")[(F.shiftright("k", 32) + 1).cast("int") % 8]))
+    held = stored(shared.join(each, ["c", "n"]).withColumn("w2", F.col("keys")[(F.shiftright("k", KEY_BITS) + 1).cast("int") % KEYS]).drop("keys"))
     small = _pairs(held.filter(F.col("size") <= large), ["k"])
     big = held.filter(F.col("size") > large).drop("size")
     two = big.groupBy("k", "w2").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("c", "n", "words", "t")).alias("first"))
@@ -286,7 +289,7 @@ def image_copies(df: DataFrame, image: str = "image", id_col: str = "id", most:
     rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(image), F.lit(b"")).alias("image")).withColumn("sha", F.sha2("image", 256))
     classes = stored(rows.groupBy("sha").agg(F.min("id").alias("class_id"), F.first("image").alias("image")).withColumn("c", F.xxhash64("sha")))
     seen = stored(described(classes.select("c", "image"), "image", most).select("c", "corners"))
-    each = seen.select("c", F.posexplode("corners").alias("n", "k")).select("c", "n", "k.words", F.struct("k.x", "k.y", "k.turn", "k.scale").alias("t"))
+    each = seen.select("c", F.posexplode("corners").alias("n", "k")).select("c", "n", "k.words", "k.keys", F.struct("k.x", "k.y", "k.turn", "k.scale").alias("t"))
     links = cut(consensus(matches(each), least).select("a", "b"))
     both = links.unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     degree = both.groupBy(F.col("a").alias("c")).agg(F.count(F.lit(1)).alias("n_links"))

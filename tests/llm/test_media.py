@@ -39,10 +39,10 @@ def test_copies_are_found_and_others_left_alone(spark):
 
 
 def test_large_buckets_keep_their_links(spark):
-    words = [int(w) for w in RNG.integers(0, 1 << 32, 8)]
+    words, keys = ([int(w) for w in RNG.integers(0, 1 << 40, n)] for n in (4, 6))
     t = (1.0, 2.0, 0, 0)
-    rows = [(c, 0, words, t) for c in range(10)] + [(99, 0, [w ^ 0xFFFFFFFF for w in words], t)]
-    each = spark.createDataFrame(rows, "c long, n int, words array<long>, t struct<x:float,y:float,turn:int,scale:int>")
+    rows = [(c, 0, words, keys, t) for c in range(10)] + [(99, 0, [w ^ 0xFFFFFFFF for w in words], [k + 1 for k in keys], t)]
+    each = spark.createDataFrame(rows, "c long, n int, words array<long>, keys array<long>, t struct<x:float,y:float,turn:int,scale:int>")
     assert {(r["a"], r["b"]) for r in matches(each).collect()} == {(a, b) for a in range(10) for b in range(a + 1, 10)}
     assert {(r["a"], r["b"]) for r in matches(each, large=4).collect()} == {(0, b) for b in range(1, 10)}
 
