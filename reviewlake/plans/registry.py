@@ -30,5 +30,5 @@ def oracle_sql() -> dict[str, str]:
     return dict(ORACLES)
 
 
-def FLAGSHIP(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+#: The query that entry() runs; set where it is registered.
+FLAGSHIP: Query | None = None
