@@ -10,9 +10,11 @@ least one, those further apart often do.  Corners that share a key and differ
 in few enough bits vote for a similarity transform (turn, scale and shift); a
 pair of classes is linked if enough corners agree on one.  Links make components.
 
-A bucket of a table with many classes is cut again by the next key; what is
-still large then is compared with its first class instead of all pairs, so no
-bucket costs its square, and classes without a corner fall back to equal pixels.
+Each bucket's members are first paired with its first class only (a star), which
+joins dense groups of copies with a pair a member.  Then members of different
+components in one bucket are compared, those outside its largest component with
+all others.  A large bucket is cut again by the next key for that; a part that
+stays large has had its star and its members' other buckets.
 """
 
 from __future__ import annotations
@@ -158,8 +160,8 @@ _TESTS = _tests()
 
 def corners(images: np.ndarray, most: int) -> tuple[np.ndarray, ...]:
     """Up to `most` corners on each scale of each of (image, height, width):
-    image number, x, y (of the full image), turn, scale number, descriptor (four
-    words of 64 bits) and keys."""
+    image number, x, y (of the full image), turn, scale number, the four
+    words of the descriptor."""
     found: list[list[np.ndarray]] = []
     for k, scale in enumerate(SCALES):
         x = _resized(images, scale)
@@ -195,15 +197,14 @@ def corners(images: np.ndarray, most: int) -> tuple[np.ndarray, ...]:
         seen = smooth[owner[:, None, None], yy[:, None, None] + place[..., 1], xx[:, None, None] + place[..., 0]]
         bits = seen[..., 0] < seen[..., 1]
         words = np.packbits(bits, axis=1, bitorder="little").view("<i8")
-        keys = bits[:, : KEYS * KEY_BITS].reshape(-1, KEYS, KEY_BITS).astype(np.int64) @ (1 << np.arange(KEY_BITS, dtype=np.int64))
-        found.append([owner, (xx + 0.5) / scale, (yy + 0.5) / scale, turn, np.full(len(owner), k), words, keys])
+        found.append([owner, (xx + 0.5) / scale, (yy + 0.5) / scale, turn, np.full(len(owner), k), words])
     if not found:
         none = np.zeros(0, np.int64)
-        return none, none, none, none, none, np.zeros((0, 4), np.int64), np.zeros((0, KEYS), np.int64)
+        return none, none, none, none, none, np.zeros((0, 4), np.int64)
     return tuple(np.concatenate(parts) for parts in zip(*found))
 
 
-CORNER = T.StructType([T.StructField("x", T.FloatType()), T.StructField("y", T.FloatType()), T.StructField("turn", T.IntegerType()), T.StructField("scale", T.IntegerType()), T.StructField("words", T.ArrayType(T.LongType())), T.StructField("keys", T.ArrayType(T.LongType()))])
+CORNER = T.StructType([T.StructField("x", T.FloatType()), T.StructField("y", T.FloatType()), T.StructField("turn", T.IntegerType()), T.StructField("scale", T.IntegerType()), T.StructField("words", T.ArrayType(T.LongType()))])
 
 
 def described(df: DataFrame, image: str, most: int) -> DataFrame:
@@ -221,9 +222,9 @@ def described(df: DataFrame, image: str, most: int) -> DataFrame:
                         out[i] = []
                         shapes.setdefault(grey.shape, []).append((i, grey))
                 for own in shapes.values():
-                    for n, x, y, turn, scale, words, keys in zip(*(v.tolist() for v in corners(np.stack([g for _, g in own]), most))):
-                        out[own[n][0]].append({"x": x, "y": y, "turn": turn, "scale": scale, "words": words, "keys": keys})
-            yield pa.array(out, pa.list_(pa.struct([("x", pa.float32()), ("y", pa.float32()), ("turn", pa.int32()), ("scale", pa.int32()), ("words", pa.list_(pa.int64())), ("keys", pa.list_(pa.int64()))])))
+                    for n, x, y, turn, scale, words in zip(*(v.tolist() for v in corners(np.stack([g for _, g in own]), most))):
+                        out[own[n][0]].append({"x": x, "y": y, "turn": turn, "scale": scale, "words": words})
+            yield pa.array(out, pa.list_(pa.struct([("x", pa.float32()), ("y", pa.float32()), ("turn", pa.int32()), ("scale", pa.int32()), ("words", pa.list_(pa.int64()))])))
 
     return df.withColumn("corners", find(F.col(image)))
 
@@ -232,29 +233,31 @@ def _distance(a: Column, b: Column) -> Column:
     return sum((F.bit_count(a[i].bitwiseXOR(b[i])) for i in range(4)), F.lit(0))
 
 
-def _pairs(buckets: DataFrame, key: list[str]) -> DataFrame:
-    """(a, an, b, bn), corner an of class a beside corner bn of class b > a, for all in one bucket."""
-    right = buckets.select(*(F.col(k).alias(f"_{k}") for k in key), F.col("c").alias("b"), F.col("n").alias("bn"), F.col("words").alias("bw"), F.col("t").alias("bt"))
-    on = [F.col(k) == F.col(f"_{k}") for k in key]
-    return buckets.join(right, [*on, F.col("c") < F.col("b"), _distance(F.col("words"), F.col("bw")) <= MOST_BITS]).select(F.col("c").alias("a"), F.col("n").alias("an"), F.col("t").alias("at"), "b", "bn", "bt")
+def table_keys(words: Column) -> Column:
+    """The keys of a descriptor: its stretches, with the table's number above."""
+    out = []
+    for i in range(KEYS):
+        j, off = divmod(i * KEY_BITS, 64)
+        bits = F.shiftrightunsigned(words[j], off)
+        if off + KEY_BITS > 64:
+            bits = bits.bitwiseOR(F.shiftleft(words[j + 1], 64 - off))
+        out.append(bits.bitwiseAND(F.lit((1 << KEY_BITS) - 1)).bitwiseOR(F.lit(i << KEY_BITS)))
+    return F.array(*out)
 
 
-def matches(each: DataFrame, large: int = LARGE) -> DataFrame:
-    """Pairs of near corners of two classes, from each(c, n, words, keys, t), a row a corner."""
-    bucket = Window.partitionBy("k")
-    keyed = each.select("c", "n", F.posexplode("keys").alias("i", "w")).select("c", "n", F.shiftleft(F.col("i").cast("long"), KEY_BITS).bitwiseOR(F.col("w")).alias("k"))
-    keyed = keyed.withColumns({"lo": F.min("c").over(bucket), "hi": F.max("c").over(bucket), "size": F.count(F.lit(1)).over(bucket)})
-    shared = stored(keyed.filter(F.col("lo") != F.col("hi")).select("k", "c", "n", "size"))
-    held = stored(shared.join(each, ["c", "n"]).withColumn("w2", F.col("keys")[(F.shiftright("k", KEY_BITS) + 1).cast("int") % KEYS]).drop("keys"))
-    small = _pairs(held.filter(F.col("size") <= large), ["k"])
-    big = held.filter(F.col("size") > large).drop("size")
-    two = big.groupBy("k", "w2").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("c", "n", "words", "t")).alias("first"))
-    big = stored(big.join(two, ["k", "w2"]))
-    medium = _pairs(big.filter(F.col("size") <= large), ["k", "w2"])
-    # Still large: a star around its first corner.
-    far = (F.col("first.c") < F.col("c")) & (_distance(F.col("words"), F.col("first.words")) <= MOST_BITS)
-    star = big.filter((F.col("size") > large) & far).select(F.col("first.c").alias("a"), F.col("first.n").alias("an"), F.col("first.t").alias("at"), F.col("c").alias("b"), F.col("n").alias("bn"), F.col("t").alias("bt"))
-    return small.unionAll(medium).unionAll(star).distinct()
+def _with_corner(pairs: DataFrame, each: DataFrame, side: str) -> DataFrame:
+    own = each.select(F.col("c").alias(side), F.col("n").alias(f"{side}n"), F.col("words").alias(f"{side}w"), F.col("t").alias(f"{side}t"))
+    return pairs.join(own, [side, f"{side}n"])
+
+
+def verified(pairs: DataFrame, each: DataFrame, least: int) -> DataFrame:
+    """(a, b) of pairs(a, an, b, bn), corners of two classes with a key in common,
+    by distance and consensus.  Classes with fewer than `least` such corners on
+    either side can't agree on as many places and go before corners are read."""
+    enough = pairs.groupBy("a", "b").agg(F.size(F.collect_set("an")).alias("x"), F.size(F.collect_set("bn")).alias("y")).filter((F.col("x") >= least) & (F.col("y") >= least))
+    kept = pairs.join(enough.select("a", "b"), ["a", "b"], "left_semi")
+    near = _with_corner(_with_corner(kept, each, "a"), each, "b").filter(_distance(F.col("aw"), F.col("bw")) <= MOST_BITS)
+    return consensus(near, least).select("a", "b")
 
 
 def consensus(found: DataFrame, least: int, bin_size: float = 12.0) -> DataFrame:
@@ -272,34 +275,66 @@ def consensus(found: DataFrame, least: int, bin_size: float = 12.0) -> DataFrame
     dx = F.col("bt.x") - F.pow(ratio, -1) * (F.col("at.x") * F.cos(angle) - F.col("at.y") * F.sin(angle))
     dy = F.col("bt.y") - F.pow(ratio, -1) * (F.col("at.x") * F.sin(angle) + F.col("at.y") * F.cos(angle))
     half = F.explode(F.array(*(F.struct(F.floor(dx / bin_size + i / 2).alias("x"), F.floor(dy / bin_size + j / 2).alias("y"), F.lit(2 * i + j).alias("k")) for i in (0, 1) for j in (0, 1))))
-    votes = found.select("a", "b", place("at").alias("an"), place("bt").alias("bn"), scale.alias("s"), F.floor(turn / 2).alias("r"), half.alias("at"))
-    counted = votes.groupBy("a", "b", "s", "r", "at").agg(F.count_distinct("an").alias("m"), F.count_distinct("bn").alias("n"))
+    votes = found.select("a", "b", place("at").alias("an"), place("bt").alias("bn"), scale.alias("s"), F.floor(turn / 2).alias("r"), half.alias("bin"))
+    counted = votes.groupBy("a", "b", "s", "r", "bin").agg(F.size(F.collect_set("an")).alias("m"), F.size(F.collect_set("bn")).alias("n"))
     return counted.groupBy("a", "b").agg(F.max(F.least("m", "n")).alias("votes")).filter(F.col("votes") >= least)
 
 
+def _across(members: DataFrame, key: list[str]) -> DataFrame:
+    """Corners (a, an, at, b, bn, bt) near each other in one bucket but of
+    different components, one of them outside the bucket's largest."""
+    few = members.filter(F.col("r") != F.col("most")).select(*(F.col(k).alias(f"_{k}") for k in key), F.col("r").alias("r1"), F.col("words").alias("w1"), F.struct("c", "n", "t").alias("p"))
+    other = (F.col("r") != F.col("r1")) & ((F.col("r") == F.col("most")) | (F.col("r1") < F.col("r")))
+    got = few.join(members.withColumn("q", F.struct("c", "n", "t")), [*(F.col(k) == F.col(f"_{k}") for k in key), other, _distance(F.col("w1"), F.col("words")) <= MOST_BITS])
+    a, b = F.least("p", "q"), F.greatest("p", "q")
+    return got.select(a["c"].alias("a"), a["n"].alias("an"), a["t"].alias("at"), b["c"].alias("b"), b["n"].alias("bn"), b["t"].alias("bt"))
+
+
+def class_roots(each: DataFrame, least: int, large: int = LARGE) -> DataFrame:
+    """(c, root) for the classes of each(c, n, words, t), a row a corner, that
+    hang together; those without a link are left out."""
+    bucket = Window.partitionBy("k")
+    keyed = each.select("c", "n", F.explode(table_keys(F.col("words"))).alias("k"))
+    keyed = keyed.withColumns({"lo": F.min(F.struct("c", "n")).over(bucket), "hi": F.max("c").over(bucket)})
+    shared = stored(keyed.filter(F.col("lo.c") != F.col("hi")).select("k", "c", "n", F.col("lo.c").alias("a"), F.col("lo.n").alias("an")))
+    star = shared.filter(F.col("c") != F.col("a")).select("a", "an", F.col("c").alias("b"), F.col("n").alias("bn")).distinct()
+    first = components(verified(star, each, least))
+
+    named = shared.select("k", "c", "n").join(first.withColumnRenamed("node", "c"), "c", "left").withColumn("r", F.coalesce("root", "c")).drop("root")
+    sizes = named.groupBy("k", "r").agg(F.count(F.lit(1)).alias("m"))
+    mixed = sizes.groupBy("k").agg(F.count(F.lit(1)).alias("_r"), F.sum("m").alias("size"), F.max_by("r", F.struct("m", "r")).alias("most")).filter(F.col("_r") > 1).drop("_r")
+    members = stored(named.join(mixed, "k").join(each, ["c", "n"]))
+    small = _across(members.filter(F.col("size") <= large), ["k"])
+    # A large bucket is cut again by the next key; parts that stay large have had their star.
+    again = members.filter(F.col("size") > large).withColumn("k2", table_keys(F.col("words"))[(F.shiftright("k", KEY_BITS) + 1).cast("int") % KEYS])
+    parts = again.groupBy("k", "k2").agg(F.count(F.lit(1)).alias("part"))
+    split = _across(again.join(parts, ["k", "k2"]).filter(F.col("part") <= large), ["k", "k2"])
+    links = consensus(small.unionAll(split).distinct(), least).select("a", "b")
+    up = first.select(F.col("node").alias("c"), "root")
+    edges = links.join(up.withColumnsRenamed({"c": "a", "root": "ra"}), "a", "left").join(up.withColumnsRenamed({"c": "b", "root": "rb"}), "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
+    second = cut(components(edges)).select(F.col("node").alias("c"), F.col("root").alias("top"))
+    lifted = up.join(second.withColumnRenamed("c", "root"), "root", "left").select("c", F.coalesce("top", "root").alias("root"))
+    return lifted.unionAll(second.join(up.select("c"), "c", "left_anti").withColumnRenamed("top", "root"))
+
+
 def image_copies(df: DataFrame, image: str = "image", id_col: str = "id", most: int = 12, least: int = 5) -> DataFrame:
-    """(id, class_id, n_corners, n_links, component_id) for each row of df.
+    """(id, class_id, n_corners, component_id) for each row of df.
 
-    class_id is the least id with the same bytes; n_links counts the other
-    classes that share enough geometry with the row's class; component_id is the
-    least id reachable over links.  Null, empty and undecodable images are
-    classed by their bytes (null as empty) and have 0 corners and no link.
-    Repeated rows are kept; null ids count only where a class has no other.
+    class_id is the least id with the same bytes; component_id the least id
+    reachable over links, pairs of classes that share enough geometry.  Null,
+    empty and undecodable images are classed by their bytes (null as empty) and
+    have 0 corners and no link.  Repeated rows are kept; null ids count only
+    where a class has no other.
     """
     rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(image), F.lit(b"")).alias("image")).withColumn("sha", F.sha2("image", 256))
-    classes = stored(rows.groupBy("sha").agg(F.min("id").alias("class_id"), F.first("image").alias("image")).withColumn("c", F.xxhash64("sha")))
-    seen = stored(described(classes.select("c", "image"), "image", most).select("c", "corners"))
-    each = seen.select("c", F.posexplode("corners").alias("n", "k")).select("c", "n", "k.words", "k.keys", F.struct("k.x", "k.y", "k.turn", "k.scale").alias("t"))
-    links = cut(consensus(matches(each), least).select("a", "b"))
-    both = links.unionAll(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    degree = both.groupBy(F.col("a").alias("c")).agg(F.count(F.lit(1)).alias("n_links"))
-    roots = components(links).select(F.col("node").alias("c"), "root")
-    named = classes.select("sha", "c", "class_id").join(roots, "c", "left").withColumn("root", F.coalesce("root", "c"))
+    classes = rows.groupBy("sha").agg(F.min("id").alias("class_id"), F.first("image").alias("image"))
+    seen = stored(described(classes, "image", most).select("sha", F.xxhash64("sha").alias("c"), "class_id", "corners"))
+    each = seen.select("c", F.posexplode("corners").alias("n", "k")).select("c", "n", "k.words", F.struct("k.x", "k.y", "k.turn", "k.scale").alias("t"))
+    roots = cut(class_roots(each, least))
+    sizes = F.greatest(F.coalesce(F.size("corners"), F.lit(0)), F.lit(0)).cast("long")
+    named = seen.select("sha", "c", "class_id", sizes.alias("n_corners")).join(roots, "c", "left").withColumn("root", F.coalesce("root", "c"))
     tops = named.groupBy("root").agg(F.min("class_id").alias("component_id"))
-    sizes = seen.select("c", F.coalesce(F.size("corners"), F.lit(0)).alias("n_corners"))
-    whole = named.join(tops, "root").join(degree, "c", "left").join(sizes, "c")
-    digest = whole.select("sha", "class_id", F.greatest("n_corners", F.lit(0)).cast("long").alias("n_corners"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "component_id")
-    return rows.drop("image").join(digest, "sha").select("id", "class_id", "n_corners", "n_links", "component_id")
+    return rows.drop("image").join(named.join(tops, "root").select("sha", "class_id", "n_corners", "component_id"), "sha").select("id", "class_id", "n_corners", "component_id")
 
 
 def drawn(df: DataFrame, vector: str = "embedding", id_col: str = "vec_id", side: int = 16, cell: int = 4) -> DataFrame:

@@ -1,6 +1,8 @@
 import numpy as np
 
-from reviewlake.llm.media import decode, drawn, encode_png, image_copies, matches
+from pyspark.sql import functions as F
+
+from reviewlake.llm.media import class_roots, decode, drawn, encode_png, image_copies, table_keys
 
 RNG = np.random.default_rng(9)
 
@@ -34,17 +36,25 @@ def test_copies_are_found_and_others_left_alone(spark):
     for i in range(12):
         assert by[i]["component_id"] == by[100 + i]["component_id"] == i
     assert (by[200]["class_id"], by[200]["component_id"], by[None]["component_id"]) == (0, 0, 3)
-    assert [(by[i]["n_corners"], by[i]["n_links"], by[i]["class_id"]) for i in (300, 301, 302, 303)] == [(0, 0, 300), (0, 0, 300), (0, 0, 302), (0, 0, 303)]
+    assert [(by[i]["n_corners"], by[i]["component_id"], by[i]["class_id"]) for i in (300, 301, 302, 303)] == [(0, 300, 300), (0, 300, 300), (0, 302, 302), (0, 303, 303)]
     assert image_copies(df.limit(0)).count() == 0
 
 
-def test_large_buckets_keep_their_links(spark):
-    words, keys = ([int(w) for w in RNG.integers(0, 1 << 40, n)] for n in (4, 6))
-    t = (1.0, 2.0, 0, 0)
-    rows = [(c, 0, words, keys, t) for c in range(10)] + [(99, 0, [w ^ 0xFFFFFFFF for w in words], [k + 1 for k in keys], t)]
-    each = spark.createDataFrame(rows, "c long, n int, words array<long>, keys array<long>, t struct<x:float,y:float,turn:int,scale:int>")
-    assert {(r["a"], r["b"]) for r in matches(each).collect()} == {(a, b) for a in range(10) for b in range(a + 1, 10)}
-    assert {(r["a"], r["b"]) for r in matches(each, large=4).collect()} == {(0, b) for b in range(1, 10)}
+def test_keys_are_stretches_of_the_descriptor(spark):
+    words = [int(w) for w in RNG.integers(-(1 << 62), 1 << 62, 4)]
+    whole = sum((w & (1 << 64) - 1) << 64 * i for i, w in enumerate(words))
+    got = spark.createDataFrame([(words,)], "w array<long>").select(table_keys(F.col("w"))).first()[0]
+    assert got == [whole >> 42 * i & (1 << 42) - 1 | i << 42 for i in range(6)]
+
+
+def test_dense_groups_and_large_buckets(spark):
+    """Corners of 30 classes with one descriptor at the same six places; of 5 more at other places."""
+    base = [[int(w) for w in RNG.integers(-(1 << 62), 1 << 62, 4)] for _ in range(6)]
+    rows = [(c, n, base[n], (20.0 * n + c % 3, 10.0 * n * n, 0, 0)) for c in range(30) for n in range(6)]
+    rows += [(100 + c, n, base[n], (float(RNG.integers(0, 4000)), float(RNG.integers(0, 4000)), 0, 0)) for c in range(5) for n in range(6)]
+    each = spark.createDataFrame(rows, "c long, n int, words array<long>, t struct<x:float,y:float,turn:int,scale:int>")
+    for large in (64, 4):
+        assert {(r["c"], r["root"]) for r in class_roots(each, 5, large).collect()} == {(c, 0) for c in range(1, 30)}
 
 
 def test_drawing(spark):
