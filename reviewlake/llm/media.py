@@ -4,8 +4,8 @@ normalised binary tests, Hamming-table joins and geometric consensus.
 Images with the same pixels are one class first.  In each class's grey image,
 corners (Harris) are found on three scales; each has an orientation from its
 patch's intensity centroid and a descriptor of 256 comparisons of smoothed pixels
-at positions turned by that orientation.  Six stretches of 42 bits of a descriptor
-are the keys of six tables: two descriptors within 5 differing bits share at
+at positions turned by that orientation.  The four words of 64 bits of a descriptor
+are the keys of four tables: two descriptors within 3 differing bits share at
 least one, those further apart often do.  Corners that share a key and differ
 in few enough bits vote for a similarity transform (turn, scale and shift); a
 pair of classes is linked if enough corners agree on one.  Links make components.
@@ -13,7 +13,7 @@ pair of classes is linked if enough corners agree on one.  Links make components
 Each bucket's members are first paired with its first class only (a star), which
 joins dense groups of copies with a pair a member.  Then members of different
 components in one bucket are compared, those outside its largest component with
-all others.  A large bucket is cut again by the next key for that; a part that
+all others.  A large bucket is cut again by the whole descriptor for that; a part that
 stays large has had its star and its members' other buckets.
 """
 
@@ -37,7 +37,7 @@ RADIUS = 7
 TURNS = 32
 #: Corners match up to so many differing bits; buckets above LARGE are cut again.
 MOST_BITS, LARGE = 36, 64
-KEYS, KEY_BITS = 6, 42
+WORDS = 4
 PNG = b"\x89PNG\r\n\x1a\n"
 
 
@@ -230,19 +230,12 @@ def described(df: DataFrame, image: str, most: int) -> DataFrame:
 
 
 def _distance(a: Column, b: Column) -> Column:
-    return sum((F.bit_count(a[i].bitwiseXOR(b[i])) for i in range(4)), F.lit(0))
+    return sum((F.bit_count(a[i].bitwiseXOR(b[i])) for i in range(WORDS)), F.lit(0))
 
 
 def table_keys(words: Column) -> Column:
-    """The keys of a descriptor: its stretches, with the table's number above."""
-    out = []
-    for i in range(KEYS):
-        j, off = divmod(i * KEY_BITS, 64)
-        bits = F.shiftrightunsigned(words[j], off)
-        if off + KEY_BITS > 64:
-            bits = bits.bitwiseOR(F.shiftleft(words[j + 1], 64 - off))
-        out.append(bits.bitwiseAND(F.lit((1 << KEY_BITS) - 1)).bitwiseOR(F.lit(i << KEY_BITS)))
-    return F.array(*out)
+    """The keys of a descriptor: a hash of each word and its table's number."""
+    return F.array(*(F.xxhash64(F.lit(i), words[i]) for i in range(WORDS)))
 
 
 def _with_corner(pairs: DataFrame, each: DataFrame, side: str) -> DataFrame:
@@ -255,7 +248,7 @@ def verified(pairs: DataFrame, each: DataFrame, least: int) -> DataFrame:
     by distance and consensus.  Classes with fewer than `least` such corners on
     either side can't agree on as many places and go before corners are read."""
     enough = pairs.groupBy("a", "b").agg(F.size(F.collect_set("an")).alias("x"), F.size(F.collect_set("bn")).alias("y")).filter((F.col("x") >= least) & (F.col("y") >= least))
-    kept = pairs.join(enough.select("a", "b"), ["a", "b"], "left_semi")
+    kept = pairs.join(enough.select("a", "b"), ["a", "b"], "left_semi").distinct()
     near = _with_corner(_with_corner(kept, each, "a"), each, "b").filter(_distance(F.col("aw"), F.col("bw")) <= MOST_BITS)
     return consensus(near, least).select("a", "b")
 
@@ -281,13 +274,13 @@ def consensus(found: DataFrame, least: int, bin_size: float = 12.0) -> DataFrame
 
 
 def _across(members: DataFrame, key: list[str]) -> DataFrame:
-    """Corners (a, an, at, b, bn, bt) near each other in one bucket but of
+    """Corners (a, an, b, bn) near each other in one bucket but of
     different components, one of them outside the bucket's largest."""
-    few = members.filter(F.col("r") != F.col("most")).select(*(F.col(k).alias(f"_{k}") for k in key), F.col("r").alias("r1"), F.col("words").alias("w1"), F.struct("c", "n", "t").alias("p"))
+    few = members.filter(F.col("r") != F.col("most")).select(*(F.col(k).alias(f"_{k}") for k in key), F.col("r").alias("r1"), F.col("words").alias("w1"), F.struct("c", "n").alias("p"))
     other = (F.col("r") != F.col("r1")) & ((F.col("r") == F.col("most")) | (F.col("r1") < F.col("r")))
-    got = few.join(members.withColumn("q", F.struct("c", "n", "t")), [*(F.col(k) == F.col(f"_{k}") for k in key), other, _distance(F.col("w1"), F.col("words")) <= MOST_BITS])
+    got = few.join(members.withColumn("q", F.struct("c", "n")), [*(F.col(k) == F.col(f"_{k}") for k in key), other, _distance(F.col("w1"), F.col("words")) <= MOST_BITS])
     a, b = F.least("p", "q"), F.greatest("p", "q")
-    return got.select(a["c"].alias("a"), a["n"].alias("an"), a["t"].alias("at"), b["c"].alias("b"), b["n"].alias("bn"), b["t"].alias("bt"))
+    return got.select(a["c"].alias("a"), a["n"].alias("an"), b["c"].alias("b"), b["n"].alias("bn"))
 
 
 def class_roots(each: DataFrame, least: int, large: int = LARGE) -> DataFrame:
@@ -297,19 +290,19 @@ def class_roots(each: DataFrame, least: int, large: int = LARGE) -> DataFrame:
     keyed = each.select("c", "n", F.explode(table_keys(F.col("words"))).alias("k"))
     keyed = keyed.withColumns({"lo": F.min(F.struct("c", "n")).over(bucket), "hi": F.max("c").over(bucket)})
     shared = stored(keyed.filter(F.col("lo.c") != F.col("hi")).select("k", "c", "n", F.col("lo.c").alias("a"), F.col("lo.n").alias("an")))
-    star = shared.filter(F.col("c") != F.col("a")).select("a", "an", F.col("c").alias("b"), F.col("n").alias("bn")).distinct()
+    star = shared.filter(F.col("c") != F.col("a")).select("a", "an", F.col("c").alias("b"), F.col("n").alias("bn"))
     first = components(verified(star, each, least))
 
     named = shared.select("k", "c", "n").join(first.withColumnRenamed("node", "c"), "c", "left").withColumn("r", F.coalesce("root", "c")).drop("root")
     sizes = named.groupBy("k", "r").agg(F.count(F.lit(1)).alias("m"))
     mixed = sizes.groupBy("k").agg(F.count(F.lit(1)).alias("_r"), F.sum("m").alias("size"), F.max_by("r", F.struct("m", "r")).alias("most")).filter(F.col("_r") > 1).drop("_r")
-    members = stored(named.join(mixed, "k").join(each, ["c", "n"]))
+    members = stored(named.join(mixed, "k").join(each.select("c", "n", "words"), ["c", "n"]))
     small = _across(members.filter(F.col("size") <= large), ["k"])
-    # A large bucket is cut again by the next key; parts that stay large have had their star.
-    again = members.filter(F.col("size") > large).withColumn("k2", table_keys(F.col("words"))[(F.shiftright("k", KEY_BITS) + 1).cast("int") % KEYS])
+    # A large bucket is cut again by the whole descriptor; parts that stay large have had their star.
+    again = members.filter(F.col("size") > large).withColumn("k2", F.xxhash64("words"))
     parts = again.groupBy("k", "k2").agg(F.count(F.lit(1)).alias("part"))
     split = _across(again.join(parts, ["k", "k2"]).filter(F.col("part") <= large), ["k", "k2"])
-    links = consensus(small.unionAll(split).distinct(), least).select("a", "b")
+    links = verified(small.unionAll(split), each, least)
     up = first.select(F.col("node").alias("c"), "root")
     edges = links.join(up.withColumnsRenamed({"c": "a", "root": "ra"}), "a", "left").join(up.withColumnsRenamed({"c": "b", "root": "rb"}), "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
     second = cut(components(edges)).select(F.col("node").alias("c"), F.col("root").alias("top"))

@@ -1,8 +1,6 @@
 import numpy as np
 
-from pyspark.sql import functions as F
-
-from reviewlake.llm.media import class_roots, decode, drawn, encode_png, image_copies, table_keys
+from reviewlake.llm.media import class_roots, decode, drawn, encode_png, image_copies
 
 RNG = np.random.default_rng(9)
 
@@ -40,13 +38,6 @@ def test_copies_are_found_and_others_left_alone(spark):
     assert image_copies(df.limit(0)).count() == 0
 
 
-def test_keys_are_stretches_of_the_descriptor(spark):
-    words = [int(w) for w in RNG.integers(-(1 << 62), 1 << 62, 4)]
-    whole = sum((w & (1 << 64) - 1) << 64 * i for i, w in enumerate(words))
-    got = spark.createDataFrame([(words,)], "w array<long>").select(table_keys(F.col("w"))).first()[0]
-    assert got == [whole >> 42 * i & (1 << 42) - 1 | i << 42 for i in range(6)]
-
-
 def test_dense_groups_and_large_buckets(spark):
     """Corners of 30 classes with one descriptor at the same six places; of 5 more at other places."""
     base = [[int(w) for w in RNG.integers(-(1 << 62), 1 << 62, 4)] for _ in range(6)]
