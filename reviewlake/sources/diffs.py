@@ -18,7 +18,7 @@ DIFFS = "diff_id string, diff_text string, pr_title string, pr_url string"
 def diff_files(spark: SparkSession, path: str) -> DataFrame:
     """A diff for each file below path; bytes that aren't UTF-8 are replaced."""
     raw = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return raw.select(F.col("path").alias("diff_id"), F.decode("content", "UTF-8").alias("diff_text"), F.lit("").alias("pr_title"), F.col("path").alias("pr_url"))
+    return raw.select(F.col("path").alias("diff_id"), F.make_valid_utf8(F.col("content").cast("string")).alias("diff_text"), F.lit("").alias("pr_title"), F.col("path").alias("pr_url"))
 
 
 def inline_diff(spark: SparkSession, text: str, title: str = "", url: str = "") -> DataFrame:
