@@ -15,7 +15,7 @@ from .langid import identify
 from .media import drawn, image_copies
 from .mixing import mix
 from .quality import classify
-from .secret_scan import digest, secret_scan
+from .secret_scan import SCAN_SQL, digest, secret_scan
 from .simhash import hex_print, near_duplicates
 from .token_counts import token_counts
 from .warc import PAGES_SQL, audit, damaged, page_archive, record_hashes
@@ -80,4 +80,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontaminate": CONTAINED_SQL, "op9_warc_audit": PAGES_SQL}
+    return {"op2_decontaminate": CONTAINED_SQL, "op3_secret_scan": SCAN_SQL, "op9_warc_audit": PAGES_SQL}

@@ -176,3 +176,27 @@ def redact_live(df: DataFrame, text: str = "text", **options) -> DataFrame:
     size = lambda c: F.when(hit, F.length("_new")).otherwise(c).cast(df.schema["n_chars"].dataType)
     own = {c: F.col("row").getField(c) for c in df.columns}
     return out.select(*(F.col("_new").alias(c) if c == text else size(x).alias(c) if c == "n_chars" else x.alias(c) for c, x in own.items()))
+
+
+def _scan_sql() -> str:
+    """The twin of digest(secret_scan(documents)) with its default options."""
+    mark = "chr(57344)"
+    quoted = lambda s: "'" + s.replace("'", "''") + "'"
+    kinds = [*KINDS, (OWNED[0], OWNED[1].split(")", 1)[1], *OWNED[2:])]  # a run is maximal without its look-behind
+    cuts = " UNION ALL ".join(f"SELECT rid, {k} AS k, {quoted(kind)} AS kind, {group} AS grp, {least} AS least, {quoted(rx)} AS rx, string_split(regexp_replace(t, {quoted(rx)}, {mark} || '\\0' || {mark}, 'g'), {mark}) AS p FROM d" for k, (kind, rx, group, least) in enumerate(kinds))
+    value = f"CASE WHEN k = 0 THEN regexp_extract(piece, {quoted(KINDS[0][1])}, 2) ELSE piece END"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, replace(coalesce(text, ''), {mark}, chr(65533)) AS t FROM documents),
+cuts AS ({cuts}),
+pieces AS (SELECT rid, k, kind, least, unnest(p) AS piece, generate_subscripts(p, 1) AS i FROM cuts WHERE len(p) > 1),
+placed AS (SELECT *, coalesce(sum(length(piece)) OVER (PARTITION BY rid, k ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS a FROM pieces),
+spans AS (SELECT rid, k, kind, a, a + length(piece) AS b, {value} AS v FROM placed WHERE i % 2 = 0 AND length({value}) >= least),
+cand AS (SELECT * FROM spans s WHERE k < 3 OR (regexp_matches(v, '[a-z]') AND regexp_matches(v, '[A-Z]') AND regexp_matches(v, '[0-9]') AND NOT EXISTS (SELECT 1 FROM spans x WHERE x.rid = s.rid AND x.k < 3 AND x.a < s.b AND s.a < x.b))),
+own AS (SELECT v, count(DISTINCT coalesce('=' || source, '')) AS n_owners, count(DISTINCT (coalesce('=' || source, ''), coalesce(doc_id, -1))) AS n_repos FROM cand JOIN d USING (rid) GROUP BY v),
+judged AS (SELECT cand.*, n_owners >= 3 AND n_repos >= 5 AS example FROM cand JOIN own USING (v) WHERE k < 3 OR n_owners = 1),
+agg AS (SELECT rid, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex, string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, k) FILTER (k < 3) AS base, string_agg(kind || ':' || a || ':' || b, ',' ORDER BY a, k) AS spans, count(*) FILTER (NOT example) AS n_live, count(*) FILTER (example) AS n_example FROM judged GROUP BY rid)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example FROM d LEFT JOIN agg USING (rid)
+"""
+
+
+SCAN_SQL = _scan_sql()
