@@ -10,11 +10,12 @@ least one, those further apart often do.  Corners that share a key and differ
 in few enough bits vote for a similarity transform (turn, scale and shift); a
 pair of classes is linked if enough corners agree on one.  Links make components.
 
-Each bucket's members are first paired with its first class only (a star), which
-joins dense groups of copies with a pair a member.  Then members of different
-components in one bucket are compared, those outside its largest component with
-all others.  A large bucket is cut again by the whole descriptor for that; a part that
-stays large has had its star and its members' other buckets.
+Each bucket's members are first paired with one of its classes (a star), in a few
+rounds with other centres; that joins dense groups of copies with a pair a member.
+Then members of different components in one bucket are compared, those outside
+its largest component with all others.  A large bucket is cut again by the whole
+descriptor for that; a part that stays large has had its stars and its members'
+other buckets.
 """
 
 from __future__ import annotations
@@ -283,31 +284,46 @@ def _across(members: DataFrame, key: list[str]) -> DataFrame:
     return got.select(a["c"].alias("a"), a["n"].alias("an"), b["c"].alias("b"), b["n"].alias("bn"))
 
 
-def class_roots(each: DataFrame, least: int, large: int = LARGE) -> DataFrame:
+def joined(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """roots(c, root) after links(a, b) of classes have joined their components."""
+    up = roots.select("c", "root")
+    edges = links.join(up.withColumnsRenamed({"c": "a", "root": "ra"}), "a", "left").join(up.withColumnsRenamed({"c": "b", "root": "rb"}), "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
+    second = cut(components(edges)).select(F.col("node").alias("c"), F.col("root").alias("top"))
+    lifted = up.join(second.withColumnRenamed("c", "root"), "root", "left").select("c", F.coalesce("top", "root").alias("root"))
+    return cut(lifted.unionAll(second.join(up.select("c"), "c", "left_anti").withColumnRenamed("top", "root")))
+
+
+def class_roots(each: DataFrame, least: int, large: int = LARGE, rounds: int = 4) -> DataFrame:
     """(c, root) for the classes of each(c, n, words, t), a row a corner, that
     hang together; those without a link are left out."""
     bucket = Window.partitionBy("k")
     keyed = each.select("c", "n", F.explode(table_keys(F.col("words"))).alias("k"))
-    keyed = keyed.withColumns({"lo": F.min(F.struct("c", "n")).over(bucket), "hi": F.max("c").over(bucket)})
-    shared = stored(keyed.filter(F.col("lo.c") != F.col("hi")).select("k", "c", "n", F.col("lo.c").alias("a"), F.col("lo.n").alias("an")))
-    star = shared.filter(F.col("c") != F.col("a")).select("a", "an", F.col("c").alias("b"), F.col("n").alias("bn"))
-    first = components(verified(star, each, least))
-
-    named = shared.select("k", "c", "n").join(first.withColumnRenamed("node", "c"), "c", "left").withColumn("r", F.coalesce("root", "c")).drop("root")
-    sizes = named.groupBy("k", "r").agg(F.count(F.lit(1)).alias("m"))
+    keyed = keyed.withColumns({"lo": F.min("c").over(bucket), "hi": F.max("c").over(bucket)})
+    shared = stored(keyed.filter(F.col("lo") != F.col("hi")).select("k", "c", "n"))
+    roots = each.select("c", F.col("c").alias("root")).limit(0)
+
+    def named() -> DataFrame:
+        return shared.join(roots, "c", "left").select("k", "c", "n", F.coalesce("root", "c").alias("r"))
+
+    for i in range(rounds):
+        now = named()
+        # A bucket's centre is another one in each round; components that it joins need no more pairs.
+        centre = now.groupBy("k").agg(F.min(F.struct(F.xxhash64("c", F.lit(i)).alias("h"), "c", "n", "r")).alias("o"))
+        star = now.join(centre, "k").filter(F.col("r") != F.col("o.r")).withColumns({"p": F.struct("c", "n"), "q": F.struct("o.c", "o.n")})
+        a, b = F.least("p", "q"), F.greatest("p", "q")
+        links = verified(star.select(a["c"].alias("a"), a["n"].alias("an"), b["c"].alias("b"), b["n"].alias("bn")), each, least)
+        roots = joined(roots, cut(links))
+
+    last = named()
+    sizes = last.groupBy("k", "r").agg(F.count(F.lit(1)).alias("m"))
     mixed = sizes.groupBy("k").agg(F.count(F.lit(1)).alias("_r"), F.sum("m").alias("size"), F.max_by("r", F.struct("m", "r")).alias("most")).filter(F.col("_r") > 1).drop("_r")
-    members = stored(named.join(mixed, "k").join(each.select("c", "n", "words"), ["c", "n"]))
+    members = stored(last.join(mixed, "k").join(each.select("c", "n", "words"), ["c", "n"]))
     small = _across(members.filter(F.col("size") <= large), ["k"])
-    # A large bucket is cut again by the whole descriptor; parts that stay large have had their star.
+    # A large bucket is cut again by the whole descriptor; parts that stay large have had their stars.
     again = members.filter(F.col("size") > large).withColumn("k2", F.xxhash64("words"))
     parts = again.groupBy("k", "k2").agg(F.count(F.lit(1)).alias("part"))
     split = _across(again.join(parts, ["k", "k2"]).filter(F.col("part") <= large), ["k", "k2"])
-    links = verified(small.unionAll(split), each, least)
-    up = first.select(F.col("node").alias("c"), "root")
-    edges = links.join(up.withColumnsRenamed({"c": "a", "root": "ra"}), "a", "left").join(up.withColumnsRenamed({"c": "b", "root": "rb"}), "b", "left").select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b"))
-    second = cut(components(edges)).select(F.col("node").alias("c"), F.col("root").alias("top"))
-    lifted = up.join(second.withColumnRenamed("c", "root"), "root", "left").select("c", F.coalesce("top", "root").alias("root"))
-    return lifted.unionAll(second.join(up.select("c"), "c", "left_anti").withColumnRenamed("top", "root"))
+    return joined(roots, verified(small.unionAll(split), each, least))
 
 
 def image_copies(df: DataFrame, image: str = "image", id_col: str = "id", most: int = 12, least: int = 5) -> DataFrame:
@@ -323,7 +339,7 @@ def image_copies(df: DataFrame, image: str = "image", id_col: str = "id", most:
     classes = rows.groupBy("sha").agg(F.min("id").alias("class_id"), F.first("image").alias("image"))
     seen = stored(described(classes, "image", most).select("sha", F.xxhash64("sha").alias("c"), "class_id", "corners"))
     each = seen.select("c", F.posexplode("corners").alias("n", "k")).select("c", "n", "k.words", F.struct("k.x", "k.y", "k.turn", "k.scale").alias("t"))
-    roots = cut(class_roots(each, least))
+    roots = class_roots(each, least)
     sizes = F.greatest(F.coalesce(F.size("corners"), F.lit(0)), F.lit(0)).cast("long")
     named = seen.select("sha", "c", "class_id", sizes.alias("n_corners")).join(roots, "c", "left").withColumn("root", F.coalesce("root", "c"))
     tops = named.groupBy("root").agg(F.min("class_id").alias("component_id"))
