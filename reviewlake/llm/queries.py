@@ -69,9 +69,9 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_warc_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages as an archive's records, audited against a replica with planted damage."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
-    a = stored(page_archive(pages))
-    found = audit(record_hashes(a), record_hashes(page_archive(damaged(pages)))).withColumnRenamed("file", "_file").withColumnRenamed("offset", "_offset")
-    rows = a.select("page_id", "file", "offset", "length", F.sha2(F.col("content").cast("binary"), 256).alias("sha256"))
+    a = stored(page_archive(pages, keep=False))
+    found = audit(record_hashes(a), record_hashes(page_archive(damaged(pages), keep=False))).withColumnRenamed("file", "_file").withColumnRenamed("offset", "_offset")
+    rows = a.select("page_id", "file", "offset", "length", F.col("sha").alias("sha256"))
     return rows.join(found.select("_file", "_offset", "status"), (F.col("file") == F.col("_file")) & (F.col("offset") == F.col("_offset")), "left").select("page_id", "file", "offset", "length", "sha256", F.coalesce("status", F.lit("intact")).alias("status"))
 
 

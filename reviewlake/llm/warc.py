@@ -36,12 +36,14 @@ def response_record(record_id: Column, uri: Column, payload: Column) -> Column:
     return F.concat(head, F.lit(END), payload, F.lit(END))
 
 
-def laid_out(df: DataFrame, file: str, content: str, order: list[str]) -> DataFrame:
-    """Adds length and offset, in bytes, to records: each file holds its records
-    in the given order (ties by their hash).  A file is sorted by one task, so
-    the caller bounds what a file holds, as any archive does."""
-    df = df.withColumn("length", F.octet_length(content).cast("long"))
-    before = Window.partitionBy(file).orderBy(*order, F.sha2(F.col(content).cast("binary"), 256)).rowsBetween(Window.unboundedPreceding, -1)
+def laid_out(df: DataFrame, file: str, content: str, order: list[str], keep: bool = True) -> DataFrame:
+    """Adds length and offset, in bytes, and sha to records: each file holds its
+    records in the given order (ties by their hash).  A file is sorted by one
+    task, so the caller bounds what a file holds, as any archive does; without
+    `keep` the contents go before rows are sorted."""
+    df = df.withColumns({"length": F.octet_length(content).cast("long"), "sha": F.sha2(F.coalesce(F.col(content).cast("binary"), F.lit(b"")), 256)})
+    df = df if keep else df.drop(content)
+    before = Window.partitionBy(file).orderBy(*order, "sha").rowsBetween(Window.unboundedPreceding, -1)
     return df.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0)).cast("long"))
 
 
@@ -112,8 +114,10 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
 
 
 def record_hashes(df: DataFrame, file: str = "file", content: str = "content") -> DataFrame:
-    """(file, offset, length, sha) of a replica.  The hash covers the content."""
-    return df.select(F.col(file).alias("file"), "offset", "length", F.sha2(F.coalesce(F.col(content).cast("binary"), F.lit(b"")), 256).alias("sha"))
+    """(file, offset, length, sha) of a replica.  The hash covers the content; a
+    replica that has it already is taken at its word."""
+    sha = F.col("sha") if "sha" in df.columns else F.sha2(F.coalesce(F.col(content).cast("binary"), F.lit(b"")), 256)
+    return df.select(F.col(file).alias("file"), "offset", "length", sha.alias("sha"))
 
 
 def _joined(parts: Column) -> Column:
@@ -177,14 +181,15 @@ def _below(level: DataFrame, suspect: DataFrame, bits: int, col: str) -> DataFra
     return level.join(s, F.col("file").eqNullSafe(F.col("_file")) & (F.shiftright(col, bits) == F.col("_node")), "left_semi")
 
 
-def page_archive(pages: DataFrame, per_file: int = 500) -> DataFrame:
-    """Pages as laid-out WARC records: page_id, file, offset, length, content.
+def page_archive(pages: DataFrame, per_file: int = 500, keep: bool = True) -> DataFrame:
+    """Pages as laid-out WARC records: page_id, file, offset, length, sha and, if
+    it is to be kept, content.
     A file holds the pages of `per_file` consecutive ids."""
     number = F.floor(F.col("page_id") / per_file)
     file = F.coalesce(F.format_string("pages-%06d", number), F.lit("pages-none"))
     digest = F.md5(F.concat_ws("|", F.col("page_id").cast("string"), F.coalesce("url", F.lit(""))).cast("binary"))
     content = response_record(F.concat(F.lit("md5:"), digest), F.coalesce("url", F.lit("")), F.coalesce("html", F.lit("")))
-    return laid_out(pages.select("page_id", file.alias("file"), content.alias("content")), "file", "content", ["page_id"])
+    return laid_out(pages.select("page_id", file.alias("file"), content.alias("content")), "file", "content", ["page_id"], keep)
 
 
 def damaged(pages: DataFrame) -> DataFrame:
