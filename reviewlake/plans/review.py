@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from reviewlake.functions.catalog import RULES, Rule
 from reviewlake.operators import decode, gates, report, retrieve, scan, semantics, shards
 from reviewlake.operators.diff import added_index, file_lines, parse_files, review_targets
+from reviewlake.plans.storage import stored
 
 
 @dataclass(frozen=True)
@@ -60,12 +61,13 @@ def review(diffs: DataFrame, settings: Settings = Settings(), rules: tuple[Rule,
     Files that aren't for review go before anything is scanned.  The responder's
     findings (None: rules only) count only at added lines.  Findings are merged,
     floored and capped.  A diff without files, or without files for review, has
-    an error instead.
+    an error instead.  What several results need (files, the rules' findings,
+    answers) is written to the shared folder when the plan is made.
     """
-    files = parse_files(diffs)
+    files = stored(parse_files(diffs))
     targets = review_targets(files, settings.max_files)
     lines = file_lines(targets)
-    ruled = scan.scan(lines, rules)
+    ruled = stored(scan.scan(lines, rules))
     zero = F.lit(0).cast("long")
     stats = targets.groupBy("diff_id").agg(F.count(F.lit(1)).alias("files"), F.sum("added").alias("added_lines"))
     stats = stats.join(ruled.groupBy("diff_id").agg(F.count(F.lit(1)).alias("rule_findings")), "diff_id", "left")
@@ -73,7 +75,8 @@ def review(diffs: DataFrame, settings: Settings = Settings(), rules: tuple[Rule,
     failures = None
     if responder is not None:
         cut, asked = prompts(targets, diffs, conventions, settings)
-        answers = responder(asked)
+        # Written once: a responder is asked once about a shard.
+        answers = stored(responder(asked))
         kept, lost = gates.anchored(decode.coerced(answers, cut), added_index(lines))
         found = ruled.unionByName(kept)
         cost = answers.groupBy("diff_id").agg(F.count(F.lit(1)).alias("llm_calls"), F.sum("prompt_tokens").alias("prompt_tokens"), F.sum("completion_tokens").alias("completion_tokens"))
