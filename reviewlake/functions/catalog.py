@@ -38,16 +38,14 @@ class Rule:
 # Results depend on each of them, and on the order of the patterns of a rule.
 PY = (".py",)
 SQL_LIKE = (".py", ".java", ".js", ".ts", ".go", ".php", ".rb", ".sql", ".kt")
-CALLS = r"\.(?:execute|executemany|raw|query)\s*\("
-SENDS = r"(?:requests|httpx)\.(?:get|post|put|delete|request)\s*\(\s*"
 
 RULES: tuple[Rule, ...] = (
     Rule("SEC101", "SQL text assembled from values", "high", 0.85, SQL_LIKE, (
-        CALLS + r"\s*f[\"']",
-        CALLS + r"\s*[\"'][^\"']*[\"']\s*%",
-        CALLS + r"\s*[\"'][^\"']*[\"']\s*\+",
-        CALLS + r"\s*[\"'][^\"']*[\"']\s*\.format\s*\(",
-        CALLS + r"[^)]*[\"']\s*\+\s*[A-Za-z_]",
+        r"\.(?:execute|executemany|raw|query)\s*\(\s*f[\"']",
+        r"\.(?:execute|executemany|raw|query)\s*\(\s*[\"'][^\"']*[\"']\s*%",
+        r"\.(?:execute|executemany|raw|query)\s*\(\s*[\"'][^\"']*[\"']\s*\+",
+        r"\.(?:execute|executemany|raw|query)\s*\(\s*[\"'][^\"']*[\"']\s*\.format\s*\(",
+        r"\.(?:execute|executemany|raw|query)\s*\([^)]*[\"']\s*\+\s*[A-Za-z_]",
         r"(?:SELECT|INSERT\s+INTO|UPDATE|DELETE\s+FROM)\b[^\"';]*[\"']\s*\+\s*[A-Za-z_]",
     ), "Pass values as bound parameters."),
     Rule("SEC102", "Command run through a shell", "high", 0.85, (), (
@@ -90,8 +88,8 @@ RULES: tuple[Rule, ...] = (
         r"(?:md5|sha1)\s*\(\s*[\"'][^\"']*[\"']\s*\)",
     ), "Use a slow, salted password hash."),
     Rule("SEC108", "Request to an address from outside", "high", 0.6, (), (
-        SENDS + r"[a-z_]*(?:user|callback|redirect|target|external|remote|untrusted|frontend|client|input|param|arg)[a-z_]*",
-        SENDS + r"(?:request\.|req\.|params\[|payload\[|body\[|args\[|query\[)",
+        r"(?:requests|httpx)\.(?:get|post|put|delete|request)\s*\(\s*[a-z_]*(?:user|callback|redirect|target|external|remote|untrusted|frontend|client|input|param|arg)[a-z_]*",
+        r"(?:requests|httpx)\.(?:get|post|put|delete|request)\s*\(\s*(?:request\.|req\.|params\[|payload\[|body\[|args\[|query\[)",
         r"(?:fetch|axios(?:\.\w+)?)\s*\(\s*[a-z_]*(?:user|callback|redirect|target|external|remote|param|input)[a-z_]*",
         r"urlopen\s*\(\s*[a-z_]*(?:user|callback|redirect|target|external|remote|param|input)[a-z_]*",
         r"new\s+URL\s*\(\s*(?:request\.|req\.|params\[|payload\[)",
