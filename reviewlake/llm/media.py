@@ -39,6 +39,8 @@ TURNS = 32
 #: Corners match up to so many differing bits; buckets above LARGE are cut again.
 MOST_BITS, LARGE = 36, 64
 WORDS = 4
+#: Broadcast up to so many pairs of corners (some 100 bytes each).
+FEW_PAIRS = 100_000
 PNG = b"\x89PNG\r\n\x1a\n"
 
 
@@ -239,9 +241,9 @@ def table_keys(words: Column) -> Column:
     return F.array(*(F.xxhash64(F.lit(i), words[i]) for i in range(WORDS)))
 
 
-def _with_corner(pairs: DataFrame, each: DataFrame, side: str) -> DataFrame:
+def _with_corner(pairs: DataFrame, each: DataFrame, side: str, few: bool) -> DataFrame:
     own = each.select(F.col("c").alias(side), F.col("n").alias(f"{side}n"), F.col("words").alias(f"{side}w"), F.col("t").alias(f"{side}t"))
-    return pairs.join(own, [side, f"{side}n"])
+    return (F.broadcast(pairs) if few else pairs).join(own, [side, f"{side}n"])
 
 
 def verified(pairs: DataFrame, each: DataFrame, least: int) -> DataFrame:
@@ -249,8 +251,10 @@ def verified(pairs: DataFrame, each: DataFrame, least: int) -> DataFrame:
     by distance and consensus.  Classes with fewer than `least` such corners on
     either side can't agree on as many places and go before corners are read."""
     enough = pairs.groupBy("a", "b").agg(F.size(F.collect_set("an")).alias("x"), F.size(F.collect_set("bn")).alias("y")).filter((F.col("x") >= least) & (F.col("y") >= least))
-    kept = pairs.join(enough.select("a", "b"), ["a", "b"], "left_semi").distinct()
-    near = _with_corner(_with_corner(kept, each, "a"), each, "b").filter(_distance(F.col("aw"), F.col("bw")) <= MOST_BITS)
+    kept = cut(pairs.join(enough.select("a", "b"), ["a", "b"], "left_semi").distinct())
+    # Few pairs go to where the corners are; many are joined by a shuffle.
+    few = kept.limit(FEW_PAIRS + 1).count() <= FEW_PAIRS
+    near = _with_corner(_with_corner(kept, each, "a", few), each, "b", few).filter(_distance(F.col("aw"), F.col("bw")) <= MOST_BITS)
     return consensus(near, least).select("a", "b")
 
 
@@ -293,7 +297,7 @@ def joined(roots: DataFrame, links: DataFrame) -> DataFrame:
     return cut(lifted.unionAll(second.join(up.select("c"), "c", "left_anti").withColumnRenamed("top", "root")))
 
 
-def class_roots(each: DataFrame, least: int, large: int = LARGE, rounds: int = 4) -> DataFrame:
+def class_roots(each: DataFrame, least: int, large: int = LARGE, rounds: int = 5) -> DataFrame:
     """(c, root) for the classes of each(c, n, words, t), a row a corner, that
     hang together; those without a link are left out."""
     bucket = Window.partitionBy("k")
@@ -312,7 +316,10 @@ def class_roots(each: DataFrame, least: int, large: int = LARGE, rounds: int = 4
         star = now.join(centre, "k").filter(F.col("r") != F.col("o.r")).withColumns({"p": F.struct("c", "n"), "q": F.struct("o.c", "o.n")})
         a, b = F.least("p", "q"), F.greatest("p", "q")
         links = verified(star.select(a["c"].alias("a"), a["n"].alias("an"), b["c"].alias("b"), b["n"].alias("bn")), each, least)
-        roots = joined(roots, cut(links))
+        links = cut(links)
+        if links.isEmpty():
+            break
+        roots = joined(roots, links)
 
     last = named()
     sizes = last.groupBy("k", "r").agg(F.count(F.lit(1)).alias("m"))
