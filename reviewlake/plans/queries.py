@@ -76,6 +76,13 @@ def _twin(regex: str) -> str:
     return quoted(regex)
 
 
+def comment_sql() -> str:
+    """Offset of a comment in t, by ext."""
+    string = r"""\\.|'(?:\\.|[^'\\])*'|"(?:\\.|[^"\\])*"|"""
+    marks = {"#": string + r"""[^'"\\#]""", "//": string + r"""[^'"\\/]|/[^/]"""}
+    return "CASE ext WHEN '.py' THEN {py} ELSE {other} END".format(**{k: f"CASE WHEN regexp_matches(t, {quoted(f'^(?:{marks[m]})*{m}')}) THEN length(regexp_extract(t, {quoted(f'^((?:{marks[m]})*){m}')}, 1)) END" for k, m in (("py", "#"), ("other", "//"))})
+
+
 def rules_sql() -> str:
     """CTE `found`: a row for each finding of PLAIN in `code`."""
     each = []
@@ -87,13 +94,10 @@ def rules_sql() -> str:
                 f"SELECT o, path, n, t, ext, {i} AS rule_ord, {alt} AS alt, {quoted(r.rule_id)} AS rule_id, {quoted(r.title)} AS title, {quoted(r.kind)} AS category, {quoted(r.severity)} AS severity, CAST({r.confidence} AS DOUBLE) AS confidence, {str(r.ignore_comments).upper()} AS guarded, "
                 f"length(regexp_extract(t, {_twin(flag + '(?s)^(.*?)(?:' + rx + ')')}, 1)) AS start, regexp_extract(t, {_twin(flag + rx)}) AS m FROM code WHERE {where} AND regexp_matches(t, {_twin(flag + rx)})"
             )
-    string = r"""\\.|'(?:\\.|[^'\\])*'|"(?:\\.|[^"\\])*"|"""
-    marks = {"#": string + r"""[^'"\\#]""", "//": string + r"""[^'"\\/]|/[^/]"""}
-    comment = "CASE ext WHEN '.py' THEN {py} ELSE {other} END".format(**{k: f"CASE WHEN regexp_matches(t, {quoted(f'^(?:{marks[m]})*{m}')}) THEN length(regexp_extract(t, {quoted(f'^((?:{marks[m]})*){m}')}, 1)) END" for k, m in (("py", "#"), ("other", "//"))})
     return (
         "alts AS (" + " UNION ALL ".join(each) + "), "
         "first_alt AS (SELECT * FROM alts QUALIFY row_number() OVER (PARTITION BY o, n, rule_ord ORDER BY alt) = 1), "
-        f"guarded AS (SELECT *, {comment} AS c FROM first_alt), "
+        f"guarded AS (SELECT *, {comment_sql()} AS c FROM first_alt), "
         "found AS (SELECT o, path, n, rule_ord, rule_id, title, category, severity, CASE severity WHEN 'high' THEN 0 WHEN 'medium' THEN 1 WHEN 'low' THEN 2 ELSE 3 END AS sev_rank, confidence, "
         "trim(CASE WHEN m = '' THEN t ELSE m END) AS evidence FROM guarded WHERE c IS NULL OR NOT guarded OR start < c)"
     )
@@ -179,7 +183,7 @@ def context_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.select("diff_id", F.col("new_no").alias("line"), "frame_lo", F.md5(F.array_join(F.transform("frame", lambda x: x["text"]), "\n").cast("binary")).alias("frame"))
 
 
-@register()
+@register(f"WITH {LINES_SQL} SELECT ext AS suffix, t AS text, count(*) AS n, any_value({comment_sql()}) AS comment FROM code GROUP BY ext, t")
 def comment_offsets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O-62."""
     lines = diff.file_lines(diff.parse_files(code_diffs(spark, sf_dir)))

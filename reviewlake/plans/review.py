@@ -44,7 +44,7 @@ class Review:
 
 def prompts(targets: DataFrame, diffs: DataFrame, conventions: DataFrame | None, settings: Settings) -> tuple[DataFrame, DataFrame]:
     """(shards, prompts), each shard's with what the conventions say on its file and title."""
-    cut = shards.build_shards(targets, settings.shard_max_chars, settings.shard_max_files)
+    cut = stored(shards.build_shards(targets, settings.shard_max_chars, settings.shard_max_files))
     named = cut.join(diffs.select("diff_id", F.coalesce("pr_title", F.lit("")).alias("pr_title")), "diff_id")
     if conventions is None:
         return cut, named.select("diff_id", "shard_no", shards.prompt(F.col("pr_title"), F.lit(""), F.col("text")).alias("prompt"))
