@@ -297,7 +297,7 @@ def joined(roots: DataFrame, links: DataFrame) -> DataFrame:
     return cut(lifted.unionAll(second.join(up.select("c"), "c", "left_anti").withColumnRenamed("top", "root")))
 
 
-def class_roots(each: DataFrame, least: int, large: int = LARGE, rounds: int = 5) -> DataFrame:
+def class_roots(each: DataFrame, least: int, large: int = LARGE, rounds: int = 6) -> DataFrame:
     """(c, root) for the classes of each(c, n, words, t), a row a corner, that
     hang together; those without a link are left out."""
     bucket = Window.partitionBy("k")
@@ -317,9 +317,8 @@ def class_roots(each: DataFrame, least: int, large: int = LARGE, rounds: int = 5
         a, b = F.least("p", "q"), F.greatest("p", "q")
         links = verified(star.select(a["c"].alias("a"), a["n"].alias("an"), b["c"].alias("b"), b["n"].alias("bn")), each, least)
         links = cut(links)
-        if links.isEmpty():
-            break
-        roots = joined(roots, links)
+        if not links.isEmpty():  # other centres may still find some
+            roots = joined(roots, links)
 
     last = named()
     sizes = last.groupBy("k", "r").agg(F.count(F.lit(1)).alias("m"))
