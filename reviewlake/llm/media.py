@@ -210,24 +210,39 @@ def corners(images: np.ndarray, most: int) -> tuple[np.ndarray, ...]:
 CORNER = T.StructType([T.StructField("x", T.FloatType()), T.StructField("y", T.FloatType()), T.StructField("turn", T.IntegerType()), T.StructField("scale", T.IntegerType()), T.StructField("words", T.ArrayType(T.LongType()))])
 
 
+def _corner_lists(own: list[tuple[np.ndarray, ...] | None]) -> pa.Array:
+    """An Arrow array of CORNER lists; None stays null."""
+    real = [c for c in own if c is not None]
+    x, y, turn, scale, words = (np.concatenate([c[k] for c in real]) if real else np.zeros((0, WORDS)[: 1 + (k == 4)]) for k in range(5))
+    offsets = np.concatenate(([0], np.cumsum([0 if c is None else len(c[0]) for c in own])))
+    missing = np.array([c is None for c in own] + [False])
+    word_lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * WORDS, pa.int32()), pa.array(words.astype(np.int64).ravel()))
+    values = pa.StructArray.from_arrays([pa.array(x.astype(np.float32)), pa.array(y.astype(np.float32)), pa.array(turn.astype(np.int32)), pa.array(scale.astype(np.int32)), word_lists], [f.name for f in CORNER])
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32(), mask=missing), values)
+
+
 def described(df: DataFrame, image: str, most: int) -> DataFrame:
     """Adds `corners` (array of CORNER; null where the image can't be decoded)."""
 
     @F.arrow_udf(T.ArrayType(CORNER))
     def find(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            out: list = [None] * len(batch)
-            for a in range(0, len(batch), 256):
+            # Columns of numbers, not objects: a batch may hold thousands of images.
+            own: list[tuple[np.ndarray, ...] | None] = [None] * len(batch)
+            for a in range(0, len(batch), 128):
                 shapes: dict[tuple, list[tuple[int, np.ndarray]]] = {}
-                for i in range(a, min(a + 256, len(batch))):
+                for i in range(a, min(a + 128, len(batch))):
                     grey = decode(batch[i].as_py())
                     if grey is not None:
-                        out[i] = []
                         shapes.setdefault(grey.shape, []).append((i, grey))
-                for own in shapes.values():
-                    for n, x, y, turn, scale, words in zip(*(v.tolist() for v in corners(np.stack([g for _, g in own]), most))):
-                        out[own[n][0]].append({"x": x, "y": y, "turn": turn, "scale": scale, "words": words})
-            yield pa.array(out, pa.list_(pa.struct([("x", pa.float32()), ("y", pa.float32()), ("turn", pa.int32()), ("scale", pa.int32()), ("words", pa.list_(pa.int64()))])))
+                for group in shapes.values():
+                    owner, *columns = corners(np.stack([g for _, g in group]), most)
+                    order = np.argsort(owner, kind="stable")
+                    ends = np.searchsorted(owner[order], np.arange(len(group) + 1))
+                    for k, (i, _) in enumerate(group):
+                        at = order[ends[k] : ends[k + 1]]
+                        own[i] = tuple(c[at] for c in columns)
+            yield _corner_lists(own)
 
     return df.withColumn("corners", find(F.col(image)))
 
