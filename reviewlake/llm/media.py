@@ -266,7 +266,7 @@ def verified(pairs: DataFrame, each: DataFrame, least: int) -> DataFrame:
     by distance and consensus.  Classes with fewer than `least` such corners on
     either side can't agree on as many places and go before corners are read."""
     enough = pairs.groupBy("a", "b").agg(F.size(F.collect_set("an")).alias("x"), F.size(F.collect_set("bn")).alias("y")).filter((F.col("x") >= least) & (F.col("y") >= least))
-    kept = cut(pairs.join(enough.select("a", "b"), ["a", "b"], "left_semi").distinct())
+    kept = stored(pairs.join(enough.select("a", "b"), ["a", "b"], "left_semi").distinct())
     # Few pairs go to where the corners are; many are joined by a shuffle.
     few = kept.limit(FEW_PAIRS + 1).count() <= FEW_PAIRS
     near = _with_corner(_with_corner(kept, each, "a", few), each, "b", few).filter(_distance(F.col("aw"), F.col("bw")) <= MOST_BITS)
@@ -331,7 +331,7 @@ def class_roots(each: DataFrame, least: int, large: int = LARGE, rounds: int = 6
         star = now.join(centre, "k").filter(F.col("r") != F.col("o.r")).withColumns({"p": F.struct("c", "n"), "q": F.struct("o.c", "o.n")})
         a, b = F.least("p", "q"), F.greatest("p", "q")
         links = verified(star.select(a["c"].alias("a"), a["n"].alias("an"), b["c"].alias("b"), b["n"].alias("bn")), each, least)
-        links = cut(links)
+        links = stored(links)
         if not links.isEmpty():  # other centres may still find some
             roots = joined(roots, links)
 
