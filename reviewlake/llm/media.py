@@ -13,9 +13,8 @@ pair of classes is linked if enough corners agree on one.  Links make components
 Each bucket's members are first paired with one of its classes (a star), in a few
 rounds with other centres; that joins dense groups of copies with a pair a member.
 Then members of different components in one bucket are compared, those outside
-its largest component with all others.  A large bucket is cut again by the whole
-descriptor for that; a part that stays large has had its stars and its members'
-other buckets.
+its largest component with all others.  In a large bucket the former are dealt
+over blocks for that, each of which meets all members.
 """
 
 from __future__ import annotations
@@ -36,7 +35,7 @@ from .components import components
 SCALES = (1.0, 0.7071, 0.5)
 RADIUS = 7
 TURNS = 32
-#: Corners match up to so many differing bits; buckets above LARGE are cut again.
+#: Corners match up to so many differing bits; buckets above LARGE are dealt over blocks.
 MOST_BITS, LARGE = 36, 64
 WORDS = 4
 #: Broadcast up to so many pairs of corners (some 100 bytes each).
@@ -293,12 +292,13 @@ def consensus(found: DataFrame, least: int, bin_size: float = 12.0) -> DataFrame
     return counted.groupBy("a", "b").agg(F.max(F.least("m", "n")).alias("votes")).filter(F.col("votes") >= least)
 
 
-def _across(members: DataFrame, key: list[str]) -> DataFrame:
-    """Corners (a, an, b, bn) near each other in one bucket but of
-    different components, one of them outside the bucket's largest."""
+def _across(members: DataFrame, key: list[str], others: DataFrame | None = None) -> DataFrame:
+    """Corners (a, an, b, bn) near each other in one bucket but of different
+    components, one of them of members and outside the bucket's largest, the
+    other of others (members too by default)."""
     few = members.filter(F.col("r") != F.col("most")).select(*(F.col(k).alias(f"_{k}") for k in key), F.col("r").alias("r1"), F.col("words").alias("w1"), F.struct("c", "n").alias("p"))
     other = (F.col("r") != F.col("r1")) & ((F.col("r") == F.col("most")) | (F.col("r1") < F.col("r")))
-    got = few.join(members.withColumn("q", F.struct("c", "n")), [*(F.col(k) == F.col(f"_{k}") for k in key), other, _distance(F.col("w1"), F.col("words")) <= MOST_BITS])
+    got = few.join((members if others is None else others).withColumn("q", F.struct("c", "n")), [*(F.col(k) == F.col(f"_{k}") for k in key), other, _distance(F.col("w1"), F.col("words")) <= MOST_BITS])
     a, b = F.least("p", "q"), F.greatest("p", "q")
     return got.select(a["c"].alias("a"), a["n"].alias("an"), b["c"].alias("b"), b["n"].alias("bn"))
 
@@ -340,11 +340,12 @@ def class_roots(each: DataFrame, least: int, large: int = LARGE, rounds: int = 6
     mixed = sizes.groupBy("k").agg(F.count(F.lit(1)).alias("_r"), F.sum("m").alias("size"), F.max_by("r", F.struct("m", "r")).alias("most")).filter(F.col("_r") > 1).drop("_r")
     members = stored(last.join(mixed, "k").join(each.select("c", "n", "words"), ["c", "n"]))
     small = _across(members.filter(F.col("size") <= large), ["k"])
-    # A large bucket is cut again by the whole descriptor; parts that stay large have had their stars.
-    again = members.filter(F.col("size") > large).withColumn("k2", F.xxhash64("words"))
-    parts = again.groupBy("k", "k2").agg(F.count(F.lit(1)).alias("part"))
-    split = _across(again.join(parts, ["k", "k2"]).filter(F.col("part") <= large), ["k", "k2"])
-    return joined(roots, verified(small.unionAll(split), each, least))
+    # All of a large bucket's pairs too: each member outside its largest component is in one block, every member in all.
+    parts = F.ceil(F.col("size") / (16 * large)).cast("int")
+    hot = members.filter(F.col("size") > large)
+    one = hot.withColumn("part", F.pmod(F.xxhash64("c", "n"), parts).cast("int"))
+    dealt = _across(one, ["k", "part"], hot.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))))
+    return joined(roots, verified(small.unionAll(dealt), each, least))
 
 
 def image_copies(df: DataFrame, image: str = "image", id_col: str = "id", most: int = 12, least: int = 5) -> DataFrame:

@@ -48,6 +48,18 @@ def test_dense_groups_and_large_buckets(spark):
         assert {(r["c"], r["root"]) for r in class_roots(each, 5, large).collect()} == {(c, 0) for c in range(1, 30)}
 
 
+def test_large_buckets_compare_corners_that_differ(spark):
+    """Every bucket holds 20 classes; only classes 2 i and 2 i + 1 agree on places, with 6 differing bits in the last word."""
+    base = [[int(w) for w in RNG.integers(-(1 << 62), 1 << 62, 4)] for _ in range(6)]
+    rows = []
+    for c in range(20):
+        at = np.random.default_rng(c // 2).integers(0, 4000, (6, 2)).astype(float)
+        rows += [(c, n, [*base[n][:3], base[n][3] ^ (63 << 6 * (c % 2))], (float(at[n, 0]), float(at[n, 1]), 0, 0)) for n in range(6)]
+    each = spark.createDataFrame(rows, "c long, n int, words array<long>, t struct<x:float,y:float,turn:int,scale:int>")
+    for large in (64, 4, 1):
+        assert {(r["c"], r["root"]) for r in class_roots(each, 5, large, 0).collect()} == {(c, c - 1) for c in range(1, 20, 2)}
+
+
 def test_drawing(spark):
     df = spark.createDataFrame([(50, [0.1, -0.2, 0.3]), (51, [0.5]), (52, None), (53, [])], "vec_id long, embedding array<float>")
     got = {r["id"]: r["image"] for r in drawn(df).collect()}
