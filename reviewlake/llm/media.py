@@ -4,17 +4,19 @@ normalised binary tests, Hamming-table joins and geometric consensus.
 Images with the same pixels are one class first.  In each class's grey image,
 corners (Harris) are found on three scales; each has an orientation from its
 patch's intensity centroid and a descriptor of 256 comparisons of smoothed pixels
-at positions turned by that orientation.  The four words of 64 bits of a descriptor
-are the keys of four tables: two descriptors within 3 differing bits share at
-least one, those further apart often do.  Corners that share a key and differ
-in few enough bits vote for a similarity transform (turn, scale and shift); a
-pair of classes is linked if enough corners agree on one.  Links make components.
-
-Each bucket's members are first paired with one of its classes (a star), in a few
-rounds with other centres; that joins dense groups of copies with a pair a member.
-Then members of different components in one bucket are compared, those outside
-its largest component with all others.  In a large bucket the former are dealt
-over blocks for that, each of which meets all members.
+at positions turned by that orientation.  Corners that share a key and differ in
+few enough bits vote for a similarity transform (turn, scale and shift); a pair
+of classes is linked if enough corners agree on one.  Links make components.
+
+First, dense groups of copies are joined with a pair a member: the four words of
+64 bits of a descriptor are the keys of four tables, and each bucket's members are
+paired with one of its classes (a star), in a few rounds with other centres.  That
+only saves work.  Then the eight halves of the words are the keys of eight tables:
+two descriptors within 7 differing bits share at least one, those further apart
+often do.  Members of a bucket of which the components differ are all compared; in
+a large bucket those outside its largest component are dealt over blocks for that,
+each of which meets all members.  A pair of corners is given once, by the first of
+its tables, and class pairs with too few of them go before corners are read.
 """
 
 from __future__ import annotations
@@ -251,10 +253,24 @@ def _distance(a: Column, b: Column) -> Column:
 
 
 def table_keys(words: Column) -> Column:
-    """The keys of a descriptor: a hash of each word and its table's number."""
+    """The keys of the stars: a hash of each word and its table's number."""
     return F.array(*(F.xxhash64(F.lit(i), words[i]) for i in range(WORDS)))
 
 
+def short_keys(words: Column) -> Column:
+    """The keys of the comparison across components: the halves of the words, with their table's number above."""
+    return F.array(*(F.shiftrightunsigned(words[i // 2], 32 * (i % 2)).bitwiseAND(F.lit((1 << 32) - 1)).bitwiseOR(F.lit(i << 32)) for i in range(2 * WORDS)))
+
+
+def _first_table(a: Column, b: Column) -> Column:
+    """Number of the first table of short_keys in which two descriptors share a key."""
+    out = F.lit(None).cast("long")
+    for i in reversed(range(2 * WORDS)):
+        half = a[i // 2].bitwiseXOR(b[i // 2]).bitwiseAND(F.lit((1 << 32) - 1 if i % 2 == 0 else -1 << 32))
+        out = F.when(half == 0, F.lit(i).cast("long")).otherwise(out)
+    return out
+
+
 def _with_corner(pairs: DataFrame, each: DataFrame, side: str, few: bool) -> DataFrame:
     own = each.select(F.col("c").alias(side), F.col("n").alias(f"{side}n"), F.col("words").alias(f"{side}w"), F.col("t").alias(f"{side}t"))
     return (F.broadcast(pairs) if few else pairs).join(own, [side, f"{side}n"])
@@ -264,6 +280,8 @@ def verified(pairs: DataFrame, each: DataFrame, least: int) -> DataFrame:
     """(a, b) of pairs(a, an, b, bn), corners of two classes with a key in common,
     by distance and consensus.  Classes with fewer than `least` such corners on
     either side can't agree on as many places and go before corners are read."""
+    each_pair = F.count(F.lit(1)).over(Window.partitionBy("a", "b"))
+    pairs = stored(pairs.withColumn("m", each_pair).filter(F.col("m") >= least).drop("m"))
     enough = pairs.groupBy("a", "b").agg(F.size(F.collect_set("an")).alias("x"), F.size(F.collect_set("bn")).alias("y")).filter((F.col("x") >= least) & (F.col("y") >= least))
     kept = stored(pairs.join(enough.select("a", "b"), ["a", "b"], "left_semi").distinct())
     # Few pairs go to where the corners are; many are joined by a shuffle.
@@ -292,15 +310,30 @@ def consensus(found: DataFrame, least: int, bin_size: float = 12.0) -> DataFrame
     return counted.groupBy("a", "b").agg(F.max(F.least("m", "n")).alias("votes")).filter(F.col("votes") >= least)
 
 
-def _across(members: DataFrame, key: list[str], others: DataFrame | None = None) -> DataFrame:
-    """Corners (a, an, b, bn) near each other in one bucket but of different
-    components, one of them of members and outside the bucket's largest, the
-    other of others (members too by default)."""
-    few = members.filter(F.col("r") != F.col("most")).select(*(F.col(k).alias(f"_{k}") for k in key), F.col("r").alias("r1"), F.col("words").alias("w1"), F.struct("c", "n").alias("p"))
-    other = (F.col("r") != F.col("r1")) & ((F.col("r") == F.col("most")) | (F.col("r1") < F.col("r")))
-    got = few.join((members if others is None else others).withColumn("q", F.struct("c", "n")), [*(F.col(k) == F.col(f"_{k}") for k in key), other, _distance(F.col("w1"), F.col("words")) <= MOST_BITS])
-    a, b = F.least("p", "q"), F.greatest("p", "q")
-    return got.select(a["c"].alias("a"), a["n"].alias("an"), b["c"].alias("b"), b["n"].alias("bn"))
+def across(keyed: DataFrame, large: int) -> DataFrame:
+    """Corners (a, an, b, bn) of different components r that share a key k in
+    keyed(k, c, n, r, words) and are near each other; each pair once."""
+
+    def side(df: DataFrame, i: int) -> DataFrame:
+        return df.select(*(F.col(c).alias(f"{c}{i}") for c in df.columns if c not in ("size", "most")))
+
+    near = (_distance(F.col("words1"), F.col("words2")) <= MOST_BITS) & (_first_table(F.col("words1"), F.col("words2")) == F.shiftright("k1", 32))
+    sizes = stored(keyed.groupBy("k").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > large))
+    small = keyed.join(sizes.select("k"), "k", "left_anti")
+    got = [side(small, 1).join(side(small, 2), [F.col("k1") == F.col("k2"), F.col("c1") < F.col("c2"), F.col("r1") != F.col("r2"), near])]
+    # All of a large bucket's pairs too: each member outside its largest component is in one block, every member in all.
+    members = keyed.join(sizes.select("k"), "k")
+    by = members.groupBy("k", "r").agg(F.count(F.lit(1)).alias("m"))
+    mixed = by.groupBy("k").agg(F.count(F.lit(1)).alias("_r"), F.sum("m").alias("size"), F.max_by("r", F.struct("m", "r")).alias("most")).filter(F.col("_r") > 1).drop("_r")
+    hot = stored(members.join(mixed, "k"))
+    parts = F.ceil(F.col("size") / (16 * large)).cast("int")
+    one = hot.filter(F.col("r") != F.col("most")).withColumn("part", F.pmod(F.xxhash64("c", "n"), parts).cast("int"))
+    dealt = hot.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).withColumn("top", F.col("r") == F.col("most"))
+    got.append(side(one, 1).join(side(dealt, 2), [F.col("k1") == F.col("k2"), F.col("part1") == F.col("part2"), F.col("r1") != F.col("r2"), F.col("top2") | (F.col("r1") < F.col("r2")), near]))
+    p, q = F.struct(F.col("c1").alias("c"), F.col("n1").alias("n")), F.struct(F.col("c2").alias("c"), F.col("n2").alias("n"))
+    a, b = F.least(p, q), F.greatest(p, q)
+    each = [x.select(a["c"].alias("a"), a["n"].alias("an"), b["c"].alias("b"), b["n"].alias("bn")) for x in got]
+    return each[0].unionAll(each[1])
 
 
 def joined(roots: DataFrame, links: DataFrame) -> DataFrame:
@@ -335,17 +368,9 @@ def class_roots(each: DataFrame, least: int, large: int = LARGE, rounds: int = 6
         if not links.isEmpty():  # other centres may still find some
             roots = joined(roots, links)
 
-    last = named()
-    sizes = last.groupBy("k", "r").agg(F.count(F.lit(1)).alias("m"))
-    mixed = sizes.groupBy("k").agg(F.count(F.lit(1)).alias("_r"), F.sum("m").alias("size"), F.max_by("r", F.struct("m", "r")).alias("most")).filter(F.col("_r") > 1).drop("_r")
-    members = stored(last.join(mixed, "k").join(each.select("c", "n", "words"), ["c", "n"]))
-    small = _across(members.filter(F.col("size") <= large), ["k"])
-    # All of a large bucket's pairs too: each member outside its largest component is in one block, every member in all.
-    parts = F.ceil(F.col("size") / (16 * large)).cast("int")
-    hot = members.filter(F.col("size") > large)
-    one = hot.withColumn("part", F.pmod(F.xxhash64("c", "n"), parts).cast("int"))
-    dealt = _across(one, ["k", "part"], hot.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))))
-    return joined(roots, verified(small.unionAll(dealt), each, least))
+    known = each.select("c", "n", "words").join(roots, "c", "left").select("c", "n", F.coalesce("root", "c").alias("r"), "words")
+    keyed = known.select("c", "n", "r", "words", F.explode(short_keys(F.col("words"))).alias("k"))
+    return joined(roots, verified(across(keyed, large), each, least))
 
 
 def image_copies(df: DataFrame, image: str = "image", id_col: str = "id", most: int = 12, least: int = 5) -> DataFrame:

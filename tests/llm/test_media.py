@@ -60,6 +60,17 @@ def test_large_buckets_compare_corners_that_differ(spark):
         assert {(r["c"], r["root"]) for r in class_roots(each, 5, large, 0).collect()} == {(c, c - 1) for c in range(1, 20, 2)}
 
 
+def test_corners_with_errors_in_every_word_are_compared(spark):
+    """Seven errors, one in each of the first seven halves: no word is whole."""
+    errors = [1 << 5 | 1 << 40, 1 << 9 | 1 << 50, 1 << 3 | 1 << 33, 1 << 7]
+    rows = []
+    for n in range(6):
+        words = [int(w) for w in RNG.integers(-(1 << 62), 1 << 62, 4)]
+        rows += [(c, n, [w ^ e * c for w, e in zip(words, errors)], (20.0 * n, 10.0 * n * n, 0, 0)) for c in range(2)]
+    each = spark.createDataFrame(rows, "c long, n int, words array<long>, t struct<x:float,y:float,turn:int,scale:int>")
+    assert [(r["c"], r["root"]) for r in class_roots(each, 5).collect()] == [(1, 0)]
+
+
 def test_drawing(spark):
     df = spark.createDataFrame([(50, [0.1, -0.2, 0.3]), (51, [0.5]), (52, None), (53, [])], "vec_id long, embedding array<float>")
     got = {r["id"]: r["image"] for r in drawn(df).collect()}
