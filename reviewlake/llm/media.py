@@ -40,6 +40,8 @@ TURNS = 32
 #: Corners match up to so many differing bits; buckets above LARGE are dealt over blocks.
 MOST_BITS, LARGE = 36, 64
 WORDS = 4
+#: Each square of CELL pixels of a scale keeps its strongest corners.
+CELL = 64
 #: Broadcast up to so many pairs of corners (some 100 bytes each).
 FEW_PAIRS = 100_000
 PNG = b"\x89PNG\r\n\x1a\n"
@@ -163,9 +165,9 @@ _TESTS = _tests()
 
 
 def corners(images: np.ndarray, most: int) -> tuple[np.ndarray, ...]:
-    """Up to `most` corners on each scale of each of (image, height, width):
-    image number, x, y (of the full image), turn, scale number, the four
-    words of the descriptor."""
+    """Up to `most` corners in each cell of each scale of each of (image, height,
+    width), so that their number grows with the image: image number, x, y (of
+    the full image), turn, scale number, the four words of the descriptor."""
     found: list[list[np.ndarray]] = []
     for k, scale in enumerate(SCALES):
         x = _resized(images, scale)
@@ -184,11 +186,12 @@ def corners(images: np.ndarray, most: int) -> tuple[np.ndarray, ...]:
                 top = np.maximum(top, np.roll(top, way, axis=axis))
         # A corner also stands out from the flat noise of its image.
         inner[(inner < top) | (inner < 0.01 * inner.max(axis=(1, 2), keepdims=True)) | (inner < 1e3)] = 0
-        flat = inner.reshape(len(x), -1)
-        order = np.argsort(-flat, axis=1, kind="stable")[:, :most]
-        owner, rank = np.nonzero(np.take_along_axis(flat, order, axis=1) > 0)
-        at = order[owner, rank]
-        yy, xx = at // x.shape[2], at % x.shape[2]
+        owner, yy, xx = np.nonzero(inner > 0)
+        cell = (owner * (x.shape[1] // CELL + 1) + yy // CELL) * (x.shape[2] // CELL + 1) + xx // CELL
+        order = np.lexsort((-inner[owner, yy, xx], cell))
+        cell = cell[order]
+        kept = order[np.arange(len(cell)) - np.searchsorted(cell, cell) < most]
+        owner, yy, xx = owner[kept], yy[kept], xx[kept]
         if not len(owner):
             continue
         r = np.arange(-RADIUS, RADIUS + 1)
@@ -377,7 +380,8 @@ def image_copies(df: DataFrame, image: str = "image", id_col: str = "id", most:
     """(id, class_id, n_corners, component_id) for each row of df.
 
     class_id is the least id with the same bytes; component_id the least id
-    reachable over links, pairs of classes that share enough geometry.  Null,
+    reachable over links, pairs of classes that share enough geometry: `least`
+    corners of the up to `most` that each cell of a scale keeps.  Null,
     empty and undecodable images are classed by their bytes (null as empty) and
     have 0 corners and no link.  Repeated rows are kept; null ids count only
     where a class has no other.

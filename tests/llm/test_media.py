@@ -71,6 +71,18 @@ def test_corners_with_errors_in_every_word_are_compared(spark):
     assert [(r["c"], r["root"]) for r in class_roots(each, 5).collect()] == [(1, 0)]
 
 
+def test_corners_grow_with_the_image_and_crops_are_found(spark):
+    rows = []
+    for i in range(4):
+        x = picture(50 + i, 320)
+        edited = x.copy()
+        edited[:60, :60] = np.kron(np.random.default_rng(i).integers(0, 2, (10, 10)), np.ones((6, 6))) * 255  # a stronger pattern
+        rows += [(i, encode_png(x)), (100 + i, encode_png(x[37:190, 51:204])), (200 + i, encode_png(edited))]
+    got = {r["id"]: r for r in image_copies(spark.createDataFrame(rows, "id long, image binary")).collect()}
+    assert got[0]["n_corners"] > 3 * 36
+    assert [(got[100 + i]["component_id"], got[200 + i]["component_id"]) for i in range(4)] == [(i, i) for i in range(4)]
+
+
 def test_drawing(spark):
     df = spark.createDataFrame([(50, [0.1, -0.2, 0.3]), (51, [0.5]), (52, None), (53, [])], "vec_id long, embedding array<float>")
     got = {r["id"]: r["image"] for r in drawn(df).collect()}
