@@ -1,21 +1,22 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-Each source is cut into blocks of equal cost.  With integer weights a of a total
-W, block j (from 1) of a source is released at slot floor((j-1) W / a) and due at
-ceil(j W / a).  Earliest deadline first over the released blocks then fills
-every slot and keeps each source within less than one block of its weight at
-every slot.  The schedule repeats every W slots, so the driver computes one
-period and block numbers follow by arithmetic: what is broadcast depends on W
-and on the number of sources, not on the rows.
+Each source is cut into blocks of equal cost.  With target shares v / V, exact
+fractions, block j (from 1) of a source is released at slot floor((j-1) V / v)
+and due at ceil(j V / v).  Earliest deadline first over the released blocks then
+fills every slot and keeps each source within less than one block of its target
+at every slot, however many there are.  The driver computes the slots of all
+blocks: its work grows with the number of blocks (of 64 KiB by default), not
+with the rows.
 
 When a source has no block left, the others go on with their weights scaled up
-(a new phase with its own period), so that no row is dropped.
+(a new phase), so that no row is dropped.
 """
 
 from __future__ import annotations
 
 import heapq
 import math
+from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,6 +25,8 @@ from .common import packed, stored
 
 #: Rows of one source that one sorting task gets, about.
 ROWS_PER_BUCKET = 50_000
+#: Broadcast the slots of up to so many blocks; more are joined as Spark sees fit.
+FEW_PLACES = 1_000_000
 
 
 def quantised(weights: dict[str, float], period: int) -> dict[str, int]:
@@ -37,47 +40,62 @@ def quantised(weights: dict[str, float], period: int) -> dict[str, int]:
     return out
 
 
-def pfair_period(a: dict[str, int]) -> dict[str, list[int]]:
-    """The slots of each source in one period of sum(a.values()) slots."""
-    total = sum(a.values())
-    waiting = [(0, math.ceil(total / w), k, 1) for k, w in a.items()]
+def exact(weights: dict[str, float]) -> dict[str, int]:
+    """Integers in exactly the proportions of the weights."""
+    parts = {k: Fraction(w) for k, w in weights.items()}
+    unit = math.lcm(*(x.denominator for x in parts.values()))
+    return {k: int(x * unit) for k, x in parts.items()}
+
+
+def pfair(v: dict[str, int], blocks: dict[str, int], most: int | None = None) -> tuple[dict[str, list[int]], int]:
+    """The slots of each source up to where one has had all its blocks (or to
+    the first `most`), and their number."""
+    total = sum(v.values())
+    waiting = [(0, -(-total // w), k, 1) for k, w in v.items()]
     heapq.heapify(waiting)
     ready: list[tuple[int, str, int]] = []
-    slots: dict[str, list[int]] = {k: [] for k in a}
-    for t in range(total):
+    slots: dict[str, list[int]] = {k: [] for k in v}
+    t = 0
+    while True:
         while waiting and waiting[0][0] <= t:
             _, due, k, j = heapq.heappop(waiting)
             heapq.heappush(ready, (due, k, j))
         _, k, j = heapq.heappop(ready)
         slots[k].append(t)
-        if j < a[k]:
-            heapq.heappush(waiting, (j * total // a[k], -(-(j + 1) * total // a[k]), k, j + 1))
+        t += 1
+        if j == blocks[k] or t == most:
+            return slots, t
+        heapq.heappush(waiting, (j * total // v[k], -(-(j + 1) * total // v[k]), k, j + 1))
+
+
+def pfair_period(a: dict[str, int]) -> dict[str, list[int]]:
+    """The slots of each source in one period of sum(a.values()) slots."""
+    total = sum(a.values())
+    slots, _ = pfair(a, {k: total + 1 for k in a}, total)
     return slots
 
 
-def schedule(blocks: dict[str, int], weights: dict[str, float], period: int) -> tuple[list[tuple], list[tuple]]:
-    """Phases (source, phase, first block, blocks, base slot, a, W) and periods
+def schedule(blocks: dict[str, int], weights: dict[str, float], period: int | None = None) -> tuple[list[tuple], list[tuple]]:
+    """Phases (source, phase, first block, blocks, base slot, a, W) and places
     (source, phase, k, slot) that place every block.  Sources of weight 0 come
-    after all others, by their number of blocks."""
-    left, done, base = dict(blocks), dict.fromkeys(blocks, 0), 0
-    phases, periods = [], []
+    after all others, by their number of blocks.  A phase is one period, however
+    long, so that no rounded weight is repeated: `period` has no effect."""
+    left, done, base, phase = dict(blocks), dict.fromkeys(blocks, 0), 0, 0
+    phases, places = [], []
     while left:
         active = {k: weights[k] for k in left if weights[k] > 0} or {k: float(left[k]) for k in left}
-        a = quantised(active, max(period, len(active))) if len(active) > 1 else {k: 1 for k in active}
-        total, slots = sum(a.values()), pfair_period(a)
-        ends = {k: (left[k] - 1) // a[k] * total + slots[k][(left[k] - 1) % a[k]] + 1 for k in a}
-        end = min(ends.values())
-        for k in a:
-            n = end // total * a[k] + sum(s < end % total for s in slots[k])
-            if n:
-                phases.append((k, len(periods), done[k], n, base, a[k], total))
-                done[k] += n
-                left[k] -= n
+        slots, end = pfair(exact(active), left)
+        for k, own in slots.items():
+            if own:
+                phases.append((k, phase, done[k], len(own), base, len(own), end))
+                places += [(k, phase, i, t) for i, t in enumerate(own)]
+                done[k] += len(own)
+                left[k] -= len(own)
             if not left[k]:
                 del left[k]
-        periods.append(slots)
         base += end
-    return phases, [(k, p, i, s) for p, slots in enumerate(periods) for k, own in slots.items() for i, s in enumerate(own)]
+        phase += 1
+    return phases, places
 
 
 def source_key(source: Column) -> Column:
@@ -91,7 +109,8 @@ def mix(df: DataFrame, weights: dict[str | None, float] | None = None, source: s
 
     weights: target share of the cost by source, in any unit; a source that it
     doesn't name has weight 0 and comes last.  By default the share of a source
-    is its whole cost to the power alpha.  Rows of a source are in a
+    is its whole cost to the power alpha.  period has no effect: shares are
+    exact.  Rows of a source are in a
     pseudo-random order fixed by id and seed.  A null cost is 0 (a row without
     cost shares its neighbour's block), cost=None gives each row the cost 1, and
     null sources are one source.  More than max_sources sources raise a
@@ -121,11 +140,12 @@ def mix(df: DataFrame, weights: dict[str | None, float] | None = None, source: s
     counts = spark.createDataFrame(list(blocks.items()), "_s string, _n long")
     spans = spark.createDataFrame(phases, "_s string, _p int, _first long, _m long, _base long, _a long, _w long")
     places = spark.createDataFrame(periods, "_s string, _p int, _k long, _slot long")
-    # All three are bounded: sources, phases (at most one a source) and period.
+    # Sources, and at most one phase and one slot a block.
+    few = F.broadcast if len(periods) <= FEW_PLACES else (lambda x: x)
     spans = spans.join(counts, "_s")
     at = F.least(F.floor(F.col("_at") / block), F.col("_n") - 1)
-    placed = placed.join(F.broadcast(spans), "_s").withColumn("_j", at).filter((F.col("_j") >= F.col("_first")) & (F.col("_j") < F.col("_first") + F.col("_m")))
+    placed = placed.join(few(spans), "_s").withColumn("_j", at).filter((F.col("_j") >= F.col("_first")) & (F.col("_j") < F.col("_first") + F.col("_m")))
     placed = placed.withColumn("_i", F.col("_j") - F.col("_first")).withColumn("_k", F.col("_i") % F.col("_a"))
-    placed = placed.join(F.broadcast(places), ["_s", "_p", "_k"])
+    placed = placed.join(few(places), ["_s", "_p", "_k"])
     slot = F.col("_base") + F.floor(F.col("_i") / F.col("_a")) * F.col("_w") + F.col("_slot")
     return placed.select("row.*", slot.cast("long").alias("slot"), (F.col("_at") - F.col("_j") * block).cast("long").alias("offset"))

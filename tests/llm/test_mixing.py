@@ -28,6 +28,18 @@ def test_schedule_fills_every_slot_once_and_lets_the_rest_go_on():
     assert min(place["d", j] for j in range(3)) > max(place[k, j] for k in "abc" for j in range(blocks[k]))
 
 
+def test_schedule_keeps_to_the_targets_themselves_over_many_periods():
+    for weights in ({"hot": 0.9, **{str(i): 0.005 for i in range(20)}}, {"hot": 1.0, "rare": 1e-4, "x": 0.3}, {"hot": (1 / 3) ** 0.7, **{str(i): (1 / 30) ** 0.7 for i in range(20)}}):
+        total, span = sum(weights.values()), 20_000
+        phases, places = schedule({k: span for k in weights}, weights, 1024)
+        at = sorted((s, k) for k, p, _, s in places if p == 0)
+        seen, worst = dict.fromkeys(weights, 0), 0.0
+        for t, (s, k) in enumerate(at[:span], 1):
+            seen[k] += 1
+            worst = max(worst, abs(seen[k] - t * weights[k] / total), *(abs(seen[x] - t * weights[x] / total) for x in weights) if t % 64 == 0 else (0,))
+        assert worst < 1.000001
+
+
 def test_mix_places_every_row_and_keeps_columns(docs):
     rows = [(i, "t", "en", ["x", "y", None, ""][i % 7 % 4], 10) for i in range(200)] + [(5, "t", "en", "y", 10)] * 2 + [(None, None, None, "x", None)]
     got = mix(docs(rows), {"x": 1, "y": 3, None: 1, "": 1}, block=20, period=64).collect()
