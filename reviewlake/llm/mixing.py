@@ -103,7 +103,7 @@ def source_key(source: Column) -> Column:
     return F.coalesce(F.concat(F.lit("="), source.cast("string")), F.lit(""))
 
 
-def mix(df: DataFrame, weights: dict[str | None, float] | None = None, source: str = "source", id_col: str = "doc_id", cost: str | None = "n_chars", block: int = 65_536, alpha: float = 0.7, period: int = 1024, max_sources: int = 256, seed: int = 7) -> DataFrame:
+def mix(df: DataFrame, weights: dict[str | None, float] | None = None, source: str = "source", id_col: str = "doc_id", cost: str | None = "n_chars", block: int = 65_536, alpha: float = 0.7, period: int = 1024, max_sources: int | None = None, seed: int = 7) -> DataFrame:
     """df with slot, its block's place in the mixture, and offset, the cost of
     what stands before the row in its block; (slot, offset) is the order.
 
@@ -113,15 +113,15 @@ def mix(df: DataFrame, weights: dict[str | None, float] | None = None, source: s
     exact.  Rows of a source are in a
     pseudo-random order fixed by id and seed.  A null cost is 0 (a row without
     cost shares its neighbour's block), cost=None gives each row the cost 1, and
-    null sources are one source.  More than max_sources sources raise a
-    ValueError: group them first.  Every row is placed once; an empty table
+    null sources are one source.  More than max_sources sources, where given,
+    raise a ValueError; the schedule itself has no bound.  Every row is placed once; an empty table
     gives an empty result.
     """
     unit = F.lit(1).cast("long") if cost is None else F.greatest(F.coalesce(F.col(cost).cast("long"), F.lit(0)), F.lit(0)).cast("long")
     own = [c for c in df.columns if c not in ("slot", "offset")]
     df = packed(df.select(*own), _s=source_key(F.col(source)), _c=unit, _h=F.xxhash64(F.col(id_col), F.lit(seed)))
-    sums = df.groupBy("_s").agg(F.sum("_c").alias("c"), F.count(F.lit(1)).alias("n")).limit(max_sources + 1).collect()
-    if len(sums) > max_sources:
+    sums = df.groupBy("_s").agg(F.sum("_c").alias("c"), F.count(F.lit(1)).alias("n")).collect()
+    if max_sources is not None and len(sums) > max_sources:
         raise ValueError(f"more than {max_sources} sources")
     blocks = {r["_s"]: max(1, -(-r["c"] // block)) for r in sums}
     named = {k: w for k, w in ((("" if k is None else f"={k}"), w) for k, w in weights.items())} if weights is not None else {r["_s"]: max(r["c"], 1) ** alpha for r in sums}

@@ -16,6 +16,9 @@ from reviewlake.functions.text import hash_features, search_tokens, strip
 # BM25's k1 and b, the least chunk, RRF's constant.
 K1, B, LEAST_CHUNK, RRF_K = 1.5, 0.75, 24, 60
 
+#: Queries of one broadcast, about.
+QUERY_BLOCK = 10_000
+
 
 def chunks(docs: DataFrame, least: int = LEAST_CHUNK) -> DataFrame:
     """docs(doc_ord, source, text) -> (doc_ord, chunk_no, chunk_id, source,
@@ -116,17 +119,30 @@ def cosine(a: Column, b: Column) -> Column:
     return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
-def nearest(queries: DataFrame, vectors: DataFrame, key: list[str], k: int, vec: str = "vec", most_queries: int = 10_000) -> DataFrame:
+def nearest(queries: DataFrame, vectors: DataFrame, key: list[str], k: int, vec: str = "vec", most_queries: int | None = None) -> DataFrame:
     """(query_id, *key, score, rank): the k rows of most cosine similarity (6
     decimals) for each of queries(query_id, vec).
 
-    Exact: a stated set of queries, whose number is checked before it is
-    broadcast, against all rows.  Each task keeps its k best of a query before
-    anything is shuffled.
+    Exact: the queries, in blocks of about QUERY_BLOCK that are broadcast,
+    against all rows.  Each task keeps its k best of a query before anything is
+    shuffled.  More than most_queries, where given, raise a ValueError.
     """
-    if queries.limit(most_queries + 1).count() > most_queries:
+    asked = queries.select("query_id", F.col(vec).alias("_q"))
+    n = asked.count()
+    if most_queries is not None and n > most_queries:
         raise ValueError(f"more than {most_queries} queries: search for them in parts")
-    asked = F.broadcast(queries.select("query_id", F.col(vec).alias("_q")))
+    blocks = max(1, -(-n // QUERY_BLOCK))
+    # All vectors of one query are in one block, so a block's best are final.
+    block = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
+    parts = [_nearest(asked.filter(block == i) if blocks > 1 else asked, vectors, key, k, vec) for i in range(blocks)]
+    whole = parts[0]
+    for p in parts[1:]:
+        whole = whole.unionByName(p)
+    return whole
+
+
+def _nearest(asked: DataFrame, vectors: DataFrame, key: list[str], k: int, vec: str) -> DataFrame:
+    asked = F.broadcast(asked)
     scored = vectors.select(*key, F.col(vec).alias("_v")).join(asked).withColumn("score", F.round(cosine(F.col("_q"), F.col("_v")), 6)).filter(F.col("score").isNotNull()).drop("_q", "_v")
     return top_k(scored, key, max(k, 1))
 

@@ -55,6 +55,11 @@ def test_mix_places_every_row_and_keeps_columns(docs):
     assert {tuple(r) for r in mix(docs(rows), {"x": 1, "y": 3, None: 1, "": 1}, block=20, period=64).collect()} == {tuple(r) for r in got}
 
 
+def test_mix_of_more_than_256_sources(docs):
+    got = mix(docs([(i, "t", "en", f"s{i % 300}", 10) for i in range(600)]), block=10).collect()
+    assert sorted(r["slot"] for r in got) == list(range(600)) and len({r["source"] for r in got}) == 300
+
+
 def test_mix_of_nothing_and_of_too_many_sources(docs):
     assert mix(docs([])).count() == 0
     with pytest.raises(ValueError):

@@ -79,6 +79,19 @@ def test_nearest_and_fusion(spark):
     assert [(r["k"], r["score"]) for r in got] == [("x", round(1 / 61 + 1 / 62, 8)), ("z", round(1 / 61, 8)), ("y", round(1 / 62, 8))]
 
 
+def test_many_queries_are_searched_in_blocks(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, [math.cos(i), math.sin(i)]) for i in range(40)], "id int, vec array<double>")
+    queries = rows.select(F.col("id").alias("query_id"), "vec")
+    whole = sorted(map(tuple, retrieve.nearest(queries, rows, ["id"], 3).collect()))
+    monkeypatch.setattr(retrieve, "QUERY_BLOCK", 12)
+    assert len(whole) == 120 and sorted(map(tuple, retrieve.nearest(queries, rows, ["id"], 3).collect())) == whole
+
+
+def test_more_queries_than_one_block_are_all_answered(spark):
+    queries = spark.range(10_001).select(F.col("id").alias("query_id"), F.array(F.lit(1.0), F.lit(0.5)).alias("vec"))
+    assert retrieve.nearest(queries, queries.limit(2).select(F.col("query_id").alias("id"), "vec"), ["id"], 1).count() == 10_001
+
+
 def test_search_and_context(spark):
     ix = index(spark, TEXT)
     q = spark.createDataFrame([(1, "swallow errors"), (2, "zzz")], "query_id int, text string")
