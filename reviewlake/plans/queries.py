@@ -171,9 +171,9 @@ def rule_scan_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register(FOUND + "SELECT rule_id, count(*) AS hits, count(DISTINCT path) AS files FROM found GROUP BY rule_id")
-def rule_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def rule_counts(spark: SparkSession, sf_dir: str, rules: tuple = PLAIN) -> DataFrame:
     """O-66."""
-    return code_findings(spark, sf_dir).groupBy("rule_id").agg(F.count(F.lit(1)).alias("hits"), F.count_distinct("file").alias("files"))
+    return code_findings(spark, sf_dir, rules).groupBy("rule_id").agg(F.count(F.lit(1)).alias("hits"), F.count_distinct("file").alias("files"))
 
 
 @register("WITH l AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS t, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS n FROM documents) SELECT CAST(doc_id AS VARCHAR) AS diff_id, n AS line, greatest(n - 5, 0) AS frame_lo, md5(string_agg(t, chr(10)) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING)) AS frame FROM l")
@@ -234,16 +234,16 @@ SECOND = (
 )
 
 
-def reviewed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+def reviewed(spark: SparkSession, sf_dir: str, rules: tuple = PLAIN) -> tuple[DataFrame, DataFrame]:
     """(all findings, those of the rules and those of the second source at added lines; merged ones)."""
     lines = diff.file_lines(diff.review_targets(diff.parse_files(code_diffs(spark, sf_dir))))
     kept, _ = gates.anchored(second_source(spark, sf_dir), diff.added_index(lines))
-    found = scan.scan(lines, PLAIN).unionByName(kept)
+    found = scan.scan(lines, rules).unionByName(kept)
     return found, gates.merged(found)
 
 
-def capped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return gates.capped(gates.floored(reviewed(spark, sf_dir)[1]), 2)
+def capped(spark: SparkSession, sf_dir: str, rules: tuple = PLAIN) -> DataFrame:
+    return gates.capped(gates.floored(reviewed(spark, sf_dir, rules)[1]), 2)
 
 
 @register(FOUND + SECOND + "SELECT CAST(o AS VARCHAR) AS diff_id, path AS file, n AS line FROM anchored")
@@ -261,33 +261,33 @@ def anchor_dropped(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register(FOUND + "SELECT CAST(o AS VARCHAR) AS diff_id, rule_id, left(sha1(path || '|' || n || '|' || category), 12) AS fingerprint FROM found")
-def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+def fingerprints(spark: SparkSession, sf_dir: str, rules: tuple = PLAIN) -> DataFrame:
     """O-113."""
-    return code_findings(spark, sf_dir).select("diff_id", "rule_id", gates.fingerprint(F.col("file"), F.col("line"), F.col("category")).alias("fingerprint"))
+    return code_findings(spark, sf_dir, rules).select("diff_id", "rule_id", gates.fingerprint(F.col("file"), F.col("line"), F.col("category")).alias("fingerprint"))
 
 
 @register(FOUND + SECOND + "SELECT CAST(o AS VARCHAR) AS diff_id, path AS file, n AS line, rule_id, round(confidence, 6) AS confidence, corroborated, size AS group_size FROM merged")
-def merge_corroborate(spark: SparkSession, sf_dir: str) -> DataFrame:
+def merge_corroborate(spark: SparkSession, sf_dir: str, rules: tuple = PLAIN) -> DataFrame:
     """O-112..O-115."""
-    return reviewed(spark, sf_dir)[1].select("diff_id", "file", "line", "rule_id", F.round("confidence", 6).alias("confidence"), "corroborated", "group_size")
+    return reviewed(spark, sf_dir, rules)[1].select("diff_id", "file", "line", "rule_id", F.round("confidence", 6).alias("confidence"), "corroborated", "group_size")
 
 
 @register(FOUND + SECOND + "SELECT CAST(o AS VARCHAR) AS diff_id, count(*) - count(DISTINCT (path, n, category)) AS merged_duplicates FROM both_kinds GROUP BY o")
-def merged_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+def merged_duplicates(spark: SparkSession, sf_dir: str, rules: tuple = PLAIN) -> DataFrame:
     """O-116."""
-    return gates.merged_duplicates(reviewed(spark, sf_dir)[0])
+    return gates.merged_duplicates(reviewed(spark, sf_dir, rules)[0])
 
 
 @register(FOUND + SECOND + "SELECT CAST(o AS VARCHAR) AS diff_id, path AS file, n AS line, rule_id, severity FROM capped")
-def cap_per_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+def cap_per_file(spark: SparkSession, sf_dir: str, rules: tuple = PLAIN) -> DataFrame:
     """O-51, O-117."""
-    return capped(spark, sf_dir).select("diff_id", "file", "line", "rule_id", "severity")
+    return capped(spark, sf_dir, rules).select("diff_id", "file", "line", "rule_id", "severity")
 
 
 @register(FOUND + SECOND + "SELECT row_number() OVER (ORDER BY CAST(o AS VARCHAR), sev_rank, path, n NULLS LAST, llm, rule_ord) AS at, CAST(o AS VARCHAR) AS diff_id, rule_id, n AS line FROM capped")
-def final_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+def final_order(spark: SparkSession, sf_dir: str, rules: tuple = PLAIN) -> DataFrame:
     """O-118, O-144: places in the order of diffs, numbered within ranges of the sort."""
-    order = gates.ordered(capped(spark, sf_dir))
+    order = gates.ordered(capped(spark, sf_dir, rules))
     # Numbers of a global order: sizes of the diffs before, and the place within the diff.
     within = Window.partitionBy("diff_id").orderBy("sev_rank", "file", F.col("line").asc_nulls_last(), "finding_seq")
     sizes = order.groupBy("diff_id").agg(F.count(F.lit(1)).alias("size"))
@@ -300,33 +300,33 @@ def final_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @register(FOUND + SECOND + "SELECT CAST(o AS VARCHAR) AS diff_id, count(*) FILTER (severity = 'high') AS high, count(*) FILTER (severity = 'medium') AS medium, count(*) FILTER (severity = 'low') AS low, count(*) FILTER (severity = 'info') AS info, count(*) AS total FROM capped GROUP BY o")
-def severity_hist(spark: SparkSession, sf_dir: str) -> DataFrame:
+def severity_hist(spark: SparkSession, sf_dir: str, rules: tuple = PLAIN) -> DataFrame:
     """O-120, O-145."""
-    return gates.severity_histogram(capped(spark, sf_dir))
+    return gates.severity_histogram(capped(spark, sf_dir, rules))
 
 
 @register(FOUND + SECOND + "SELECT CAST(o AS VARCHAR) AS diff_id, bool_or(severity = 'high') AS block, CASE WHEN bool_or(severity = 'high') THEN 1 ELSE 0 END AS exit_code FROM capped GROUP BY o")
-def verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
+def verdict(spark: SparkSession, sf_dir: str, rules: tuple = PLAIN) -> DataFrame:
     """O-52, O-121, O-135, O-147."""
-    return gates.verdict(capped(spark, sf_dir)).withColumn("exit_code", gates.exit_code(F.col("block"), True, F.lit(0), F.lit(1)))
+    return gates.verdict(capped(spark, sf_dir, rules)).withColumn("exit_code", gates.exit_code(F.col("block"), True, F.lit(0), F.lit(1)))
 
 
 @register(FOUND + SECOND + "SELECT rule_id, any_value(category) AS category, min(sev_rank) AS sev_rank, count(*) AS n FROM capped GROUP BY rule_id")
-def rule_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+def rule_summary(spark: SparkSession, sf_dir: str, rules: tuple = PLAIN) -> DataFrame:
     """O-119, O-123."""
-    return gates.rule_summary(capped(spark, sf_dir), ()).select("rule_id", "category", "sev_rank", "n")
+    return gates.rule_summary(capped(spark, sf_dir, rules), ()).select("rule_id", "category", "sev_rank", "n")
 
 
 @register(FOUND + SECOND + "SELECT CAST(o AS VARCHAR) AS diff_id, category, count(*) AS n FROM capped GROUP BY ALL")
-def by_category(spark: SparkSession, sf_dir: str) -> DataFrame:
+def by_category(spark: SparkSession, sf_dir: str, rules: tuple = PLAIN) -> DataFrame:
     """O-119."""
-    return gates.by_category(capped(spark, sf_dir)).select("diff_id", "category", "n")
+    return gates.by_category(capped(spark, sf_dir, rules)).select("diff_id", "category", "n")
 
 
 @register(FOUND + SECOND + "SELECT CAST(o AS VARCHAR) AS diff_id, path AS file, n AS line, rule_id FROM capped WHERE severity = 'high' AND category = 'security' AND contains(lower(title || ' ' || path || ' ' || rule_id), 'sec10')")
-def facet_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+def facet_filter(spark: SparkSession, sf_dir: str, rules: tuple = PLAIN) -> DataFrame:
     """O-54, O-146."""
-    return gates.facets(capped(spark, sf_dir), "high", "security", " SEC10 ").select("diff_id", "file", "line", "rule_id")
+    return gates.facets(capped(spark, sf_dir, rules), "high", "security", " SEC10 ").select("diff_id", "file", "line", "rule_id")
 
 
 @register("SELECT conv_id, turn, CAST(CASE WHEN length(text) = 0 THEN 0 ELSE floor(len(regexp_extract_all(text, '[\\x{4e00}-\\x{9fff}]')) + (length(text) - len(regexp_extract_all(text, '[\\x{4e00}-\\x{9fff}]'))) / 3.5) + 1 END AS BIGINT) AS tokens FROM conversations")
@@ -602,9 +602,9 @@ def full_review(spark: SparkSession, sf_dir: str):
 
 
 @register(FOUND + ", g AS (SELECT *, row_number() OVER (PARTITION BY o, path, n, category ORDER BY confidence DESC, rule_ord) AS pick FROM found), c AS (SELECT * FROM g WHERE pick = 1 QUALIFY row_number() OVER (PARTITION BY o, path ORDER BY sev_rank, confidence DESC, n, rule_ord) <= 6) SELECT CAST(o AS VARCHAR) AS diff_id, path AS file, n AS line, rule_id, severity, confidence, evidence FROM c")
-def review_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+def review_rules(spark: SparkSession, sf_dir: str, rules: tuple = PLAIN) -> DataFrame:
     """The flagship: diffs to findings, by the rules alone (O-124)."""
-    return review(code_diffs(spark, sf_dir), rules=PLAIN).findings.select("diff_id", "file", "line", "rule_id", "severity", "confidence", "evidence")
+    return review(code_diffs(spark, sf_dir), rules=rules).findings.select("diff_id", "file", "line", "rule_id", "severity", "confidence", "evidence")
 
 
 @register()
@@ -640,4 +640,17 @@ def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select(F.date_format("window.start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
-registry.FLAGSHIP = review_rules
+def of_all_rules(query) -> registry.Query:
+    """The query `<name>_all`: as `query`, whose twin has only the rules of PLAIN, but by all rules of the catalog."""
+
+    def whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return query(spark, sf_dir, catalog.RULES)
+
+    whole.__name__, whole.__doc__ = f"{query.__name__}_all", query.__doc__
+    return register()(whole)
+
+
+for _query in (rule_counts, fingerprints, merge_corroborate, merged_duplicates, cap_per_file, final_order, severity_hist, verdict, rule_summary, by_category, facet_filter, review_rules):
+    of_all_rules(_query)
+
+registry.FLAGSHIP = registry.QUERIES["review_rules_all"]

@@ -123,3 +123,20 @@ def test_selection_and_catalog(spark):
 @pytest.mark.parametrize("text", ["", "plain"])
 def test_nothing_to_find(spark, text):
     assert findings(spark, a_py=text).count() == 0
+
+
+def test_queries_of_all_rules_see_what_their_twins_cannot(spark):
+    from reviewlake.functions import catalog
+    from reviewlake.plans import queries, registry
+
+    found = registry.queries()
+    sf = "/root/testdata/sf0.001"
+    lines = spark.read.parquet(f"{sf}/lineitem.parquet").select("l_partkey").collect()
+    planted = {"SEC104": "return eval(expr)", "SEC105": "data = pickle.loads(blob)"}
+    text = [queries.SNIPPETS[r["l_partkey"] % len(queries.SNIPPETS)] for r in lines]
+    hits = {r["rule_id"]: r["hits"] for r in found["rule_counts_all"](spark, sf).collect()}
+    for rule, t in planted.items():
+        assert hits[rule] == text.count(t) > 0
+    assert {r.rule_id for r in catalog.RULES if r.needs_context} & set(hits)
+    assert registry.FLAGSHIP is found["review_rules_all"] and "review_rules_all" not in registry.oracle_sql()
+    assert found["review_rules_all"](spark, sf).filter("rule_id = 'SEC104'").count() > 0
