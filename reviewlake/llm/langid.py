@@ -239,6 +239,6 @@ def identify(df: DataFrame, text: str = "text", lang: str = "lang", id_col: str
 
 
 def known_language(df: DataFrame, text: str = "text") -> DataFrame:
-    """The rows whose language the model can tell, with their columns as they are."""
+    """The rows with a letter, with their columns as they are: the model's score rejects none."""
     rows = packed(df, doc_id=F.col("doc_id"), text=F.col(text), lang=F.col("lang"))
     return identify(rows).filter(F.col("lang_pred") != UNKNOWN).select("row.*")
