@@ -2,40 +2,25 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from reviewlake.plans.storage import forget, shared_root, stored  # noqa: F401
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a local one only where none is set (tests)."""
-    sc = spark.sparkContext
-    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    if not root:
-        root = "file://" + tempfile.mkdtemp(prefix="reviewlake-")
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(root)
-    return root
-
-
-def stored(df: DataFrame) -> DataFrame:
-    """df written once as Parquet in the shared folder and read again: later
-    readers neither recompute it nor lose it with an executor."""
-    spark = df.sparkSession
-    path = f"{shared_root(spark)}/tables/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def union(frames: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionAll, frames)
 
 
 def cut(df: DataFrame) -> DataFrame:
     """A reliable checkpoint, for the small frames of iterative algorithms."""
-    shared_root(df.sparkSession)
+    shared_root(df.sparkSession, checkpoints=True)
     return df.checkpoint(eager=True)
 
 

@@ -8,15 +8,19 @@ at positions turned by that orientation.  Corners that share a key and differ in
 few enough bits vote for a similarity transform (turn, scale and shift); a pair
 of classes is linked if enough corners agree on one.  Links make components.
 
-First, dense groups of copies are joined with a pair a member: the four words of
-64 bits of a descriptor are the keys of four tables, and each bucket's members are
-paired with one of its classes (a star), in a few rounds with other centres.  That
-only saves work.  Then the eight halves of the words are the keys of eight tables:
-two descriptors within 7 differing bits share at least one, those further apart
-often do.  Members of a bucket of which the components differ are all compared; in
-a large bucket those outside its largest component are dealt over blocks for that,
-each of which meets all members.  A pair of corners is given once, by the first of
-its tables, and class pairs with too few of them go before corners are read.
+The eight 32-bit halves of a descriptor are its keys in eight tables.  Two
+descriptors within 7 differing bits share at least one key, those further apart
+often do; a pair of classes needs only AGREE near corners that share a key and
+agree on a transform, then all corners of the two are compared.  So a copy with
+twenty corners in common is found even if each is as likely lost as not.
+
+Members of a bucket are compared with each other if it is small.  In large ones,
+dense groups of copies are joined first with a pair a member: in each bucket the
+members near one of its classes (a star) are paired with it, in a few rounds with
+other centres.  That only saves work: afterwards members of a bucket of which the
+components differ are all compared.  In a large bucket those outside its largest
+component are dealt over blocks for that, each of which meets all members.
+Unlike images seldom share two such corners, so few pairs read corners at all.
 """
 
 from __future__ import annotations
@@ -27,11 +31,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, stored
+from .common import cut, forget, stored, union
 from .components import components
 
 SCALES = (1.0, 0.7071, 0.5)
@@ -39,11 +43,17 @@ RADIUS = 7
 TURNS = 32
 #: Corners match up to so many differing bits; buckets above LARGE are dealt over blocks.
 MOST_BITS, LARGE = 36, 64
+#: Class pairs of which so many near corners that share a key agree on a transform are compared whole.
+AGREE = 2
+#: A link needs this share of the places of the image that has fewer, and bins of a shift are so many pixels wide.
+SHARE, BIN = 0.1, 12
 WORDS = 4
+#: Tables, and how many of them one shuffle holds.
+TABLES, AT_ONCE = 2 * WORDS, 2
+#: Columns of a corner in a bucket: key, class, number, descriptor, geometry.
+MEMBER = ("k", "c", "n", "words", "g")
 #: Each square of CELL pixels of a scale keeps its strongest corners.
 CELL = 64
-#: Broadcast up to so many pairs of corners (some 100 bytes each).
-FEW_PAIRS = 100_000
 PNG = b"\x89PNG\r\n\x1a\n"
 
 
@@ -255,88 +265,152 @@ def _distance(a: Column, b: Column) -> Column:
     return sum((F.bit_count(a[i].bitwiseXOR(b[i])) for i in range(WORDS)), F.lit(0))
 
 
-def table_keys(words: Column) -> Column:
-    """The keys of the stars: a hash of each word and its table's number."""
-    return F.array(*(F.xxhash64(F.lit(i), words[i]) for i in range(WORDS)))
-
-
-def short_keys(words: Column) -> Column:
-    """The keys of the comparison across components: the halves of the words, with their table's number above."""
-    return F.array(*(F.shiftrightunsigned(words[i // 2], 32 * (i % 2)).bitwiseAND(F.lit((1 << 32) - 1)).bitwiseOR(F.lit(i << 32)) for i in range(2 * WORDS)))
+def table_keys(words: Column, tables: range = range(TABLES)) -> Column:
+    """The keys of tables: the halves of the words, with their table's number above."""
+    return F.array(*(F.shiftrightunsigned(words[i // 2], 32 * (i % 2)).bitwiseAND(F.lit((1 << 32) - 1)).bitwiseOR(F.lit(i << 32)) for i in tables))
 
 
 def _first_table(a: Column, b: Column) -> Column:
-    """Number of the first table of short_keys in which two descriptors share a key."""
+    """Number of the first table in which two descriptors share a key."""
     out = F.lit(None).cast("long")
-    for i in reversed(range(2 * WORDS)):
+    for i in reversed(range(TABLES)):
         half = a[i // 2].bitwiseXOR(b[i // 2]).bitwiseAND(F.lit((1 << 32) - 1 if i % 2 == 0 else -1 << 32))
         out = F.when(half == 0, F.lit(i).cast("long")).otherwise(out)
     return out
 
 
-def _with_corner(pairs: DataFrame, each: DataFrame, side: str, few: bool) -> DataFrame:
-    own = each.select(F.col("c").alias(side), F.col("n").alias(f"{side}n"), F.col("words").alias(f"{side}w"), F.col("t").alias(f"{side}t"))
-    return (F.broadcast(pairs) if few else pairs).join(own, [side, f"{side}n"])
+def _packed(t: Column) -> Column:
+    """x, y (quarters of a pixel), turn and scale number of a corner in one bigint."""
+    at = F.floor(t["x"] * 4) * (1 << 20) + F.floor(t["y"] * 4)
+    return (at * 128 + t["turn"] * 4 + t["scale"]).cast("long")
+
+
+def _unpacked(g: Column) -> dict[str, Column]:
+    bits = lambda low, n: F.shiftrightunsigned(g, low).bitwiseAND(F.lit((1 << n) - 1))
+    return {"x": bits(27, 20) / 4, "y": bits(7, 20) / 4, "turn": bits(2, 5), "scale": bits(0, 2)}
+
+
+def _transform(p: dict[str, Column], q: dict[str, Column]) -> dict[str, Column]:
+    """The scale, turn and shift that take corner p to corner q."""
+    turn, scale = F.pmod(q["turn"] - p["turn"], F.lit(TURNS)), q["scale"] - p["scale"]
+    ratio, angle = F.pow(F.lit(2.0), scale / 2), turn * (2 * np.pi / TURNS)
+    dx = q["x"] - ratio * (p["x"] * F.cos(angle) - p["y"] * F.sin(angle))
+    dy = q["y"] - ratio * (p["x"] * F.sin(angle) + p["y"] * F.cos(angle))
+    return {"scale": scale.cast("int"), "turn": turn.cast("int"), "dx": F.floor(dx).cast("int"), "dy": F.floor(dy).cast("int")}
 
 
-def verified(pairs: DataFrame, each: DataFrame, least: int) -> DataFrame:
-    """(a, b) of pairs(a, an, b, bn), corners of two classes with a key in common,
-    by distance and consensus.  Classes with fewer than `least` such corners on
-    either side can't agree on as many places and go before corners are read."""
-    each_pair = F.count(F.lit(1)).over(Window.partitionBy("a", "b"))
-    pairs = stored(pairs.withColumn("m", each_pair).filter(F.col("m") >= least).drop("m"))
-    enough = pairs.groupBy("a", "b").agg(F.size(F.collect_set("an")).alias("x"), F.size(F.collect_set("bn")).alias("y")).filter((F.col("x") >= least) & (F.col("y") >= least))
-    kept = stored(pairs.join(enough.select("a", "b"), ["a", "b"], "left_semi").distinct())
-    # Few pairs go to where the corners are; many are joined by a shuffle.
-    few = kept.limit(FEW_PAIRS + 1).count() <= FEW_PAIRS
-    near = _with_corner(_with_corner(kept, each, "a", few), each, "b", few).filter(_distance(F.col("aw"), F.col("bw")) <= MOST_BITS)
-    return consensus(near, least).select("a", "b")
+def _bins(v: Column) -> Column:
+    """A row for each bin of a transform.  Bins of the turn and the shift overlap
+    by half, so none splits a group of votes."""
+    each = [
+        F.struct(
+            v["scale"].alias("s"),
+            F.pmod(F.floor((v["turn"] + h) / 2), F.lit(TURNS // 2)).alias("r"),
+            F.floor((v["dx"] + i * BIN / 2) / BIN).alias("x"),
+            F.floor((v["dy"] + j * BIN / 2) / BIN).alias("y"),
+            F.lit(4 * h + 2 * i + j).alias("k"),
+        )
+        for h in (0, 1)
+        for i in (0, 1)
+        for j in (0, 1)
+    ]
+    return F.explode(F.array(*each))
 
 
-def consensus(found: DataFrame, least: int, bin_size: float = 12.0) -> DataFrame:
-    """(a, b, votes) of class pairs of which corners at `least` or more places on
-    both sides agree on the turn, the scale and the shift that take one to the
-    other.  Bins of the shift overlap by half, so none splits a group of votes;
-    corners that several scales find at one place count once."""
+def _meeting() -> list[Column]:
+    """a, b and the transform v of a joined pair of members, sides 1 and 2."""
+    p, q = (_unpacked(F.when(F.col("c1") < F.col("c2"), F.col(x)).otherwise(F.col(y))) for x, y in (("g1", "g2"), ("g2", "g1")))
+    return [F.least("c1", "c2").alias("a"), F.greatest("c1", "c2").alias("b"), F.struct(*(x.alias(k) for k, x in _transform(p, q).items())).alias("v")]
+
+
+def _side(df: DataFrame, i: int) -> DataFrame:
+    return df.select(*(F.col(c).alias(f"{c}{i}") for c in df.columns))
+
+
+def shared_buckets(each: DataFrame) -> list[DataFrame]:
+    """members(k, c, n, words, g, size) of the buckets, of `size` corners, that
+    hold several classes, stored by groups of tables: no shuffle holds them all."""
+    out = []
+    for first in range(0, TABLES, AT_ONCE):
+        keyed = each.select("c", "n", "words", _packed(F.col("t")).alias("g"), F.explode(table_keys(F.col("words"), range(first, first + AT_ONCE))).alias("k"))
+        several = keyed.groupBy("k").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count(F.lit(1)).alias("size")).filter(F.col("lo") != F.col("hi")).select("k", "size")
+        out.append(stored(keyed.join(several, "k").select(*MEMBER, "size")))
+    return out
 
-    def place(side: str) -> Column:
-        return F.floor(F.col(f"{side}.x") / 6) * 65536 + F.floor(F.col(f"{side}.y") / 6)
 
-    turn = F.pmod(F.col("bt.turn") - F.col("at.turn"), F.lit(TURNS))
-    scale = F.col("bt.scale") - F.col("at.scale")
-    ratio, angle = F.pow(F.lit(2.0), -scale / 2), turn * (2 * np.pi / TURNS)
-    dx = F.col("bt.x") - F.pow(ratio, -1) * (F.col("at.x") * F.cos(angle) - F.col("at.y") * F.sin(angle))
-    dy = F.col("bt.y") - F.pow(ratio, -1) * (F.col("at.x") * F.sin(angle) + F.col("at.y") * F.cos(angle))
-    half = F.explode(F.array(*(F.struct(F.floor(dx / bin_size + i / 2).alias("x"), F.floor(dy / bin_size + j / 2).alias("y"), F.lit(2 * i + j).alias("k")) for i in (0, 1) for j in (0, 1))))
-    votes = found.select("a", "b", place("at").alias("an"), place("bt").alias("bn"), scale.alias("s"), F.floor(turn / 2).alias("r"), half.alias("bin"))
-    counted = votes.groupBy("a", "b", "s", "r", "bin").agg(F.size(F.collect_set("an")).alias("m"), F.size(F.collect_set("bn")).alias("n"))
-    return counted.groupBy("a", "b").agg(F.max(F.least("m", "n")).alias("votes")).filter(F.col("votes") >= least)
+def _named(members: DataFrame, roots: DataFrame) -> DataFrame:
+    return members.join(roots, "c", "left").withColumn("r", F.coalesce("root", "c")).drop("root")
 
 
-def across(keyed: DataFrame, large: int) -> DataFrame:
-    """Corners (a, an, b, bn) of different components r that share a key k in
-    keyed(k, c, n, r, words) and are near each other; each pair once."""
+def star_pairs(members: DataFrame, seed: int) -> DataFrame:
+    """(a, b, v, p): members(k, c, n, words, g, r) near the centre of their bucket
+    but of another component; p tells corner pairs apart.  The centre is the class
+    of the least hash by `seed`, so buckets of one dense group agree on theirs."""
+    h = F.xxhash64("c", F.lit(seed))
+    centre = members.groupBy("k").agg(F.min(h).alias("h"), F.min("r").alias("lo"), F.max("r").alias("hi")).filter(F.col("lo") != F.col("hi")).select("k", "h")
+    centres = _side(members.join(centre, "k").filter(h == F.col("h")).select(*MEMBER, "r"), 2)
+    found = _side(members, 1).join(centres, (F.col("k1") == F.col("k2")) & (F.col("r1") != F.col("r2")) & (_distance(F.col("words1"), F.col("words2")) <= MOST_BITS))
+    first = F.col("c1") < F.col("c2")
+    return found.select(*_meeting(), F.struct(F.when(first, F.col("n1")).otherwise(F.col("n2")).alias("x"), F.when(first, F.col("n2")).otherwise(F.col("n1")).alias("y")).alias("p"))
 
-    def side(df: DataFrame, i: int) -> DataFrame:
-        return df.select(*(F.col(c).alias(f"{c}{i}") for c in df.columns if c not in ("size", "most")))
 
+def across(members: DataFrame, large: int, hot: bool = True) -> DataFrame:
+    """(a, b, v), a row for each pair of corners near each other, of different
+    components r, that share a key k in members(k, c, n, words, g, size, r), given
+    only by the first table in which the two meet; hot tells whether any bucket
+    is larger than `large`."""
     near = (_distance(F.col("words1"), F.col("words2")) <= MOST_BITS) & (_first_table(F.col("words1"), F.col("words2")) == F.shiftright("k1", 32))
-    sizes = stored(keyed.groupBy("k").agg(F.count(F.lit(1)).alias("size")).filter(F.col("size") > large))
-    small = keyed.join(sizes.select("k"), "k", "left_anti")
-    got = [side(small, 1).join(side(small, 2), [F.col("k1") == F.col("k2"), F.col("c1") < F.col("c2"), F.col("r1") != F.col("r2"), near])]
-    # All of a large bucket's pairs too: each member outside its largest component is in one block, every member in all.
-    members = keyed.join(sizes.select("k"), "k")
-    by = members.groupBy("k", "r").agg(F.count(F.lit(1)).alias("m"))
-    mixed = by.groupBy("k").agg(F.count(F.lit(1)).alias("_r"), F.sum("m").alias("size"), F.max_by("r", F.struct("m", "r")).alias("most")).filter(F.col("_r") > 1).drop("_r")
-    hot = stored(members.join(mixed, "k"))
-    parts = F.ceil(F.col("size") / (16 * large)).cast("int")
-    one = hot.filter(F.col("r") != F.col("most")).withColumn("part", F.pmod(F.xxhash64("c", "n"), parts).cast("int"))
-    dealt = hot.withColumn("part", F.explode(F.sequence(F.lit(0), parts - 1))).withColumn("top", F.col("r") == F.col("most"))
-    got.append(side(one, 1).join(side(dealt, 2), [F.col("k1") == F.col("k2"), F.col("part1") == F.col("part2"), F.col("r1") != F.col("r2"), F.col("top2") | (F.col("r1") < F.col("r2")), near]))
-    p, q = F.struct(F.col("c1").alias("c"), F.col("n1").alias("n")), F.struct(F.col("c2").alias("c"), F.col("n2").alias("n"))
-    a, b = F.least(p, q), F.greatest(p, q)
-    each = [x.select(a["c"].alias("a"), a["n"].alias("an"), b["c"].alias("b"), b["n"].alias("bn")) for x in got]
-    return each[0].unionAll(each[1])
+    small = members.filter(F.col("size") <= large).select(*MEMBER, "r")
+    pairs = _side(small, 1).join(_side(small, 2), (F.col("k1") == F.col("k2")) & (F.col("c1") < F.col("c2")) & (F.col("r1") != F.col("r2")) & near).select(*_meeting())
+    if not hot:
+        return stored(pairs)
+    # Of a large bucket, the members outside its largest component are dealt over blocks; every member meets all blocks.
+    mine = members.filter(F.col("size") > large)
+    by = mine.groupBy("k", "r").agg(F.count(F.lit(1)).alias("m"))
+    mixed = by.groupBy("k").agg(F.count(F.lit(1)).alias("_r"), F.max(F.struct("m", "r")).alias("most")).filter(F.col("_r") > 1)
+    mine = stored(mine.join(mixed, "k").select(*MEMBER, "r", (F.col("r") == F.col("most.r")).alias("top"), F.ceil((F.col("size") - F.col("most.m")) / (16 * large)).cast("int").alias("parts")))
+    one = mine.filter(~F.col("top")).withColumn("part", F.pmod(F.xxhash64("c", "n"), F.col("parts")).cast("int"))
+    dealt = mine.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    more = _side(one, 1).join(_side(dealt, 2), (F.col("k1") == F.col("k2")) & (F.col("part1") == F.col("part2")) & (F.col("r1") != F.col("r2")) & (F.col("top2") | (F.col("r1") < F.col("r2"))) & near)
+    found = stored(pairs.unionAll(more.select(*_meeting())))
+    forget(mine)
+    return found
+
+
+def agreeing(found: DataFrame) -> DataFrame:
+    """(a, b) of which AGREE or more corner pairs of found(a, b, v) agree on a
+    transform.  Most class pairs that meet by chance meet once and go first."""
+    several = stored(found.groupBy("a", "b").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") >= AGREE).select("a", "b"))
+    votes = found.join(several, ["a", "b"]).select("a", "b", _bins(F.col("v")).alias("bin"))
+    return votes.groupBy("a", "b", "bin").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") >= AGREE).select("a", "b").distinct()
+
+
+def verified(pairs: DataFrame, each: DataFrame, least: int, share: float = SHARE) -> DataFrame:
+    """The class pairs(a, b) that agree on geometry, all corners of the one
+    compared with all of the other."""
+    a = each.select(F.col("c").alias("a"), F.col("words").alias("aw"), F.col("t").alias("at"))
+    b = each.select(F.col("c").alias("b"), F.col("words").alias("bw"), F.col("t").alias("bt"))
+    near = pairs.join(a, "a").join(b, (pairs["b"] == b["b"]) & (_distance(F.col("aw"), F.col("bw")) <= MOST_BITS)).select("a", pairs["b"], "at", "bt")
+    both = consensus(near)
+    places = each.select("c", _place(F.col("t")).alias("place")).distinct().groupBy("c").agg(F.count(F.lit(1)).alias("m"))
+    enough = F.greatest(F.lit(float(least)), F.least("am", "bm") * share)
+    return both.filter(F.col("votes") >= least).join(places.select(F.col("c").alias("a"), F.col("m").alias("am")), "a").join(places.select(F.col("c").alias("b"), F.col("m").alias("bm")), "b").filter(F.col("votes") >= enough).select("a", "b")
+
+
+def _place(t: Column) -> Column:
+    return F.floor(t["x"] / 6) * 65536 + F.floor(t["y"] / 6)
+
+
+def consensus(found: DataFrame) -> DataFrame:
+    """(a, b, votes) of class pairs of found(a, b, at, bt), pairs of corners: at
+    how many places, on both sides, they agree on one transform.  Corners that
+    several scales find at one place count once."""
+    at, bt = ({k: F.col(f"{side}.{k}") for k in ("x", "y", "turn", "scale")} for side in ("at", "bt"))
+    v = F.struct(*(x.alias(k) for k, x in _transform(at, bt).items()))
+    votes = found.select("a", "b", _place(F.col("at")).alias("an"), _place(F.col("bt")).alias("bn"), v.alias("v")).distinct().select("a", "b", "an", "bn", _bins(F.col("v")).alias("bin"))
+    # A bin of one pair holds at most the places of the two images.
+    counted = votes.groupBy("a", "b", "bin").agg(F.size(F.collect_set("an")).alias("m"), F.size(F.collect_set("bn")).alias("n"))
+    return counted.groupBy("a", "b").agg(F.max(F.least("m", "n")).alias("votes"))
 
 
 def joined(roots: DataFrame, links: DataFrame) -> DataFrame:
@@ -348,32 +422,28 @@ def joined(roots: DataFrame, links: DataFrame) -> DataFrame:
     return cut(lifted.unionAll(second.join(up.select("c"), "c", "left_anti").withColumnRenamed("top", "root")))
 
 
-def class_roots(each: DataFrame, least: int, large: int = LARGE, rounds: int = 6) -> DataFrame:
+def class_roots(each: DataFrame, least: int, large: int = LARGE, rounds: int = 2) -> DataFrame:
     """(c, root) for the classes of each(c, n, words, t), a row a corner, that
     hang together; those without a link are left out."""
-    bucket = Window.partitionBy("k")
-    keyed = each.select("c", "n", F.explode(table_keys(F.col("words"))).alias("k"))
-    keyed = keyed.withColumns({"lo": F.min("c").over(bucket), "hi": F.max("c").over(bucket)})
-    shared = stored(keyed.filter(F.col("lo") != F.col("hi")).select("k", "c", "n"))
-    roots = each.select("c", F.col("c").alias("root")).limit(0)
-
-    def named() -> DataFrame:
-        return shared.join(roots, "c", "left").select("k", "c", "n", F.coalesce("root", "c").alias("r"))
-
-    for i in range(rounds):
-        now = named()
-        # A bucket's centre is another one in each round; components that it joins need no more pairs.
-        centre = now.groupBy("k").agg(F.min(F.struct(F.xxhash64("c", F.lit(i)).alias("h"), "c", "n", "r")).alias("o"))
-        star = now.join(centre, "k").filter(F.col("r") != F.col("o.r")).withColumns({"p": F.struct("c", "n"), "q": F.struct("o.c", "o.n")})
-        a, b = F.least("p", "q"), F.greatest("p", "q")
-        links = verified(star.select(a["c"].alias("a"), a["n"].alias("an"), b["c"].alias("b"), b["n"].alias("bn")), each, least)
-        links = stored(links)
-        if not links.isEmpty():  # other centres may still find some
-            roots = joined(roots, links)
-
-    known = each.select("c", "n", "words").join(roots, "c", "left").select("c", "n", F.coalesce("root", "c").alias("r"), "words")
-    keyed = known.select("c", "n", "r", "words", F.explode(short_keys(F.col("words"))).alias("k"))
-    return joined(roots, verified(across(keyed, large), each, least))
+    roots = cut(each.select("c", F.col("c").alias("root")).limit(0))
+    groups = shared_buckets(each)
+    crowded = stored(union(groups).filter(F.col("size") > large))
+    hot = not crowded.isEmpty()
+    for i in range(rounds if hot else 0):
+        # Components that stars have joined need no more pairs; a bucket's centre is another one in each round.
+        found = stored(star_pairs(_named(crowded, roots), i))
+        links = stored(verified(stored(agreeing(found.distinct().drop("p"))), each, least))
+        forget(found)
+        if links.isEmpty():
+            break  # what other centres might join is left to the comparison of all
+        roots = joined(roots, links)
+    found = []
+    for m in groups:
+        found.append(across(_named(m, roots), large, hot))
+        forget(m)
+    pairs = stored(agreeing(union(found)))
+    forget(crowded, *found)
+    return joined(roots, stored(verified(pairs, each, least)))
 
 
 def image_copies(df: DataFrame, image: str = "image", id_col: str = "id", most: int = 12, least: int = 5) -> DataFrame:
@@ -381,14 +451,15 @@ def image_copies(df: DataFrame, image: str = "image", id_col: str = "id", most:
 
     class_id is the least id with the same bytes; component_id the least id
     reachable over links, pairs of classes that share enough geometry: `least`
-    corners of the up to `most` that each cell of a scale keeps.  Null,
+    places, and a tenth of those of the image that has fewer.  Each cell of CELL x CELL pixels of a scale gives its `most`
+    strongest corners, so their number grows with the image.  Null,
     empty and undecodable images are classed by their bytes (null as empty) and
     have 0 corners and no link.  Repeated rows are kept; null ids count only
     where a class has no other.
     """
     rows = df.select(F.col(id_col).alias("id"), F.coalesce(F.col(image), F.lit(b"")).alias("image")).withColumn("sha", F.sha2("image", 256))
     classes = rows.groupBy("sha").agg(F.min("id").alias("class_id"), F.first("image").alias("image"))
-    seen = stored(described(classes, "image", most).select("sha", F.xxhash64("sha").alias("c"), "class_id", "corners"))
+    seen = stored(described(classes, "image", most).select("sha", F.monotonically_increasing_id().alias("c"), "class_id", "corners"))
     each = seen.select("c", F.posexplode("corners").alias("n", "k")).select("c", "n", "k.words", F.struct("k.x", "k.y", "k.turn", "k.scale").alias("t"))
     roots = class_roots(each, least)
     sizes = F.greatest(F.coalesce(F.size("corners"), F.lit(0)), F.lit(0)).cast("long")

@@ -1,6 +1,6 @@
 import numpy as np
 
-from reviewlake.llm.media import class_roots, decode, drawn, encode_png, image_copies
+from reviewlake.llm.media import MOST_BITS, SCALES, TURNS, class_roots, corners, decode, drawn, encode_png, image_copies
 
 RNG = np.random.default_rng(9)
 
@@ -88,3 +88,93 @@ def test_drawing(spark):
     got = {r["id"]: r["image"] for r in drawn(df).collect()}
     assert set(got) == {50, 51, 52, 53, -51} and got[52] is None and got[53] is None
     assert decode(bytes(got[50])).shape == (64, 64) and decode(bytes(got[-51])).shape == (59, 61)
+
+
+def blobs(seed, size=192):
+    """A smooth picture, which survives being resized."""
+    rng, k = np.random.default_rng(seed), np.fft.fftfreq(size)
+    low = np.exp(-2 * (np.pi * 2.5) ** 2 * (k[:, None] ** 2 + k**2))
+    x = np.fft.ifft2(np.fft.fft2(rng.normal(0, 1, (size, size))) * low).real
+    return np.clip(110 + 60 * x / x.std(), 0, 255).astype(np.uint8)
+
+
+def halved(x, ratio):
+    """Bilinear, to the given ratio."""
+    n = int(len(x) * ratio)
+    at = (np.arange(n) + 0.5) / ratio - 0.5
+    i = np.clip(at.astype(int), 0, len(x) - 2)
+    f = np.clip(at - i, 0, 1)
+    rows = x[i] * (1 - f)[:, None] + x[i + 1] * f[:, None]
+    return (rows[:, i] * (1 - f) + rows[:, i + 1] * f).astype(np.uint8)
+
+
+EDITS = {
+    "quarter crop": lambda x: x[40:136, 60:156],
+    "turned": lambda x: np.rot90(x),
+    "upside down": lambda x: x[::-1, ::-1],
+    "scaled": lambda x: halved(x, 0.7071),
+    "contrast": lambda x: (x * 0.6 + 40).astype(np.uint8),
+    "noise": lambda x: np.clip(x + np.random.default_rng(1).integers(-4, 5, x.shape), 0, 255).astype(np.uint8),
+}
+
+
+def test_recall_of_edits(spark):
+    """At least nine of ten copies by each kind of edit are found, and no two unlike images are joined."""
+    n, rows = 20, []
+    for i in range(n):
+        x = blobs(i)
+        rows.append((i, encode_png(x)))
+        rows += [(1000 * (k + 1) + i, encode_png(np.ascontiguousarray(edit(x)))) for k, edit in enumerate(EDITS.values())]
+    got = {r["id"]: r["component_id"] for r in image_copies(spark.createDataFrame(rows, "id long, image binary")).collect()}
+    for k, name in enumerate(EDITS):
+        assert sum(got[1000 * (k + 1) + i] == i for i in range(n)) >= 0.9 * n, name
+    assert all(c % 1000 == i % 1000 for i, c in got.items())
+
+
+def linked(p, q, least=5):
+    """Whether corners of two images agree, every corner of the one compared with every one of the other."""
+    distance = np.bitwise_count(p[4][:, None] ^ q[4][None]).sum(axis=2)
+    i, j = np.nonzero(distance <= MOST_BITS)
+    turn, scale = (q[2][j] - p[2][i]) % TURNS, q[3][j] - p[3][i]
+    # Number k of a scale is 0.7071 ** k, so a corner at k that is found at k + 1 lies in an image larger by 1.4142.
+    ratio, angle = 2.0 ** (scale / 2), turn * 2 * np.pi / TURNS
+    dx = q[0][j] - (p[0][i] * np.cos(angle) - p[1][i] * np.sin(angle)) * ratio
+    dy = q[1][j] - (p[0][i] * np.sin(angle) + p[1][i] * np.cos(angle)) * ratio
+    bins = {}
+    for k in range(len(i)):
+        for h in (0, 1):
+            for a in (0, 1):
+                for b in (0, 1):
+                    key = (h, a, b, scale[k], (turn[k] + h) // 2 % (TURNS // 2), np.floor(dx[k] / 12 + a / 2), np.floor(dy[k] / 12 + b / 2))
+                    own = bins.setdefault(key, (set(), set()))
+                    own[0].add((p[0][i[k]] // 6, p[1][i[k]] // 6))
+                    own[1].add((q[0][j[k]] // 6, q[1][j[k]] // 6))
+    share = 0.1 * min(len(set(zip((x[0] // 6).tolist(), (x[1] // 6).tolist()))) for x in (p, q))
+    return any(min(map(len, own)) >= max(least, share) for own in bins.values())
+
+
+def test_tables_against_all_pairs_of_corners(spark):
+    """Links as tables and votes find them, against a comparison of all corners of all pairs of images."""
+    images = []
+    for i in range(14):
+        x = blobs(200 + i, 96)
+        rng = np.random.default_rng(i)
+        images += [x, np.clip(x + rng.integers(-12, 13, x.shape), 0, 255).astype(np.uint8), np.ascontiguousarray(np.rot90(x)[8:, 5:])]
+    found = []
+    for x in images:
+        c = corners(x[None].astype(np.float32), 12)
+        found.append([np.asarray(c[1], np.float32), np.asarray(c[2], np.float32), c[3], c[4], c[5]])
+    n = len(images)
+    want = {(i, j) for i in range(n) for j in range(i + 1, n) if linked(found[i], found[j])}
+    rows = [(k, m, [int(w) for w in c[4][m]], (float(c[0][m]), float(c[1][m]), int(c[2][m]), int(c[3][m]))) for k, c in enumerate(found) for m in range(len(c[0]))]
+    each = spark.createDataFrame(rows, "c long, n int, words array<long>, t struct<x:float,y:float,turn:int,scale:int>")
+    roots = {r["c"]: r["root"] for r in class_roots(each, 5).collect()}
+    top = [roots.get(i, i) for i in range(n)]
+    kept = [(i, j) for i, j in want if top[i] == top[j]]
+    assert len(want) >= 20 and len(kept) >= 0.9 * len(want)
+    reach = list(range(n))
+    for _ in range(n):
+        for i, j in want:
+            reach[i] = reach[j] = min(reach[i], reach[j])
+    assert all(reach[i] == reach[top[i]] for i in range(n))
+    assert set(c for x in found for c in x[3].tolist()) <= set(range(len(SCALES)))
