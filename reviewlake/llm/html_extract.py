@@ -36,7 +36,8 @@ CLOSES |= {t: {"p"} for t in BLOCK_TAGS - CLOSES.keys() - {"body", "html", "head
 #: Closing by implication doesn't reach over these.
 SCOPES = frozenset("ul ol dl table article section div aside nav main form body blockquote header footer".split())
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:"[^"]*"|'[^']*'|[^>"'])*)>""", re.S)
+NAME = re.compile(r"[a-zA-Z][a-zA-Z0-9:-]*")
+SPECIAL = re.compile("""[>"']""")
 ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 PARTS = re.compile(r"[a-z]+")
 
@@ -44,84 +45,187 @@ PATHS, WORDS = 2048, 1024
 PATH_WIDTH, WORD_WIDTH, NUMBERS = 12, 6, 7
 
 
-class Block:
-    __slots__ = ("links", "path", "pieces")
+#: Cells (block, page) that one batch of pages may have, and steps whose input to the network is held at once.
+CELLS, STEPS = 1 << 15, 4096
 
-    def __init__(self, path: tuple[str, ...]):
-        self.path, self.pieces, self.links = path, [], 0
 
+class Path:
+    """The open elements at a block: the innermost one's tag, the parts (tags,
+    classes, ids) that it adds to those around it, and its parent."""
 
-def blocks(page: str) -> list[tuple[tuple[str, ...], str, float]]:
+    __slots__ = ("parts", "slots", "tag", "up")
+
+    def __init__(self, up: Path | None, tag: str, parts: tuple[str, ...]):
+        self.up, self.tag, self.parts = up, tag, parts
+        self.slots = np.array([zlib.crc32(x.encode()) % PATHS for x in parts], np.int64)
+
+    def line(self) -> Iterator[Path]:
+        at: Path | None = self
+        while at is not None:
+            yield at
+            at = at.up
+
+    def all_slots(self) -> np.ndarray:
+        """Slots of all distinct parts, and one of the innermost tag."""
+        return np.concatenate([*(x.slots for x in self.line()), [leaf_slot(self.tag)]]).astype(np.int64)
+
+
+def leaf_slot(tag: str) -> int:
+    return zlib.crc32(f"leaf t:{tag}".encode()) % PATHS
+
+
+class Tags:
+    """The tags of a page, found in time linear in its length: how a tag that
+    begins before a quote or a bracket ends is worked out once for each of these."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.last = {c: page.rfind(c) for c in ">\"'"}
+        self.ends: dict[int, int] = {}
+        self.next_special = -1
+
+    def _special(self, at: int) -> int:
+        """The first bracket or quote from a place on that never goes back; -1 without one."""
+        if self.next_special < at:
+            m = SPECIAL.search(self.page, at)
+            self.next_special = m.start() if m else len(self.page)
+        return self.next_special
+
+    def end(self, at: int) -> int:
+        """Where the tag whose name ends at `at` has its closing bracket; -1 if it has none."""
+        if at > self.last[">"]:
+            return -1
+        j, seen = self._special(at), []
+        while True:
+            if j >= len(self.page):
+                found = -1
+            elif j in self.ends:
+                found = self.ends[j]
+            elif self.page[j] == ">":
+                found = j
+            elif j >= self.last[self.page[j]]:
+                found = -1  # a quote that nothing closes
+            else:
+                seen.append(j)
+                m = SPECIAL.search(self.page, self.page.find(self.page[j], j + 1) + 1)
+                j = m.start() if m else len(self.page)
+                continue
+            for k in seen:
+                self.ends[k] = found
+            return found
+
+    def __iter__(self) -> Iterator[tuple[int, int, str, bool, str]]:
+        """(start, end, tag, whether it closes, the rest); comments and the like have no tag.
+        The scan goes on from `at`, which its reader may move forward."""
+        page, self.at = self.page, 0
+        while (i := page.find("<", self.at)) >= 0:
+            nxt = page[i + 1 : i + 2]
+            if page.startswith("<!--", i):
+                end = page.find("-->", i + 4)
+                found = (i, len(page) if end < 0 else end + 3, "", False, "")
+            elif nxt in ("!", "?"):
+                end = page.find(">", i + 2) if i < self.last[">"] else -1
+                found = (i, end + 1, "", False, "") if end >= 0 else None
+            else:
+                closes = nxt == "/"
+                name = NAME.match(page, i + 1 + closes)
+                end = self.end(name.end()) if name else -1
+                found = (i, end + 1, name[0].lower(), closes, page[name.end() : end]) if end >= 0 else None
+            if found is None:
+                # Not a tag: the text goes on.  What has been read stays read.
+                self.at = i + 1
+                continue
+            self.at = found[1]
+            yield found
+
+
+def blocks(page: str) -> list[tuple[Path, str, float]]:
     """(path, text, share of the text in links) of each non-empty leaf block, in order."""
-    out: list[tuple[tuple[str, ...], str, float]] = []
-    stack: list[tuple[str, tuple[str, ...]]] = []
-    current: Block | None = None
-    at = links = 0
+    out: list[tuple[Path, str, float]] = []
+    root = Path(None, "", ())
+    stack: list[Path] = []
+    places: dict[str, list[int]] = {}  # tag -> its places in the stack
+    scopes: list[int] = []
+    held: dict[str, int] = {}  # part -> how many open elements have added it (0 or 1)
+    pieces: list[str] = []
+    path, in_links, links, at = root, 0, 0, 0
 
     def add(raw: str) -> None:
-        nonlocal current
-        if raw:
-            if current is None:
-                if raw.isspace():
-                    return
-                current = Block(tuple(x for _, parts in stack for x in parts))
-            current.pieces.append(raw)
-            if links:
-                current.links += len(raw)
+        nonlocal path, in_links
+        if not raw or not pieces and raw.isspace():
+            return
+        if not pieces:
+            path, in_links = stack[-1] if stack else root, 0
+        pieces.append(raw)
+        if links:
+            in_links += len(raw)
 
     def end() -> None:
-        nonlocal current
-        if current is not None:
-            raw = "".join(current.pieces)
+        if pieces:
+            raw = "".join(pieces)
+            pieces.clear()
             text = " ".join(html.unescape(raw).split())
             if text:
-                out.append((current.path, text, current.links / len(raw)))
-            current = None
-
-    while m := TOKEN.search(page, at):
-        add(page[at : m.start()])
-        at = m.end()
-        if m[2] is None:
+                out.append((path, text, in_links / len(raw)))
+
+    def close_from(i: int) -> None:
+        nonlocal links
+        while len(stack) > i:
+            top = stack.pop()
+            places[top.tag].pop()
+            links -= top.tag == "a"
+            if scopes and scopes[-1] == len(stack):
+                scopes.pop()
+            for x in top.parts:
+                del held[x]
+
+    tags = Tags(page)
+    for start, stop, tag, closes, rest in tags:
+        add(page[at:start])
+        at = stop
+        if not tag:
             continue
-        tag = m[2].lower()
-        if m[1]:
-            found = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
+        if closes:
             if tag in BLOCK_TAGS:
                 end()
-            if found is not None:
-                del stack[found:]
-            links = sum(t == "a" for t, _ in stack)
+            if places.get(tag):
+                close_from(places[tag][-1])
             continue
         if tag in RAW_TAGS:
             close = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-            at = close.end() if close else len(page)
+            tags.at = at = close.end() if close else len(page)
             continue
         if tag == "br":
             add(" ")
         if tag in BLOCK_TAGS:
             end()
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] in CLOSES.get(tag, ()):
-                    del stack[i:]
-                elif stack[i][0] in SCOPES:
+            low = scopes[-1] if scopes else -1
+            while True:
+                i = max((places[x][-1] for x in CLOSES.get(tag, ()) if places.get(x)), default=-1)
+                if i <= low:
                     break
-        if tag not in VOID_TAGS and not m[3].endswith("/"):
+                close_from(i)
+        if tag not in VOID_TAGS and not rest.endswith("/"):
             parts = [f"t:{tag}"]
-            for name, value in ATTRIBUTE.findall(m[3]):
+            for name, value in ATTRIBUTE.findall(rest):
                 parts += [f"c:{x}" for x in PARTS.findall(value.lower())] if name else []
-            stack.append((tag, tuple(parts)))
-            links = sum(t == "a" for t, _ in stack)
+            fresh = tuple(x for x in dict.fromkeys(parts) if x not in held)
+            held.update(dict.fromkeys(fresh, 1))
+            places.setdefault(tag, []).append(len(stack))
+            if tag in SCOPES:
+                scopes.append(len(stack))
+            links += tag == "a"
+            stack.append(Path(stack[-1] if stack else root, tag, fresh))
     add(page[at:])
     end()
     return out
 
 
 class Vectors:
-    """Hashes of paths and words, with caches of bounded size."""
+    """Hashes of words, with a cache of bounded size."""
 
     def __init__(self, cache_size: int = 100_000):
         self.words: dict[str, int] = {}
-        self.paths: dict[tuple[str, ...], np.ndarray] = {}
         self.limit = cache_size
 
     def word(self, w: str) -> int:
@@ -134,15 +238,6 @@ class Vectors:
                 self.words[w] = n
         return n
 
-    def path(self, p: tuple[str, ...]) -> np.ndarray:
-        got = self.paths.get(p)
-        if got is None:
-            if len(self.paths) >= self.limit // 10:
-                self.paths = {}
-            leaf = next((x for x in reversed(p) if x.startswith("t:")), "t:")
-            got = self.paths[p] = np.array([zlib.crc32(x.encode()) % PATHS for x in (*dict.fromkeys(p), f"leaf {leaf}")])
-        return got
-
 
 def numbers(i: int, n: int, text: str, words: int, links: float) -> list[float]:
     size = len(text)
@@ -161,25 +256,41 @@ def init(hidden: int, seed: int) -> dict[str, np.ndarray]:
     return w
 
 
-def inputs(w: dict[str, np.ndarray], pages: list[list[tuple[np.ndarray, np.ndarray, list[float]]]]) -> tuple[np.ndarray, np.ndarray]:
+def inputs(w: dict[str, np.ndarray], pages: list[list[tuple[Path, np.ndarray, list[float]]]]) -> tuple[np.ndarray, np.ndarray]:
     """(block, page, width) vectors of pages of (path, words, numbers), and which are real."""
     steps = max(map(len, pages))
     x = np.zeros((steps, len(pages), PATH_WIDTH + WORD_WIDTH + NUMBERS), np.float32)
     real = np.zeros((steps, len(pages), 1), np.float32)
     for j, page in enumerate(pages):
+        sums: dict[int, np.ndarray] = {}  # of each path's parts, its parents' included
         for t, (path, word, more) in enumerate(page):
-            x[t, j, :PATH_WIDTH] = w["path"][path].sum(axis=0)
+            x[t, j, :PATH_WIDTH] = _path_sum(w["path"], path, sums) + w["path"][leaf_slot(path.tag)]
             x[t, j, PATH_WIDTH : PATH_WIDTH + WORD_WIDTH] = w["word"][word].mean(axis=0) * 3
             x[t, j, PATH_WIDTH + WORD_WIDTH :] = more
         real[: len(page), j] = 1
     return x, real
 
 
-def _lstm(w: dict[str, np.ndarray], way: str, x: np.ndarray, real: np.ndarray, keep: list | None = None) -> np.ndarray:
+def _path_sum(w: np.ndarray, path: Path, sums: dict[int, np.ndarray]) -> np.ndarray:
+    new = []
+    for at in path.line():
+        if id(at) in sums:
+            total = sums[id(at)]
+            break
+        new.append(at)
+    else:
+        total = np.zeros(PATH_WIDTH, w.dtype)
+    for at in reversed(new):
+        total = sums[id(at)] = total + w[at.slots].sum(axis=0) if len(at.slots) else total
+    return total
+
+
+def _lstm(w: dict[str, np.ndarray], way: str, x: np.ndarray, real: np.ndarray, keep: list | None = None, state: tuple[np.ndarray, np.ndarray] | None = None) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray]]:
+    """Hidden states (block, page, hidden) of one direction, and the state after the last one read."""
     hidden = w["h" + way].shape[0]
     steps, batch, _ = x.shape
     given = x @ w["x" + way] + w["b" + way]
-    h = c = np.zeros((batch, hidden), np.float32)
+    h, c = state or (np.zeros((batch, hidden), np.float32),) * 2
     out = np.empty((steps, batch, hidden), np.float32)
     for t in range(steps) if way == "f" else range(steps - 1, -1, -1):
         a = given[t] + h @ w["h" + way]
@@ -192,12 +303,21 @@ def _lstm(w: dict[str, np.ndarray], way: str, x: np.ndarray, real: np.ndarray, k
         if keep is not None:
             keep.append((t, *before, i, f, o, n, s))
         out[t] = h
-    return out
+    return out, (h, c)
 
 
 def probabilities(w: dict[str, np.ndarray], x: np.ndarray, real: np.ndarray) -> np.ndarray:
-    states = np.concatenate([_lstm(w, way, x, real) for way in "fb"], axis=2)
-    return _sigmoid(states @ w["out"] + w["bias"])
+    """(block, page) chances of being the article.  Stretches of STEPS blocks are
+    read one after the other with the state carried on, so only x grows with the page."""
+    hidden = w["hf"].shape[0]
+    out = np.zeros(x.shape[:2], np.float32) + w["bias"]
+    starts = range(0, x.shape[0], STEPS)
+    for way, weights in (("f", w["out"][:hidden]), ("b", w["out"][hidden:])):
+        state = None
+        for a in starts if way == "f" else reversed(starts):
+            states, state = _lstm(w, way, x[a : a + STEPS], real[a : a + STEPS], state=state)
+            out[a : a + STEPS] += states @ weights
+    return _sigmoid(out)
 
 
 def gradients(w: dict[str, np.ndarray], pages: list, labels: list[list[int]]) -> tuple[float, dict[str, np.ndarray]]:
@@ -207,7 +327,7 @@ def gradients(w: dict[str, np.ndarray], pages: list, labels: list[list[int]]) ->
         y[: len(own), j] = own
     hidden = w["hf"].shape[0]
     kept: dict[str, list] = {"f": [], "b": []}
-    states = np.concatenate([_lstm(w, way, x, real, kept[way]) for way in "fb"], axis=2)
+    states = np.concatenate([_lstm(w, way, x, real, kept[way])[0] for way in "fb"], axis=2)
     p = _sigmoid(states @ w["out"] + w["bias"])
     share = real[:, :, 0] / real.sum()
     loss = float(-(share * np.log(np.where(y > 0, p, 1 - p) + 1e-7)).sum())
@@ -228,16 +348,16 @@ def gradients(w: dict[str, np.ndarray], pages: list, labels: list[list[int]]) ->
             dh, dc = da @ w["h" + way].T, dc * f
     for j, page in enumerate(pages):
         for t, (path, word, _) in enumerate(page):
-            np.add.at(grads["path"], path, dx[t, j, :PATH_WIDTH])
+            np.add.at(grads["path"], path.all_slots(), dx[t, j, :PATH_WIDTH])
             np.add.at(grads["word"], word, dx[t, j, PATH_WIDTH : PATH_WIDTH + WORD_WIDTH] * (3 / len(word)))
     return loss, grads
 
 
-def prepared(page: list[tuple[tuple[str, ...], str, float]], vectors: Vectors) -> list[tuple[np.ndarray, np.ndarray, list[float]]]:
+def prepared(page: list[tuple[Path, str, float]], vectors: Vectors) -> list[tuple[Path, np.ndarray, list[float]]]:
     out = []
     for i, (path, text, links) in enumerate(page):
         words = text.split(" ")
-        out.append((vectors.path(path), np.array(list(map(vectors.word, words))), numbers(i, len(page), text, len(words), links)))
+        out.append((path, np.array(list(map(vectors.word, words))), numbers(i, len(page), text, len(words), links)))
     return out
 
 
@@ -358,7 +478,7 @@ def training_set(n: int, seed: int) -> tuple[list, list[list[int]]]:
         if len(set(known.items())) != len({(" ".join(s.split()), label) for s, label in seen}):
             continue
         cut = blocks(page)
-        own = [0 if p[-1] == "t:title" else known.get(t, 0 if "t:form" in p or "t:button" in p else None) for p, t, _ in cut]
+        own = [0 if p.tag == "title" else known.get(t, 0 if {"form", "button"} & {x.tag for x in p.line()} else None) for p, t, _ in cut]
         if cut and None not in own:
             pages.append(prepared(cut, vectors))
             labels.append(own)
@@ -382,12 +502,16 @@ def trained(pages: int = 500, hidden: int = 12, epochs: int = 5, batch: int = 8,
 
 
 def main_texts(w: dict[str, np.ndarray], pages: list[str], vectors: Vectors, width: int = 64) -> list[str]:
-    """The article of each page, its blocks joined by line feeds."""
+    """The article of each page, its blocks joined by line feeds.  Pages of like
+    length share a batch of at most `width` pages and CELLS cells, or are alone."""
     out = [""] * len(pages)
     cut = [(i, b) for i, b in ((i, blocks(p)) for i, p in enumerate(pages)) if b]
     cut.sort(key=lambda x: len(x[1]))
-    for a in range(0, len(cut), width):
-        own = cut[a : a + width]
+    while cut:
+        n = 1
+        while n < min(width, len(cut)) and len(cut[n][1]) * (n + 1) <= CELLS:
+            n += 1
+        own, cut = cut[:n], cut[n:]
         p = probabilities(w, *inputs(w, [prepared(b, vectors) for _, b in own]))
         for j, (i, b) in enumerate(own):
             out[i] = "\n".join(text for t, (_, text, _) in enumerate(b) if p[t, j] > 0.5)
@@ -397,7 +521,9 @@ def main_texts(w: dict[str, np.ndarray], pages: list[str], vectors: Vectors, wid
 def extract(df: DataFrame, page: str = "html", rows: int = 256, **options) -> DataFrame:
     """Adds text, the page's article, and n_chars, its code points, to df.
 
-    Null, empty and article-less pages get an empty text.  Columns of df with
+    Null, empty and article-less pages get an empty text.  A page is read in time
+    linear in its length, whatever it holds; a `<` that begins no tag is text.
+    Columns of df with
     these names are replaced; options are those of `trained`.
     """
     shared = df.sparkSession.sparkContext.broadcast(trained(**options))
