@@ -13,7 +13,7 @@ from reviewlake.llm.common import stored, table
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a recognisable language (null, empty, no letter) go."""
+    """Documents of which the network can tell no language go."""
     return langid.known_language(docs)
 
 

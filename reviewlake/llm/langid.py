@@ -21,6 +21,9 @@ from .common import crc_mod, packed, text_or_empty
 
 PAD = 256
 UNKNOWN = "und"
+#: A text of which no language has this mean probability over all bytes is of none
+#: of them: little more than four languages have by chance, so that clean texts stay.
+LEAST = 0.3
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -174,30 +177,39 @@ class Model:
         return total / np.maximum(sizes, 1)[:, None]
 
 
-def sample(df: DataFrame, text: str, lang: str, id_col: str, per_language: int, pieces: int, length: int, max_languages: int) -> list[tuple[str, str]]:
+def sample(df: DataFrame, text: str, lang: str, id_col: str, per_language: int, pieces: int, length: int, margin: float = 4.0) -> list[tuple[str, str]]:
     """Bounded: for each language, `pieces` stretches of `length` characters of
-    each of `per_language` documents, those with the least hashes of their ids."""
-    pick = Window.partitionBy(lang).orderBy(F.xxhash64(id_col), id_col)
-    chosen = df.filter(F.col(lang).isNotNull()).select(id_col, lang).withColumn("_n", F.row_number().over(pick)).filter(F.col("_n") <= per_language).select(F.col(id_col).alias("_id")).distinct()
-    # Bounded by per_language times the number of languages, which is checked here.
-    languages = df.select(lang).distinct().limit(max_languages + 2).collect()
-    if len(languages) > max_languages + 1:
-        raise ValueError(f"more than {max_languages} languages")
-    body = text_or_empty(text)
-    cuts = [F.substring(body, F.pmod(F.xxhash64(F.col(id_col), F.lit(i)), F.greatest(F.length(body) - length, F.lit(1))).cast("int") + 1, F.lit(length)) for i in range(pieces)]
-    rows = df.select(id_col, lang, text).join(F.broadcast(chosen), F.col(id_col).eqNullSafe(F.col("_id")), "left_semi").filter(F.col(lang).isNotNull()).select(F.col(lang), F.explode(F.array_distinct(F.array(*cuts))).alias("s")).filter(F.col("s").rlike(r"\p{L}"))
-    return sorted((r[0], r[1]) for r in rows.collect())
-
-
-def fit(df: DataFrame, text: str = "text", lang: str = "lang", id_col: str = "doc_id", per_language: int = 400, pieces: int = 3, hidden: int = 8, length: int = 96, max_languages: int = 64, seed: int = 11) -> Model:
+    each of `per_language` documents, those with the least hashes of their ids.
+
+    Rows whose hash is above a bound that leaves about margin * per_language ids
+    of their language go where they are read, so neither a language nor an id
+    that a third of all rows have meets in one task.  An id counts once a
+    language, with the least of its rows' stretches."""
+    body, span = text_or_empty(text), F.lit(float(1 << 63))
+    rows = df.filter(F.col(lang).isNotNull()).select(F.col(lang).alias("l"), F.col(id_col).alias("i"), body.alias("t"), F.xxhash64(id_col).alias("h"))
+    known = rows.groupBy("l").agg(F.approx_count_distinct("h").alias("n")).collect()  # a row a language
+    if not known:
+        return []
+    bounds = df.sparkSession.createDataFrame([(r["l"], min(1.0, margin * per_language / max(r["n"], 1))) for r in known], T.StructType([T.StructField("_l", rows.schema["l"].dataType), T.StructField("part", T.DoubleType())]))
+    near = rows.join(F.broadcast(bounds), F.col("l") == F.col("_l")).filter(F.shiftrightunsigned("h", 1) <= F.col("part") * span)
+    cuts = [F.substring("t", F.pmod(F.xxhash64(F.col("i"), F.lit(k)), F.greatest(F.length("t") - length, F.lit(1))).cast("int") + 1, F.lit(length)) for k in range(pieces)]
+    each = near.groupBy("l", "h", "i").agg(F.min(F.array_distinct(F.array(*cuts))).alias("x"))
+    pick = Window.partitionBy("l").orderBy(F.shiftrightunsigned("h", 1), "h", "i")
+    chosen = each.withColumn("_n", F.row_number().over(pick)).filter(F.col("_n") <= per_language)
+    got = chosen.select("l", F.explode("x").alias("s")).filter(F.col("s").rlike(r"\p{L}"))
+    return sorted((r[0], r[1]) for r in got.collect())
+
+
+def fit(df: DataFrame, text: str = "text", lang: str = "lang", id_col: str = "doc_id", per_language: int = 400, pieces: int = 3, hidden: int = 8, length: int = 96, seed: int = 11) -> Model:
     """A model learned from the texts and non-null languages of df only; it sees
-    at most per_language documents of each language."""
-    rows = sample(df, text, lang, id_col, per_language, pieces, length, max_languages)
+    at most per_language documents of each language, of which there may be any
+    number (each is a class of the network and per_language rows on the driver)."""
+    rows = sample(df, text, lang, id_col, per_language, pieces, length)
     languages = sorted({x for x, _ in rows})
     if not languages:
         return Model({}, [], length)
     index = {x: i for i, x in enumerate(languages)}
-    weights = train([s.encode()[:length] for _, s in rows], [index[x] for x, _ in rows], len(languages), hidden, length, seed=seed)
+    weights = train([s.encode("utf-8", "surrogatepass")[:length] for _, s in rows], [index[x] for x, _ in rows], len(languages), hidden, length, seed=seed)
     return Model(weights, languages, length)
 
 
@@ -238,7 +250,13 @@ def identify(df: DataFrame, text: str = "text", lang: str = "lang", id_col: str
     return predict(df.withColumn("held_out", held), model, text)
 
 
-def known_language(df: DataFrame, text: str = "text") -> DataFrame:
-    """The rows with a letter, with their columns as they are: the model's score rejects none."""
+def known_language(df: DataFrame, text: str = "text", least: float = LEAST, **options) -> DataFrame:
+    """The rows whose language the network can tell, with their columns as they
+    are.  Rejected are texts without a letter (null and empty ones too) and those
+    whose pooled probability is below `least` for every language.  If there is
+    nothing to learn from, nothing can be told and every row is kept."""
     rows = packed(df, doc_id=F.col("doc_id"), text=F.col(text), lang=F.col("lang"))
-    return identify(rows).filter(F.col("lang_pred") != UNKNOWN).select("row.*")
+    model = fit(rows.filter(crc_mod("doc_id", 3) != 1), **options)
+    if not model.languages:
+        return df
+    return predict(rows, model).filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select("row.*")

@@ -135,9 +135,11 @@ def fit_machine(rows: list[tuple[np.ndarray, np.ndarray]], labels: list[int], ra
 
 def fit(df: DataFrame, labels: DataFrame, text: str = "text", id_col: str = "doc_id", label: str = "quality", n_chars: str | None = "n_chars", rows: int = 2500, **options) -> dict[str, np.ndarray]:
     """Learns from the `rows` labelled documents with the least hashes of their
-    ids.  Their features are computed on executors; at most `rows` sparse vectors
-    of SLOTS + STATS entries come to the driver."""
-    chosen = labels.filter(F.col(label).isNotNull()).select(F.col(id_col).alias("_id"), F.col(label).cast("int").alias("_y")).orderBy(F.xxhash64("_id"), "_id").limit(rows)
+    ids.  An id counts once, with its least label and the least vector of its
+    documents, so at most `rows` sparse vectors of SLOTS + STATS entries come to
+    the driver, however often an id is there.  Features are computed on executors."""
+    tagged = labels.filter(F.col(label).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg(F.min(F.col(label).cast("int")).alias("_y"))
+    chosen = tagged.orderBy(F.xxhash64("_id"), "_id").limit(rows)
     size = F.col(n_chars).cast("long") if n_chars else F.lit(None).cast("long")
     texts = df.select(F.col(id_col).alias("_doc"), F.col(text).alias("_t"), size.alias("_n")).join(F.broadcast(chosen), F.col("_doc").eqNullSafe(F.col("_id"))).select("_doc", "_y", "_t", "_n")
     kind = T.StructType([T.StructField("s", T.ArrayType(T.IntegerType())), T.StructField("x", T.ArrayType(T.FloatType()))])
@@ -149,8 +151,8 @@ def fit(df: DataFrame, labels: DataFrame, text: str = "text", id_col: str = "doc
             got = [f.of(a.as_py(), b.as_py()) for a, b in zip(t, n)]
             yield pa.StructArray.from_arrays([pa.array([a.astype(np.int32) for a, _ in got], pa.list_(pa.int32())), pa.array([b.astype(np.float32) for _, b in got], pa.list_(pa.float32()))], ["s", "x"])
 
-    got = texts.select("_doc", "_y", vectors("_t", "_n").alias("f")).collect()
-    got.sort(key=lambda r: (r["_doc"] is None, r["_doc"] or 0, r["_y"], r["f"]["x"]))
+    got = texts.select("_doc", "_y", vectors("_t", "_n").alias("f")).groupBy("_doc").agg(F.min(F.struct("_y", "f")).alias("r")).select("_doc", "r.*").collect()
+    got.sort(key=lambda r: (r["_doc"] is None, r["_doc"] or 0))
     return fit_machine([(np.array(r["f"]["s"]), np.array(r["f"]["x"])) for r in got], [r["_y"] for r in got], **options)
 
 

@@ -2,7 +2,8 @@ import zlib
 
 import numpy as np
 
-from reviewlake.llm.langid import PAD, Model, encode, fit, gradients, identify, init, known_language, predict, probabilities
+from reviewlake.llm.common import crc_mod
+from reviewlake.llm.langid import LEAST, PAD, Model, encode, fit, gradients, identify, init, known_language, predict, probabilities, sample
 
 SAY = {"aa": "the and of this that thing other", "bb": "der und die ßchen fürch schon nicht", "cc": "que los ñando ción para señor está"}
 
@@ -56,10 +57,32 @@ def test_held_out_accuracy_and_defined_edges(docs):
     assert np.mean([r["lang_pred"] == r["lang"] for r in held]) >= 0.9
     assert [by[i]["lang_pred"] for i in (1000, 1001, 1002, 1003)] == ["und", "und", "und", "bb"]
     assert all(0 <= r["score"] <= 1 for r in got)
-    kept = known_language(df)
+    kept = known_language(df, per_language=40, length=32)
     assert kept.columns == df.columns and kept.count() == len(rows) - 3
 
 
+def test_the_network_decides_what_is_rejected(docs):
+    df = docs(corpus())
+    scored = predict(df, fit(df.filter(crc_mod("doc_id", 3) != 1), per_language=60, length=32)).select("doc_id", "score").collect()
+    middle = sorted(r["score"] for r in scored)[30]
+    for least in (middle, LEAST):
+        kept = {r["doc_id"] for r in known_language(df, least=least, per_language=60, length=32).collect()}
+        assert kept == {r["doc_id"] for r in scored if r["score"] >= least}
+    assert len(kept) == 90  # clean texts stay
+
+
+def test_without_anything_to_learn_every_row_stays(docs):
+    df = docs([(i, t, None, "s", 1) for i, t in enumerate(["some text", None, "", "12", "more text"])])
+    assert known_language(df).count() == 5
+
+
+def test_samples_are_bounded_by_ids_not_rows(docs):
+    rows = [(7, f"the and of {i}", "aa", "s", 1) for i in range(500)] + corpus(60)
+    got = sample(docs(rows), "text", "lang", "doc_id", 10, 2, 24)
+    assert len(got) <= 3 * 10 * 2 and {x for x, _ in got} == set(SAY)
+    assert got == sample(docs(rows).repartition(5), "text", "lang", "doc_id", 10, 2, 24)
+
+
 def test_nothing_to_learn_from(docs):
     df = docs([(1, "abc", None, "s", 1)])
     assert identify(df).select("lang_pred", "score").first() == ("und", 0.0)

@@ -2,7 +2,8 @@ import zlib
 
 import numpy as np
 
-from reviewlake.llm.quality import SLOTS, STATS, Features, classify, raw_score
+from reviewlake.llm import quality
+from reviewlake.llm.quality import SLOTS, STATS, Features, classify, fit, raw_score
 
 
 def test_sum_of_squares_identity():
@@ -46,3 +47,12 @@ def test_without_labels(spark, docs):
     none = spark.createDataFrame([], "doc_id long, quality int")
     assert abs(classify(docs([(1, "a", "en", "s", 1)]), none).first()["score"] - 0.5) < 0.1
     assert classify(docs([]), none).count() == 0
+
+
+def test_repeated_ids_bring_one_vector(spark, docs, monkeypatch):
+    rows = [(1, f"word{i % 5} text", "en", "s", 9) for i in range(300)] + [(2, "other text", "en", "s", 9), (None, "a", "en", "s", 1)]
+    tags = spark.createDataFrame([(1, 1), (1, 0), (2, 0), (None, 1)], "doc_id long, quality int")
+    seen = []
+    monkeypatch.setattr(quality, "fit_machine", lambda x, y, **_: seen.append((len(x), y)))
+    fit(docs(rows), tags, rows=10)
+    assert seen == [(3, [0, 0, 1])]
