@@ -19,11 +19,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import packed, stored, text_or_empty
+from .common import BROADCAST_ROWS, packed, small_side, stored, text_or_empty
 from .secret_scan import let
 
-#: Broadcast up to so many rows of two longs; beyond, the join shuffles.
-BROADCAST_ROWS = 1_000_000
+
 
 
 def words_of(text: Column) -> Column:
@@ -60,11 +59,6 @@ def row_key(id_col: str = "doc_id", text: str = "text") -> Column:
     return F.xxhash64(F.col(id_col), F.col(text))
 
 
-def small_side(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df, to be broadcast if it is a stored or small frame of few enough rows."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
 def contained(docs: DataFrame, items: DataFrame, threshold: float = 0.8, n: int = 5, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """(doc_id, _key, item_id, n_item, n_found) for every document and item with
     n_found >= threshold * n_item; the n_ are distinct shingles.

@@ -18,8 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import packed, stored, text_or_empty
-from .decontaminate import BROADCAST_ROWS, small_side
+from .common import packed, small_side, stored, text_or_empty
 
 #: The kinds in their order, their patterns, the group that holds
 #: the value, and the least length of that group.
@@ -165,12 +164,12 @@ def redact(text: Column, spans: Column) -> Column:
     return F.aggregate(spans, start, step, lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text))))
 
 
-def redact_live(df: DataFrame, text: str = "text", broadcast_rows: int = BROADCAST_ROWS, **options) -> DataFrame:
+def redact_live(df: DataFrame, text: str = "text", broadcast_rows: int = 200_000, **options) -> DataFrame:
     """df with all spans of live-looking secrets redacted; rows and columns stay,
     n_chars (if there is one) is counted again for the rows that change."""
     key = F.xxhash64(F.col("doc_id"), F.col(text))
     found = secret_scan(df.select("doc_id", "source", text, key.alias("_key")), text, **options)
-    live = found.select("_key", F.filter("spans", lambda x: ~x["example"]).alias("_live")).filter(F.size("_live") > 0).dropDuplicates(["_key"])
+    live = found.select("_key", F.transform(F.filter("spans", lambda x: ~x["example"]), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))).alias("_live")).filter(F.size("_live") > 0).dropDuplicates(["_key"])
     # Few rows change; they go to the texts where they fit a broadcast, else the texts are shuffled.
     live = small_side(stored(live), broadcast_rows)
     hit = F.col("_live").isNotNull()
