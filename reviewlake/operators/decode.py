@@ -5,17 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reviewlake.functions.text import strip
+from reviewlake.functions.text import let, strip
 from reviewlake.operators.gates import sev_rank
 
 TITLE = "Reported by the model"
+#: JSON of values that count as nothing.
+NOTHING = r"^(null|false|\"\"|\[\]|\{\}|-?0(\.0*)?([eE].*)?)$"
 
 
 def parsed(text: Column) -> Column:
     """A variant, or null: the text itself, else its fenced blocks in their order,
     else what lies between the outermost brackets, those that open first being
     tried first, as it is and then without trailing commas."""
-    s = strip(F.coalesce(text, F.lit("")))
+    return let(strip(F.coalesce(text, F.lit(""))), _cascade)
+
+
+def _cascade(s: Column) -> Column:
     fences = F.transform(F.regexp_extract_all(s, F.lit(r"```(?:json|JSON)?\s*([\s\S]*?)```"), F.lit(1)), lambda b: F.try_parse_json(strip(b)))
 
     def span(opener: str, closer: str) -> Column:
@@ -26,17 +31,24 @@ def parsed(text: Column) -> Column:
     spans = F.array_sort(F.array_compact(F.array(span("[", "]"), span("{", "}"))))
     fixed = lambda t: F.regexp_replace(t, r",\s*([\]}])", "$1")
     tries = F.flatten(F.transform(spans, lambda x: F.array(F.try_parse_json(x["t"]), F.try_parse_json(fixed(x["t"])))))
-    found = F.filter(F.concat(F.array(F.try_parse_json(s)), fences, tries), lambda v: v.isNotNull() & ~F.is_variant_null(v))
-    return F.get(found, F.lit(0))
+    first = lambda found: F.get(F.filter(found, lambda v: v.isNotNull() & ~F.is_variant_null(v)), F.lit(0))
+    # A later stage runs only where those before it found nothing.
+    return F.coalesce(first(F.array(F.try_parse_json(s))), first(fences), first(tries))
 
 
 def items(payload: Column) -> Column:
-    """The objects of a payload: `findings`, else `comments`, else a bare list."""
+    """The objects of a payload: its `findings` unless they are null, empty, zero
+    or false, then its `comments`; or a bare list.  What isn't a list has none."""
     empty = F.array().cast("array<variant>")
-    lists = [F.try_variant_get(payload, p, "array<variant>") for p in ("$.findings", "$.comments")]
-    first = F.when(F.size(F.coalesce(lists[0], empty)) > 0, lists[0]).otherwise(lists[1])
-    bare = F.try_variant_get(payload, "$", "array<variant>")
-    return F.filter(F.coalesce(bare, first, empty), lambda v: F.schema_of_variant(v).startswith("OBJECT"))
+    listed = lambda v: F.try_variant_get(v, "$", "array<variant>")
+    said = lambda v: ~F.coalesce(F.to_json(v), F.lit("null")).rlike(NOTHING)
+
+    def own(p: Column) -> Column:
+        findings, comments = (F.try_variant_get(p, f"$.{name}", "variant") for name in ("findings", "comments"))
+        named = let(findings, lambda f: F.when(said(f), F.coalesce(listed(f), empty)).otherwise(F.coalesce(listed(comments), empty)))
+        return F.filter(F.coalesce(listed(p), named), lambda v: F.schema_of_variant(v).startswith("OBJECT"))
+
+    return let(payload, own)
 
 
 def _text(item: Column, name: str, most: int, default: str = "") -> Column:
@@ -45,12 +57,12 @@ def _text(item: Column, name: str, most: int, default: str = "") -> Column:
 
 
 def line_of(item: Column) -> Column:
-    """A number, cut to an integer, or a string of digits; else null."""
+    """A number, cut to an integer, a string of digits, or a boolean as 1 or 0; else null."""
     raw = F.try_variant_get(item, "$.line", "variant")
     kind = F.schema_of_variant(raw)
     text = strip(F.try_variant_get(item, "$.line", "string"))
     number = F.try_variant_get(item, "$.line", "double")
-    return F.when(kind == "STRING", F.when(text.rlike(r"^\d+$"), text.try_cast("int"))).when(kind.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT|INT|SMALLINT|TINYINT)"), number.try_cast("int"))
+    return F.when(kind == "STRING", F.when(text.rlike(r"^\d+$"), text.try_cast("int"))).when(kind.rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT|INT|SMALLINT|TINYINT)"), number.try_cast("int")).when(kind == "BOOLEAN", F.try_variant_get(item, "$.line", "boolean").cast("int"))
 
 
 def coerced(answers: DataFrame, shards: DataFrame) -> DataFrame:
@@ -62,7 +74,8 @@ def coerced(answers: DataFrame, shards: DataFrame) -> DataFrame:
     low = lambda name, default: F.lower(strip(F.coalesce(F.try_variant_get("item", f"$.{name}", "string"), F.lit(default))))
     category = F.when(low("category", "convention").isin("security", "performance", "convention"), low("category", "convention")).otherwise("convention")
     severity = F.when(low("severity", "low").isin("high", "medium", "low", "info"), low("severity", "low")).otherwise("low")
-    confidence = F.coalesce(F.try_variant_get("item", "$.confidence", "string").try_cast("double"), F.lit(0.5))
+    sure = F.try_variant_get("item", "$.confidence", "string")
+    confidence = F.coalesce(F.when(sure == "true", 1.0).when(sure == "false", 0.0).otherwise(sure.try_cast("double")), F.lit(0.5))
     out = each.withColumns({"line": line_of(F.col("item")), "category": category, "severity": severity})
     return out.select(
         "diff_id",

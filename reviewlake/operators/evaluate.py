@@ -25,18 +25,20 @@ def summary(results: DataFrame) -> DataFrame:
     total = lambda c, cond: F.coalesce(F.sum(F.when(cond, c)), F.lit(0))
     hits, exp = F.size("hit"), F.col("n_expect")
     found = F.col("rule_findings") + F.col("llm_findings")
-    names = lambda c: F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.when(pos, F.col(c))))))
     raw = results.agg(
         F.count(F.lit(1)).alias("cases"), F.count_if(pos).alias("positive_cases"), F.count_if(neg).alias("negative_cases"),
         total(exp, pos).alias("expected"), total(hits, pos).alias("hits"),
         total(exp, pos & ~held).alias("tuned_expected"), total(hits, pos & ~held).alias("tuned_hits"),
         total(exp, pos & held).alias("heldout_expected"), total(hits, pos & held).alias("heldout_hits"),
-        F.array_join(names("missed"), ",").alias("rule_misses"), F.array_join(names("extra"), ",").alias("over_reported_rules"),
         total(F.size("extra"), pos).alias("over_report_count"),
         total(found, neg).alias("false_positive_findings"), F.count_if(neg & (found > 0)).alias("false_positive_cases"),
         F.coalesce(F.sum("llm_findings"), F.lit(0)).alias("kept"), F.coalesce(F.sum("dropped"), F.lit(0)).alias("dropped"),
         F.count_if(pos & F.col("semantic")).alias("semantic_cases"), F.count_if(pos & F.col("semantic") & (F.col("llm_findings") > 0)).alias("semantic_hits"),
     )
+    for c, name in (("missed", "rule_misses"), ("extra", "over_reported_rules")):
+        # Made distinct before they are collected: as many names as there are rules, in one row.
+        rules = results.filter(pos).select(F.explode(c).alias("rule")).distinct().agg(F.array_join(F.array_sort(F.collect_list("rule")), ",").alias(name))
+        raw = raw.crossJoin(F.broadcast(rules))  # one row beside one row
     return raw.select(
         "*",
         _share(F.col("hits"), F.col("expected")).alias("rule_recall"),

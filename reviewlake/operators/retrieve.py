@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from reviewlake.functions.text import hash_features, search_tokens, strip
+from reviewlake.plans.numbering import starts
 
 # BM25's k1 and b, the least chunk, RRF's constant.
 K1, B, LEAST_CHUNK, RRF_K = 1.5, 0.75, 24, 60
@@ -26,7 +27,8 @@ def chunks(docs: DataFrame, least: int = LEAST_CHUNK) -> DataFrame:
 
     A heading line (`#` first) or a blank line ends a chunk; a chunk belongs to
     the last heading before it and has at least `least` characters; its tokens
-    are those of its heading and text.  chunk_no counts a document's chunks.
+    are those of its heading and text.  chunk_no counts a document's chunks;
+    chunk_id has the source and the number of chunks before it in all documents.
     """
     lines = docs.select("doc_ord", "source", F.posexplode(F.split("text", "\n", -1)).alias("at", "raw"))
     line = F.regexp_replace("raw", r"(?U)\s+$", "")
@@ -41,8 +43,14 @@ def chunks(docs: DataFrame, least: int = LEAST_CHUNK) -> DataFrame:
     each = flags.filter(~F.col("stop")).groupBy("doc_ord", "source", "group", "heading").agg(body.alias("text")).withColumn("text", strip(F.col("text"))).filter(F.length("text") >= least)
     number = F.row_number().over(Window.partitionBy("doc_ord").orderBy("group")) - 1
     each = each.withColumn("chunk_no", number)
-    whole = F.when(F.col("heading") != "", F.concat("heading", F.lit("\n"), "text")).otherwise(F.col("text"))
-    return each.select("doc_ord", "chunk_no", F.concat_ws("#", "source", "chunk_no").alias("chunk_id"), "source", "heading", "text", search_tokens(whole).alias("tokens"))
+    sizes = each.groupBy("doc_ord").agg(F.count(F.lit(1)).alias("_size"))
+    each = each.join(starts(sizes, "doc_ord", "_size").select("doc_ord", "start"), "doc_ord")
+    return each.select("doc_ord", "chunk_no", F.concat_ws("#", "source", F.col("start") + F.col("chunk_no")).alias("chunk_id"), "source", "heading", "text", search_tokens(whole_text()).alias("tokens"))
+
+
+def whole_text() -> Column:
+    """A chunk's heading and text, which are searched together."""
+    return F.when(F.col("heading") != "", F.concat("heading", F.lit("\n"), "text")).otherwise(F.col("text"))
 
 
 def doc_freq(index: DataFrame) -> DataFrame:
@@ -176,7 +184,7 @@ def search(queries: DataFrame, index: DataFrame, backend: str = "bm25", k: int =
         return top_k(bm25(queries, index, place), place, n).join(named, place)
 
     def dense(n: int) -> DataFrame:
-        return nearest(hashed_vectors(queries), hashed_vectors(index), place, n).join(named, place)
+        return nearest(hashed_vectors(queries), hashed_vectors(index.select(*place, whole_text().alias("text"))), place, n).join(named, place)
 
     if backend == "hybrid":
         n = pool_size(k)

@@ -38,11 +38,9 @@ def hits_of(rules: list[tuple[int, Rule]], path: Column, target: Column) -> Colu
     """array<struct<rule_ord, alt>> of the rules found in target."""
     if not rules:
         return F.array().cast("array<struct<rule_ord:int,alt:int>>")
-    each = []
-    for i, rule in rules:
-        alt = F.when(applies(rule, path), first_pattern(rule, target))
-        each.append(F.when(alt.isNotNull(), F.struct(F.lit(i).alias("rule_ord"), alt.alias("alt"))))
-    return F.array_compact(F.array(*each))
+    # `alt` stands once in the expression, so each pattern is tried once a line.
+    each = [F.struct(F.lit(i).alias("rule_ord"), F.when(applies(rule, path), first_pattern(rule, target)).alias("alt")) for i, rule in rules]
+    return F.filter(F.array(*each), lambda x: x["alt"].isNotNull())
 
 
 def scan(lines: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:

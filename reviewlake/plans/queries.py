@@ -14,8 +14,10 @@ from reviewlake.functions import catalog
 from reviewlake.functions.text import comment_start, hash_features, search_tokens, suffix_of, token_estimate
 from reviewlake.operators import decode, diff, evaluate, gates, report, retrieve, scan, semantics, shards
 from reviewlake.plans import registry
+from reviewlake.plans.numbering import starts
 from reviewlake.plans.registry import register
 from reviewlake.plans.review import Settings, mock_responder, review
+from reviewlake.plans.storage import stored
 from reviewlake.sources import diffs as sources
 from reviewlake.sources import settings
 
@@ -287,16 +289,12 @@ def cap_per_file(spark: SparkSession, sf_dir: str, rules: tuple = PLAIN) -> Data
 @register(FOUND + SECOND + "SELECT row_number() OVER (ORDER BY CAST(o AS VARCHAR), sev_rank, path, n NULLS LAST, llm, rule_ord) AS at, CAST(o AS VARCHAR) AS diff_id, rule_id, n AS line FROM capped")
 def final_order(spark: SparkSession, sf_dir: str, rules: tuple = PLAIN) -> DataFrame:
     """O-118, O-144: places in the order of diffs, numbered within ranges of the sort."""
-    order = gates.ordered(capped(spark, sf_dir, rules))
+    order = stored(capped(spark, sf_dir, rules))
     # Numbers of a global order: sizes of the diffs before, and the place within the diff.
     within = Window.partitionBy("diff_id").orderBy("sev_rank", "file", F.col("line").asc_nulls_last(), "finding_seq")
     sizes = order.groupBy("diff_id").agg(F.count(F.lit(1)).alias("size"))
-    sizes = sizes.withColumn("head", F.left("diff_id", F.lit(2)))
-    heads = sizes.groupBy("head").agg(F.sum("size").alias("n"))
-    before = heads.select("head", F.coalesce(F.sum("n").over(Window.orderBy("head").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("skip"))  # some hundred rows
-    in_head = Window.partitionBy("head").orderBy("diff_id").rowsBetween(Window.unboundedPreceding, -1)
-    starts = sizes.withColumn("own", F.coalesce(F.sum("size").over(in_head), F.lit(0))).join(F.broadcast(before), "head").select("diff_id", (F.col("skip") + F.col("own")).alias("start"))
-    return order.withColumn("k", F.row_number().over(within)).join(starts, "diff_id").select((F.col("start") + F.col("k")).alias("at"), "diff_id", "rule_id", "line")
+    begin = starts(sizes, "diff_id", "size").select("diff_id", "start")
+    return order.withColumn("k", F.row_number().over(within)).join(begin, "diff_id").select((F.col("start") + F.col("k")).alias("at"), "diff_id", "rule_id", "line")
 
 
 @register(FOUND + SECOND + "SELECT CAST(o AS VARCHAR) AS diff_id, count(*) FILTER (severity = 'high') AS high, count(*) FILTER (severity = 'medium') AS medium, count(*) FILTER (severity = 'low') AS low, count(*) FILTER (severity = 'info') AS info, count(*) AS total FROM capped GROUP BY o")
@@ -386,10 +384,10 @@ l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscrip
 m AS (SELECT *, starts_with(ltrim(t), '#') AS h, trim(t) = '' AS blank FROM l),
 r AS (SELECT *, sum(CASE WHEN h OR blank THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY n) AS grp, last_value(CASE WHEN h THEN trim(ltrim(rtrim(t), '#')) END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY n) AS heading FROM m),
 b AS (SELECT doc_id, grp, coalesce(any_value(heading), '') AS heading, trim(string_agg(rtrim(t), chr(10) ORDER BY n)) AS text FROM r WHERE NOT h AND NOT blank GROUP BY doc_id, grp),
-c AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY grp) - 1 AS chunk_no, heading, text FROM b WHERE length(text) >= 24) """
+c AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY grp) - 1 AS chunk_no, grp, heading, text FROM b WHERE length(text) >= 24) """
 
 
-@register(CHUNKS_SQL + "SELECT doc_id AS doc_ord, chunk_no, 'd' || doc_id || '#' || chunk_no AS chunk_id, heading, md5(text) AS text FROM c")
+@register(CHUNKS_SQL + "SELECT doc_id AS doc_ord, chunk_no, 'd' || doc_id || '#' || (row_number() OVER (ORDER BY doc_id, grp) - 1) AS chunk_id, heading, md5(text) AS text FROM c")
 def chunking(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O-15, O-16, O-95."""
     return retrieve.chunks(guideline_docs(spark, sf_dir)).select("doc_ord", "chunk_no", "chunk_id", "heading", F.md5(F.col("text").cast("binary")).alias("text"))
@@ -488,10 +486,10 @@ ANSWERS = (
 
 @register("""WITH e AS (SELECT event_id, event_id % 5 AS k, event_id % 7 + 1 AS n FROM events)
 SELECT CAST(event_id AS VARCHAR) AS diff_id, CASE k WHEN 0 THEN 'LLM-SEC' ELSE 'LLM-CON' END AS rule_id, CASE k WHEN 0 THEN 'T' ELSE 'Reported by the model' END AS title, CASE k WHEN 0 THEN 'high' WHEN 2 THEN 'info' ELSE 'low' END AS severity,
-  CASE WHEN k < 3 THEN n END AS line, CAST(CASE k WHEN 0 THEN 1.0 WHEN 4 THEN CASE WHEN j = 0 THEN 0.0 ELSE 0.5 END ELSE 0.5 END AS DOUBLE) AS confidence, CASE WHEN k < 3 THEN n <= 5 ELSE FALSE END AS anchors_ok
+  CASE WHEN k < 3 THEN n WHEN j = 1 THEN 1 END AS line, CAST(CASE k WHEN 0 THEN 1.0 WHEN 4 THEN CASE WHEN j = 0 THEN 0.0 ELSE 0.5 END ELSE 0.5 END AS DOUBLE) AS confidence, CASE WHEN k < 3 THEN n <= 5 ELSE j = 1 END AS anchors_ok
 FROM e CROSS JOIN (VALUES (0), (1)) AS t(j) WHERE k <> 3 AND (j = 0 OR k = 4)""")
 def json_coerce(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """O-85..O-93: answers of five shapes, one for each event."""
+    """O-85..O-93: answers of five shapes, one for each event; a line that is `true` counts as 1."""
     events = load(spark, sf_dir, "events").select("event_id")
     text = F.replace(F.element_at(F.array(*map(F.lit, ANSWERS)), (F.col("event_id") % 5 + 1).cast("int")), F.lit("%s"), (F.col("event_id") % 7 + 1).cast("string"))
     answers = events.select(F.col("event_id").cast("string").alias("diff_id"), F.lit(0).alias("shard_no"), text.alias("text"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import difflib
+import re
 import subprocess
 from collections.abc import Iterator
 
@@ -40,17 +41,19 @@ def inline_docs(spark: SparkSession, texts: list[tuple[str, str]]) -> DataFrame:
 
 def doc_files(spark: SparkSession, paths: list[str]) -> DataFrame:
     """docs of those paths that exist, in their order."""
-    found = []
+    found: dict[str, str] = {}
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     for p in paths:
         place = jvm.org.apache.hadoop.fs.Path(p)
-        if place.getFileSystem(conf).exists(place):
-            found.append(p)
+        fs = place.getFileSystem(conf)
+        if fs.exists(place):
+            found.setdefault(fs.makeQualified(place).toString(), p)
     if not found:
         return inline_docs(spark, [])
-    order = spark.createDataFrame([(i, p.split(":", 1)[-1].lstrip("/")) for i, p in enumerate(found)], "doc_ord int, tail string")
-    raw = spark.read.text(found, wholetext=True).select(F.input_file_name().alias("source"), F.col("value").alias("text"))
-    return raw.join(F.broadcast(order), F.endswith("source", "tail")).select("doc_ord", "source", "text")
+    order = spark.createDataFrame([(i, p) for i, p in enumerate(found)], "doc_ord int, source string")
+    # The names are literal: characters that a pattern would read are escaped.
+    raw = spark.read.format("binaryFile").load([re.sub(r"([\[\]{}*?\\])", r"\\\1", p) for p in found]).select(F.col("path").alias("source"), F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
+    return raw.join(F.broadcast(order), "source").select("doc_ord", "source", "text")
 
 
 def gold_labels(spark: SparkSession, path: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -47,9 +48,14 @@ def tally(posted: DataFrame) -> DataFrame:
     return posted.groupBy("diff_id").agg(F.count_if(F.col("status") == "ok").alias("ok"), F.count_if(F.col("status") != "ok").alias("failed"))
 
 
-def with_retries(call: Callable[[], object], retryable: tuple[int, ...] = (408, 409, 425, 429, 500, 502, 503, 504), attempts: int = 3, base: float = 0.8, cap: float = 12.0, sleep: Callable[[float], None] | None = None) -> object:
+# Answers of a server that may pass.
+RETRYABLE = (408, 409, 425, 429, 500, 502, 503, 504, 522, 524)
+
+
+def with_retries(call: Callable[[], object], retryable: tuple[int, ...] = RETRYABLE, attempts: int = 3, base: float = 0.8, cap: float = 12.0, sleep: Callable[[float], None] | None = None, spread: Callable[[], float] = random.random) -> object:
     """The result of call, which raises errors with a `status`; those that may
-    pass are tried again after a growing, capped pause."""
+    pass are tried again after a growing, capped pause, between half and all of
+    which is spent by chance (spread gives 0 to 1), so that tasks don't retry together."""
     import time
 
     for i in range(attempts + 1):
@@ -58,5 +64,5 @@ def with_retries(call: Callable[[], object], retryable: tuple[int, ...] = (408,
         except Exception as e:
             if i == attempts or getattr(e, "status", None) not in retryable:
                 raise
-            (sleep or time.sleep)(min(cap, base * 2**i))
+            (sleep or time.sleep)(min(cap, base * 2**i) * (0.5 + spread() / 2))
     raise AssertionError

@@ -36,7 +36,7 @@ def coerced(spark, *texts):
 
 def test_fields(spark):
     got = coerced(spark, '{"findings":[{"line":2,"title":" a ","category":" Security ","severity":"HIGH","evidence":" e ","confidence":7,"file":"other"},{"line":"1"},{"line":2.9,"confidence":"0.25","severity":"worst","category":"odd"},{"line":"x"},{"line":true},{"line":9,"confidence":null},7,"s"]}')
-    assert [(r["line"], r["anchors_ok"]) for r in got] == [(2, True), (1, True), (2, True), (None, False), (None, False), (9, False)]
+    assert [(r["line"], r["anchors_ok"]) for r in got] == [(2, True), (1, True), (2, True), (None, False), (1, True), (9, False)]
     a = got[0]
     assert (a["rule_id"], a["title"], a["category"], a["severity"], a["sev_rank"], a["file"], a["evidence"], a["confidence"], a["source"]) == ("LLM-SEC", "a", "security", "high", 0, "f0.py", "e", 1.0, "llm")
     b = got[2]
@@ -50,3 +50,10 @@ def test_shapes_and_limits(spark):
     assert (len(got[2]["title"]), len(got[2]["suggestion"])) == (80, 500)
     answers = spark.createDataFrame([("d", 0, "no json"), ("d", 1, "[]")], "diff_id string, shard_no int, text string")
     assert [r["shard_no"] for r in decode.unreadable(answers).collect()] == [0]
+
+
+def test_findings_that_are_no_list_hide_comments(spark):
+    """What is said in `findings` counts, even if it is no list; what counts as nothing gives way to `comments`."""
+    texts = ['{"findings":%s,"comments":[{"line":2}]}' % x for x in ('"none"', '{"a":1}', "3", "true", "null", '""', "0", "0.0", "false", "{}", "[]")]
+    assert [r["file"] for r in coerced(spark, *texts)] == [f"f{i}.py" for i in range(4, 11)]
+    assert [r["confidence"] for r in coerced(spark, '[{"confidence":true},{"confidence":false},{"confidence":"x"}]')] == [1.0, 0.0, 0.5]

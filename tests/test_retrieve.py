@@ -104,3 +104,12 @@ def test_search_and_context(spark):
     hits = spark.createDataFrame([(1, 1, "src", "", "a" * 500), (1, 2, "s", "H", "b" * 390), (1, 3, "s", "H", "c" * 390), (1, 4, "s", "H", "d" * 3)], "query_id int, rank int, source string, heading string, text string")
     assert retrieve.context(hits).first()["context"] == "[src]\n" + "a" * 400 + "…\n\n[H]\n" + "b" * 390 + "\n\n[H]\n" + "c" * 390
     assert tuple(retrieve.index_stats(ix).first())[0] == 4
+
+
+def test_headings_are_searched_by_vectors_and_chunks_are_counted_over_the_store(spark):
+    ix = index(spark, "# Zebra crossing\nwalk slowly and look to both sides", "# Other\nnothing of the kind is written here at all\n\nand a second chunk of some length")
+    q = spark.createDataFrame([(1, "zebra crossing")], "query_id int, text string")
+    got = retrieve.search(q, ix, "vector", 3).orderBy("rank").collect()
+    assert got[0]["heading"] == "Zebra crossing" and got[0]["score"] > got[1]["score"]
+    same = spark.createDataFrame([(i, "inline", "a chunk that is long enough to stay") for i in range(3)], "doc_ord int, source string, text string")
+    assert sorted(r["chunk_id"] for r in retrieve.chunks(same).collect()) == ["inline#0", "inline#1", "inline#2"]

@@ -75,7 +75,7 @@ def test_heuristics_and_their_vetoes(spark):
 def test_stand_in_answers_every_prompt(spark):
     df = spark.createDataFrame([("d", 0, "1: +x = requests.get(u)"), ("d", 1, "nothing")], "diff_id string, shard_no int, prompt string")
     got = {r["shard_no"]: r for r in semantics.stand_in(df).collect()}
-    assert got[1]["text"] == '{"findings":[]}' and '"line":1' in got[0]["text"] and got[1]["prompt_tokens"] == 3
+    assert got[1]["text"] == '{"findings":[]}' and '"line":1' in got[0]["text"] and got[1]["prompt_tokens"] == int(len(f"{shards.SYSTEM}\nnothing") / 3.5) + 1
     assert tuple(semantics.mock_cost(semantics.stand_in(df)).first())[:2] == ("d", 2)
 
 

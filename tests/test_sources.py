@@ -114,7 +114,18 @@ def test_retries():
             raise Failed(left.pop())
         return "ok"
 
-    assert sinks.with_retries(call, sleep=pauses.append) == "ok" and pauses == [0.8, 1.6]
+    assert sinks.with_retries(call, sleep=pauses.append, spread=lambda: 1.0) == "ok" and pauses == [0.8, 1.6]
     with pytest.raises(Failed):
         sinks.with_retries(lambda: (_ for _ in ()).throw(Failed(401)), sleep=pauses.append)
     assert len(pauses) == 2
+    left, pauses = [524], []
+    assert sinks.with_retries(call, sleep=pauses.append) == "ok" and 0.4 <= pauses[0] <= 0.8
+
+
+def test_documents_are_read_by_their_whole_path(spark, tmp_path):
+    names = ["docs/a.md", "x/docs/a.md", "sp ace/b c.md", "odd[1]{x}.md"]
+    for i, n in enumerate(names):
+        (tmp_path / n).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / n).write_text(f"text {i}")
+    found = diffs.doc_files(spark, [str(tmp_path / n) for n in (*names, names[0])]).collect()
+    assert sorted((r["doc_ord"], r["text"]) for r in found) == [(i, f"text {i}") for i in range(4)]
