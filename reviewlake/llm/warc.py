@@ -184,9 +184,11 @@ def _below(level: DataFrame, suspect: DataFrame, bits: int, col: str) -> DataFra
 def page_archive(pages: DataFrame, per_file: int = 500, keep: bool = True) -> DataFrame:
     """Pages as laid-out WARC records: page_id, file, offset, length, sha and, if
     it is to be kept, content.
-    A file holds the pages of `per_file` consecutive ids."""
+    A file holds the pages of `per_file` consecutive ids; pages without an id are
+    dealt over 256 files by their address."""
     number = F.floor(F.col("page_id") / per_file)
-    file = F.coalesce(F.format_string("pages-%06d", number), F.lit("pages-none"))
+    none = F.concat(F.lit("pages-none-"), F.substring(F.md5(F.coalesce("url", F.lit("")).cast("binary")), 1, 2))
+    file = F.when(number.isNull(), none).otherwise(F.format_string("pages-%06d", number))
     digest = F.md5(F.concat_ws("|", F.col("page_id").cast("string"), F.coalesce("url", F.lit(""))).cast("binary"))
     content = response_record(F.concat(F.lit("md5:"), digest), F.coalesce("url", F.lit("")), F.coalesce("html", F.lit("")))
     return laid_out(pages.select("page_id", file.alias("file"), content.alias("content")), "file", "content", ["page_id"], keep)
@@ -201,11 +203,11 @@ def damaged(pages: DataFrame) -> DataFrame:
 
 PAGES_SQL = r"""
 WITH r AS (
-  SELECT page_id, printf('pages-%06d', CAST(floor(page_id / 500) AS BIGINT)) AS file,
-    'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:md5:' || md5(page_id || '|' || coalesce(url, '')) || '>' || chr(13) || chr(10)
+  SELECT page_id, CASE WHEN page_id IS NULL THEN 'pages-none-' || substr(md5(coalesce(url, '')), 1, 2) ELSE printf('pages-%06d', CAST(floor(page_id / 500) AS BIGINT)) END AS file,
+    'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:md5:' || md5(concat_ws('|', page_id, coalesce(url, ''))) || '>' || chr(13) || chr(10)
     || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10) || 'Content-Type: text/html; charset=utf-8' || chr(13) || chr(10) || 'Content-Length: ' || strlen(coalesce(html, ''))
     || chr(13) || chr(10) || chr(13) || chr(10) || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10) AS content,
-    page_id % 97 = 5 AND length(html) > 0 AND unicode(html) < 128 AS hit
+    coalesce(page_id % 97 = 5 AND length(html) > 0 AND unicode(html) < 128, FALSE) AS hit
   FROM pages)
 SELECT page_id, file, CAST(coalesce(sum(strlen(content)) OVER (PARTITION BY file ORDER BY page_id, sha256(content) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS "offset",
   strlen(content) AS length, sha256(content) AS sha256, CASE WHEN hit THEN 'differs' ELSE 'intact' END AS status

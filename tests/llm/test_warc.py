@@ -2,7 +2,7 @@ import gzip
 
 from pyspark.sql import functions as F
 
-from reviewlake.llm.warc import audit, damaged, laid_out, page_archive, read_warc, record_hashes, records, write_warc
+from reviewlake.llm.warc import PAGES_SQL, audit, damaged, laid_out, page_archive, read_warc, record_hashes, records, write_warc
 
 PAGES = "page_id long, url string, html string"
 
@@ -54,3 +54,17 @@ def test_drill(spark):
     found = audit(x, y)
     assert found.count() == 2 and {r["status"] for r in found.collect()} == {"differs"}
     assert laid_out(spark.createDataFrame([("f", "é", 1), ("f", "b", 1)], "file string, content string, length int"), "file", "content", ["length"]).agg(F.max("offset")).first()[0] in (1, 2)
+
+
+def test_pages_without_an_id_are_dealt_over_files(spark):
+    import duckdb
+
+    rows = [(None, f"http://h/{i}", f"<p>{i}") for i in range(60)] + [(5, "u", "x"), (5, "u", "x"), (7, None, None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = page_archive(df).select("page_id", "file", "offset", "length", F.col("sha").alias("sha256")).toPandas()
+    assert len(set(got["file"])) > 20 and len(got) == len(rows)
+    con = duckdb.connect()
+    con.register("pages", df.toPandas().astype({"page_id": "Int64"}))
+    want = con.execute(PAGES_SQL).df()
+    key = lambda x: sorted(zip(x["file"], x["offset"], x["length"], x["sha256"]))
+    assert key(got) == key(want)
