@@ -97,13 +97,16 @@ def by_category(findings: DataFrame) -> DataFrame:
     return findings.groupBy("diff_id", "category").agg(F.array_sort(F.collect_list("finding_seq")).alias("findings"), F.count(F.lit(1)).alias("n"))
 
 
-def facets(findings: DataFrame, severity: str | None = None, category: str | None = None, text: str = "") -> DataFrame:
-    """Findings of a severity, of a category, with a text in title, file or rule."""
+def facets(findings: DataFrame, severity: str | None = None, category: str | None = None, text: str = "", source: str | None = None) -> DataFrame:
+    """Findings of a severity, of a category, with a text in title, file or rule, of
+    a source (`rule` or `llm`)."""
     out = findings
     if severity:
         out = out.filter(F.col("severity") == severity)
     if category:
         out = out.filter(F.col("category") == category)
+    if source:
+        out = out.filter(F.col("source") == source)
     if text.strip():
         out = out.filter(F.contains(F.lower(F.concat_ws(" ", "title", "file", "rule_id")), F.lit(text.strip().lower())))
     return out

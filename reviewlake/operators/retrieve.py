@@ -7,12 +7,14 @@ import math
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from reviewlake.functions.text import hash_features, search_tokens, strip
 from reviewlake.plans.numbering import starts
+from reviewlake.plans.storage import forget, stored
+from reviewlake.sources.diffs import doc_files, inline_docs
 
 # BM25's k1 and b, the least chunk, RRF's constant.
 K1, B, LEAST_CHUNK, RRF_K = 1.5, 0.75, 24, 60
@@ -192,6 +194,54 @@ def search(queries: DataFrame, index: DataFrame, backend: str = "bm25", k: int =
     return (sparse if backend == "bm25" else dense)(k).select("query_id", *key, "score", "rank")
 
 
+def guarded(queries: DataFrame, index: DataFrame, backend: str = "bm25", k: int = 3) -> tuple[DataFrame, str]:
+    """(hits, note) of a search.  The hits are written, so that a failure of the
+    vectors shows here: then hybrid goes on with BM25 alone, vector has no hits, and
+    the note (else empty) says why.  A failure of BM25 is raised."""
+    if backend == "bm25":
+        return search(queries, index, backend, k), ""
+    try:
+        return stored(search(queries, index, backend, k)), ""
+    except ValueError:
+        raise
+    except Exception as e:  # noqa: BLE001  whatever the vectors' job failed by
+        sparse = search(queries, index, "bm25", k)
+        return (sparse if backend == "hybrid" else sparse.filter(F.lit(False))), f"{type(e).__name__}: {str(e)[:300]}"
+
+
+def bm25_store(spark: SparkSession, paths: list[str] = (), inline: list[tuple[str, str]] = ()) -> DataFrame:
+    """The chunks of files, then of texts, for BM25 alone."""
+    files = doc_files(spark, list(paths))
+    given = inline_docs(spark, list(inline)).withColumn("doc_ord", F.col("doc_ord") + len(paths))
+    return chunks(files.unionByName(given))
+
+
+def add_vectors(index: DataFrame, path: str, instance: str) -> int:
+    """Adds the chunks that an instance's table at path has not yet, and returns
+    how many.  An instance sees its own rows alone; chunks are told apart by source,
+    heading and text, so what was added before is neither hashed nor written again."""
+    key = ["source", "heading", "text"]
+    fresh = index.select(*key, whole_text().alias("_whole")).dropDuplicates(key)
+    old = vectors_of(index.sparkSession, path, instance)
+    if old is not None:
+        fresh = fresh.join(old.select(*key), key, "left_anti")
+    fresh = stored(fresh)
+    n = fresh.count()
+    if n:
+        hashed_vectors(fresh, "_whole").drop("_whole").withColumn("instance", F.lit(instance)).write.mode("append").partitionBy("instance").parquet(path)
+    forget(fresh)
+    return n
+
+
+def vectors_of(spark: SparkSession, path: str, instance: str) -> DataFrame | None:
+    """(source, heading, text, vec) of one instance, None where there is no table."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place):
+        return None
+    schema = "source string, heading string, text string, vec array<double>, instance string"
+    return spark.read.schema(schema).parquet(path).filter(F.col("instance") == instance).drop("instance")
+
+
 def brief(text: Column, most: int = 400) -> Column:
     t = strip(text)
     return F.when(F.length(t) <= most, t).otherwise(F.concat(F.left(t, F.lit(most)), F.lit("…")))
