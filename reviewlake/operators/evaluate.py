@@ -47,3 +47,20 @@ def summary(results: DataFrame) -> DataFrame:
         _share(F.col("kept"), F.col("kept") + F.col("dropped"), 1.0).alias("anchor_valid_rate"),
         _share(F.col("semantic_hits"), F.col("semantic_cases"), None).alias("semantic_rate"),
     )
+
+
+def case_line() -> Column:
+    """A case's row of the table, of case_results' columns: expected, hit, missed,
+    findings by rules and by the model, dropped, and the semantic hit (`-` where none
+    is expected)."""
+    semantic = F.when(~F.col("semantic") | F.col("negative"), "-").when(F.col("llm_findings") > 0, "yes").otherwise("no")
+    tag = F.when(F.col("negative"), " [clean]").when(F.col("heldout"), " [held out]").otherwise("")
+    counts = [F.col("n_expect"), F.size("hit"), F.size("missed"), F.col("rule_findings"), F.col("llm_findings"), F.col("dropped")]
+    return F.format_string("%-24s" + "%6d" * len(counts) + "  %s%s", F.col("case_id"), *counts, semantic, tag)
+
+
+def write_results(results: DataFrame, path: str) -> None:
+    """The summary, the cases and their table below path, as JSON lines and text."""
+    summary(results).write.mode("overwrite").json(f"{path}/summary")
+    results.write.mode("overwrite").json(f"{path}/results")
+    results.select(case_line().alias("value")).write.mode("overwrite").text(f"{path}/table")

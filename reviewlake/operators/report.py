@@ -43,6 +43,13 @@ def summary_line() -> Column:
     )
 
 
+def shares() -> Column:
+    """struct<high, medium, low>: their parts in per cent of all three; null without any."""
+    names = ("high", "medium", "low")
+    whole = F.col("n_high") + F.col("n_medium") + F.col("n_low")
+    return F.struct(*(F.try_divide(F.col(f"n_{s}") * 100.0, whole).alias(s) for s in names))
+
+
 def _icon(severity: Column) -> Column:
     out = F.lit("")
     for name, icon in ICONS.items():
@@ -105,11 +112,13 @@ def pr_comment(most: int = 10) -> Column:
     )
 
 
-def json_report() -> Column:
-    """Everything, confidence to 3 decimals, with whether a finding can be posted."""
+def json_report(generated_at: str = "") -> Column:
+    """Everything, confidence to 3 decimals, with whether a finding can be posted;
+    without generated_at the time of the query."""
+    when = F.lit(generated_at) if generated_at else F.date_format(F.current_timestamp(), "yyyy-MM-dd HH:mm:ss")
     own = F.transform("findings", lambda x: F.struct(*(x[c].alias(c) for c in ("rule_id", "title", "category", "severity", "file", "line", "evidence", "suggestion")), F.round(x["confidence"], 3).alias("confidence"), x["source"].alias("source"), (x["line"].isNotNull() & x["anchors_ok"]).alias("actionable")))
     verdict = F.struct("block", "total", F.struct(*(F.col(f"n_{s}").alias(s) for s in SEV_RANK)).alias("by_severity"))
-    return F.to_json(F.struct("pr_title", "pr_url", verdict.alias("verdict"), F.struct(*COUNTERS, "total_tokens").alias("stats"), own.alias("findings"), "errors"), {"ignoreNullFields": "false"})
+    return F.to_json(F.struct(when.alias("generated_at"), "pr_title", "pr_url", verdict.alias("verdict"), F.struct(*COUNTERS, "total_tokens").alias("stats"), own.alias("findings"), "errors"), {"ignoreNullFields": "false"})
 
 
 def console() -> Column:

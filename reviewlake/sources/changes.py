@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # The media type of a diff, and a repository's own guides in the order they are tried.
@@ -36,6 +36,22 @@ def media_diffs(answers: DataFrame, details: DataFrame) -> DataFrame:
     return named.select(F.col("change_id").alias("diff_id"), "diff_text", *(F.coalesce(c, F.lit("")).alias(c) for c in ("pr_title", "pr_url")))
 
 
+def listed_files(pages: DataFrame, per_page: int = 100) -> DataFrame:
+    """pages(diff_id, page, body) -> listing(diff_id, at, filename, patch), as
+    `from_file_list` takes it; body is a page's JSON array.
+
+    Pages are read up to the first of fewer than per_page files, an empty one or one
+    that is no array counting as such.  A file without filename or patch has its
+    path or diff instead."""
+    files = F.from_json("body", "array<struct<filename string, path string, patch string, diff string>>")
+    each = pages.select("diff_id", "page", files.alias("_files")).withColumn("_short", (F.coalesce(F.size("_files"), F.lit(0)) < per_page).cast("int"))
+    before = Window.partitionBy("diff_id").orderBy("page").rowsBetween(Window.unboundedPreceding, -1)
+    kept = each.withColumn("_ended", F.coalesce(F.max("_short").over(before), F.lit(0))).filter(F.col("_ended") == 0)
+    rows = kept.select("diff_id", "page", F.posexplode("_files").alias("_no", "f"))
+    at = F.struct("page", "_no").alias("at")
+    return rows.select("diff_id", at, F.coalesce("f.filename", "f.path").alias("filename"), F.coalesce("f.patch", "f.diff").alias("patch"))
+
+
 def quoted_path(path: Column) -> Column:
     """A path as part of an address: all but letters, digits, `_.-~/` in per cent."""
     out = F.url_encode(path)

@@ -3,8 +3,8 @@ import urllib.parse
 import pytest
 from pyspark.sql import functions as F
 
-from reviewlake.operators import gates, retrieve
-from reviewlake.sources import changes
+from reviewlake.operators import diff, gates, retrieve
+from reviewlake.sources import changes, diffs
 
 
 def test_details_and_diffs(spark):
@@ -82,3 +82,12 @@ def test_failing_vectors_leave_bm25(spark, monkeypatch):
 def test_source_filter(spark):
     rows = spark.createDataFrame([(1, "rule"), (2, "llm")], "finding_seq int, source string")
     assert [r[0] for r in gates.facets(rows, source="llm").collect()] == [2]
+
+
+def test_pages_are_read_to_the_first_short_one(spark):
+    file = '{"filename": "%s", "patch": "@@ -0,0 +1 @@\\n+x"}'
+    two = lambda a, b: "[" + file % a + "," + file % b + "]"
+    rows = [("d", 1, two("a", "b")), ("d", 2, '[{"path": "c", "diff": "@@ -0,0 +1 @@\\n+y"}]'), ("d", 3, two("e", "f")), ("g", 1, "[]"), ("g", 2, two("h", "i")), ("k", 1, "broken"), ("m", 1, None)]
+    got = changes.listed_files(spark.createDataFrame(rows, "diff_id string, page int, body string"), per_page=2)
+    assert [(r["diff_id"], r["filename"]) for r in got.orderBy("at").collect()] == [("d", "a"), ("d", "b"), ("d", "c")]
+    assert [r["path"] for r in diff.parse_files(diffs.from_file_list(got)).collect()] == ["a", "b", "c"]
