@@ -19,7 +19,7 @@ from reviewlake.plans.registry import register
 from reviewlake.plans.review import Settings, mock_responder, review
 from reviewlake.plans.storage import stored
 from reviewlake.sources import diffs as sources
-from reviewlake.sources import settings
+from reviewlake.sources import changes, settings
 
 SNIPPETS = (
     "import os", "x = 1", 'cur.execute("SELECT * FROM t WHERE id=" + key)', 'cur.execute(f"DELETE FROM t WHERE id={key}")', "os.system(cmd)", "# os.system(cmd) is forbidden",
@@ -174,7 +174,7 @@ def rule_scan_all(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register(FOUND + "SELECT rule_id, count(*) AS hits, count(DISTINCT path) AS files FROM found GROUP BY rule_id")
 def rule_counts(spark: SparkSession, sf_dir: str, rules: tuple = PLAIN) -> DataFrame:
-    """O-66."""
+    """O-66: findings by rule, counted from the findings themselves."""
     return code_findings(spark, sf_dir, rules).groupBy("rule_id").agg(F.count(F.lit(1)).alias("hits"), F.count_distinct("file").alias("files"))
 
 
@@ -305,7 +305,7 @@ def severity_hist(spark: SparkSession, sf_dir: str, rules: tuple = PLAIN) -> Dat
 
 @register(FOUND + SECOND + "SELECT CAST(o AS VARCHAR) AS diff_id, bool_or(severity = 'high') AS block, CASE WHEN bool_or(severity = 'high') THEN 1 ELSE 0 END AS exit_code FROM capped GROUP BY o")
 def verdict(spark: SparkSession, sf_dir: str, rules: tuple = PLAIN) -> DataFrame:
-    """O-52, O-121, O-135, O-147."""
+    """O-52, O-121, O-135."""
     return gates.verdict(capped(spark, sf_dir, rules)).withColumn("exit_code", gates.exit_code(F.col("block"), True, F.lit(0), F.lit(1)))
 
 
@@ -323,7 +323,7 @@ def by_category(spark: SparkSession, sf_dir: str, rules: tuple = PLAIN) -> DataF
 
 @register(FOUND + SECOND + "SELECT CAST(o AS VARCHAR) AS diff_id, path AS file, n AS line, rule_id FROM capped WHERE severity = 'high' AND category = 'security' AND contains(lower(title || ' ' || path || ' ' || rule_id), 'sec10')")
 def facet_filter(spark: SparkSession, sf_dir: str, rules: tuple = PLAIN) -> DataFrame:
-    """O-54, O-146."""
+    """O-146."""
     return gates.facets(capped(spark, sf_dir, rules), "high", "security", " SEC10 ").select("diff_id", "file", "line", "rule_id")
 
 
@@ -419,7 +419,7 @@ def cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register("WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings), cs AS (SELECT q.vec_id AS query_id, e.vec_id, round(list_cosine_similarity(q.v, e.v), 6) AS score FROM e q, e WHERE q.vec_id % 50 = 0 AND e.label = 3), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM cs) SELECT query_id, vec_id, score, rank FROM r WHERE rank <= 5")
 def cosine_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """O-104, O-105: an index of one instance (a label), filtered before it is searched."""
+    """O-105: vectors of one label alone, filtered before they are searched."""
     vectors = load(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding").alias("vec"))
     queries = vectors.filter(F.col("vec_id") % 50 == 0).select(F.col("vec_id").alias("query_id"), "vec")
     return retrieve.nearest(queries, vectors.filter("label = 3"), ["vec_id"], 5).select("query_id", "vec_id", "score", "rank")
@@ -652,3 +652,19 @@ for _query in (rule_counts, fingerprints, merge_corroborate, merged_duplicates,
     of_all_rules(_query)
 
 registry.FLAGSHIP = registry.QUERIES["review_rules_all"]
+
+
+@register("""SELECT CAST(l_orderkey AS VARCHAR) AS change_id, CAST(l_linenumber AS VARCHAR) AS path, bool_or(l_quantity <= 25) AS there FROM lineitem GROUP BY ALL""")
+def path_probes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O-07: lines of an order as paths; small quantities were found, others gave 404."""
+    lines = load(spark, sf_dir, "lineitem").select(F.col("l_orderkey").cast("string").alias("change_id"), F.col("l_linenumber").cast("string").alias("path"), F.when(F.col("l_quantity") <= 25, 200).otherwise(404).alias("status"))
+    return changes.has_path(lines.select("change_id", "path").distinct(), lines)
+
+
+@register("""SELECT CAST(o_custkey AS VARCHAR) AS session, CAST(o_orderkey AS BIGINT) AS id, 'tools/call' AS method, CASE o_orderstatus WHEN 'F' THEN 'ok' WHEN 'O' THEN 'error' ELSE 'no answer' END AS status, CASE WHEN o_orderstatus = 'F' THEN '{"of":"' || o_orderpriority || '"}' END AS result, CASE WHEN o_orderstatus = 'O' THEN '{"message":"open"}' END AS error FROM orders""")
+def rpc_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """O-09: an order is a request of its customer's session; filled ones are
+    answered, open ones refused, and of the others there is only a line that isn't JSON."""
+    orders = load(spark, sf_dir, "orders").select(F.col("o_custkey").cast("string").alias("session"), F.col("o_orderkey").cast("long").alias("id"), "o_orderstatus", "o_orderpriority")
+    said = F.when(F.col("o_orderstatus") == "F", F.format_string('{"id":%d,"result":{"of":"%s"}}', "id", "o_orderpriority")).when(F.col("o_orderstatus") == "O", F.format_string('{"id":%d,"error":{"message":"open"}}', "id")).otherwise("working on it")
+    return changes.rpc_answers(orders.select("session", "id", F.lit("tools/call").alias("method")), orders.select("session", F.col("id").alias("at"), said.alias("line")))
