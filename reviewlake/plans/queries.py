@@ -13,11 +13,12 @@ from pyspark.sql import functions as F
 from reviewlake.functions import catalog
 from reviewlake.functions.text import comment_start, hash_features, search_tokens, suffix_of, token_estimate
 from reviewlake.operators import decode, diff, evaluate, gates, report, retrieve, scan, semantics, shards
-from reviewlake.plans import registry
+from reviewlake.plans import registry, twins
 from reviewlake.plans.numbering import starts
 from reviewlake.plans.registry import register
 from reviewlake.plans.review import Settings, mock_responder, review
 from reviewlake.plans.storage import stored
+from reviewlake.plans.twins import quoted
 from reviewlake.sources import diffs as sources
 from reviewlake.sources import changes, settings
 
@@ -29,6 +30,14 @@ SNIPPETS = (
     "    out += 'x'", "items = Model.objects.all()", "rows = q.limit(5).all()", 'url = "http://a//b#c"  # not a comment mark', "total = a / count", "session.commit()", "def g(user_id, amount):",
     "cache[key] = value", "algorithms=['none']", "allow_origins=['*']",
 )
+#: Further lines for the queries that use all rules: each rule is hit, by a line
+#: alone or by a frame, and what looks like a hit and isn't stands beside it.
+WIDE = SNIPPETS + (
+    "exec.Command(name)", "my.exec.Command(name)", "commands.getoutput('ls')", "eval('')", "eval( '' )", "eval('a' + b)", "new Function(body)", "yaml.load(stream)", "yaml.load(stream, Loader=yaml.SafeLoader)", "new ObjectInputStream (in)",
+    "page = jinja2.Template(source)", "page = jinja2.Template('')", "render_template_string(page)", "SELECT * FROM users", "SELECT * FROM users LIMIT 5", "docs.find({})", "for (const u of us) { db.query(u) }", "while (more) { s += 'x' }", "async def go(): time.sleep(1)",
+    "async def wait():", "    time.sleep(2)", "for (i of a) { c = new HttpClient()", "for (a of x) { for (b of y) { if (z.includes(b)) {", "} catch (e) { }", "    pattern = re.compile(p)", "for row in rows: ", "    name = name + 'x'", "    for y in ys:", "        if x.id == y.id:",
+    "verify_signature: False", "jwt.decode(token, verify=False)", "raise NotImplementedError()", "open(os.path.join(root, filename))", "conn.commit()", "with conn.transaction():", "r = requests.get(url, timeout=3)", "if count == 0: count = 1", "mean = total / n", "global registry", "-- ratio = a / len(b)",
+)
 SUFFIXES = (".py", ".js", ".java", ".go")
 
 
@@ -36,13 +45,9 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def quoted(s: str) -> str:
-    return "'" + s.replace("'", "''") + "'"
-
-
-def code_diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def code_diffs(spark: SparkSession, sf_dir: str, snippets: tuple[str, ...] = SNIPPETS) -> DataFrame:
     """diffs of one new file an order."""
-    text = F.element_at(F.array(*map(F.lit, SNIPPETS)), (F.col("l_partkey") % len(SNIPPETS) + 1).cast("int"))
+    text = F.element_at(F.array(*map(F.lit, snippets)), (F.col("l_partkey") % len(snippets) + 1).cast("int"))
     lines = load(spark, sf_dir, "lineitem").select("l_orderkey", F.struct("l_linenumber", "l_partkey", text.alias("t")).alias("x"))
     files = lines.groupBy("l_orderkey").agg(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["t"]).alias("own"))
     return files.select(F.col("l_orderkey").cast("string").alias("diff_id"), new_file(code_path(F.col("l_orderkey")), F.col("own")).alias("diff_text"), F.lit("").alias("pr_title"), F.lit("").alias("pr_url"))
@@ -67,11 +72,16 @@ def document_diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: Rules without look-around, which the twin's engine has not.
 PLAIN = tuple(r for r in catalog.RULES if not r.needs_context and r.rule_id not in ("SEC102", "SEC104", "SEC105", "SEC114", "PERF204"))
 
-LINES_SQL = (
-    "snip(k, t) AS (VALUES " + ", ".join(f"({i}, {quoted(s)})" for i, s in enumerate(SNIPPETS)) + "), "
-    "code AS (SELECT l_orderkey AS o, 'svc/o' || l_orderkey || ['" + "','".join(SUFFIXES) + f"'][l_orderkey % {len(SUFFIXES)} + 1] AS path, ['" + "','".join(SUFFIXES) + f"'][l_orderkey % {len(SUFFIXES)} + 1] AS ext, "
-    f"row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS n, t FROM lineitem JOIN snip ON k = l_partkey % {len(SNIPPETS)})"
-)
+def lines_sql(snippets: tuple[str, ...]) -> str:
+    """CTE `code`: the lines of code_diffs."""
+    return (
+        "snip(k, t) AS (VALUES " + ", ".join(f"({i}, {quoted(s)})" for i, s in enumerate(snippets)) + "), "
+        "code AS (SELECT l_orderkey AS o, 'svc/o' || l_orderkey || ['" + "','".join(SUFFIXES) + f"'][l_orderkey % {len(SUFFIXES)} + 1] AS path, ['" + "','".join(SUFFIXES) + f"'][l_orderkey % {len(SUFFIXES)} + 1] AS ext, "
+        f"row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS n, t FROM lineitem JOIN snip ON k = l_partkey % {len(snippets)})"
+    )
+
+
+LINES_SQL = lines_sql(SNIPPETS)
 
 
 def _twin(regex: str) -> str:
@@ -106,10 +116,20 @@ def rules_sql() -> str:
 
 
 FOUND = f"WITH {LINES_SQL}, {rules_sql()} "
+#: By all rules, over the wider lines.
+FOUND_ALL = f"WITH {lines_sql(WIDE)}, {twins.found_sql(comment_sql())} "
+#: The review of the wider lines, the heuristics for a model, two findings a file.
+REVIEWED = FOUND_ALL + f", {twins.heuristics_sql()}, {twins.review_sql(2)} "
+MADE_AT = "2024-01-01 00:00:00"
+
+
+def lines_of(rules: tuple) -> tuple[str, ...]:
+    """The lines that queries by PLAIN, or by all rules, are asked of."""
+    return SNIPPETS if rules is PLAIN else WIDE
 
 
 def code_findings(spark: SparkSession, sf_dir: str, rules: tuple = PLAIN) -> DataFrame:
-    files = diff.review_targets(diff.parse_files(code_diffs(spark, sf_dir)))
+    files = diff.review_targets(diff.parse_files(code_diffs(spark, sf_dir, lines_of(rules))))
     return scan.scan(diff.file_lines(files), rules)
 
 
@@ -166,7 +186,7 @@ def rule_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return code_findings(spark, sf_dir).select("diff_id", "rule_id", "file", "line", "severity", "confidence", "evidence")
 
 
-@register()
+@register(FOUND_ALL + "SELECT CAST(o AS VARCHAR) AS diff_id, rule_id, path AS file, n AS line, evidence FROM found")
 def rule_scan_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All 28 rules, those with frames and look-around too (O-44, O-59, O-60)."""
     return code_findings(spark, sf_dir, catalog.RULES).select("diff_id", "rule_id", "file", "line", "evidence")
@@ -224,21 +244,28 @@ def second_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-SECOND = (
-    ", second AS (SELECT DISTINCT l_orderkey AS o, 'svc/o' || l_orderkey || ['" + "','".join(SUFFIXES) + f"'][l_orderkey % {len(SUFFIXES)} + 1] AS path, l_linenumber - 1 AS n, CASE l_orderkey % 3 WHEN 0 THEN 'high' WHEN 1 THEN 'low' ELSE 'info' END AS severity, "
-    "CASE l_orderkey % 3 WHEN 0 THEN 0 WHEN 1 THEN 2 ELSE 3 END AS sev_rank FROM lineitem WHERE l_linenumber % 3 = 0), "
-    "anchored AS (SELECT * FROM second s WHERE EXISTS (SELECT 1 FROM code c WHERE c.o = s.o AND c.n = s.n)), "
-    "both_kinds AS (SELECT o, path, n, rule_ord, rule_id, title, category, severity, sev_rank, confidence, FALSE AS llm FROM found UNION ALL SELECT o, path, n, 1000, 'LLM-SEC', 'model', 'security', severity, sev_rank, CAST(0.95 AS DOUBLE), TRUE FROM anchored), "
-    "grouped AS (SELECT *, row_number() OVER w AS pick, count(*) OVER g AS size, bool_or(llm) OVER g AND bool_or(NOT llm) OVER g AS corroborated FROM both_kinds WINDOW g AS (PARTITION BY o, path, n, category), w AS (PARTITION BY o, path, n, category ORDER BY llm, confidence DESC, rule_ord)), "
-    "merged AS (SELECT o, path, n, rule_ord, rule_id, title, category, severity, sev_rank, CASE WHEN corroborated THEN least(1.0, confidence + 0.1) ELSE confidence END AS confidence, corroborated, size, llm FROM grouped WHERE pick = 1), "
-    "floored AS (SELECT * FROM merged WHERE sev_rank <= 2), "
-    "capped AS (SELECT * FROM floored QUALIFY row_number() OVER (PARTITION BY o, path ORDER BY sev_rank, confidence DESC, llm, n, rule_ord) <= 2) "
-)
+def second_sql(llm_ord: str, seq: str) -> str:
+    """CTEs of the second source, whose findings have llm_ord, and of the gates; seq sorts findings of one kind."""
+    return (
+        ", second AS (SELECT DISTINCT l_orderkey AS o, 'svc/o' || l_orderkey || ['" + "','".join(SUFFIXES) + f"'][l_orderkey % {len(SUFFIXES)} + 1] AS path, l_linenumber - 1 AS n, CASE l_orderkey % 3 WHEN 0 THEN 'high' WHEN 1 THEN 'low' ELSE 'info' END AS severity, "
+        "CASE l_orderkey % 3 WHEN 0 THEN 0 WHEN 1 THEN 2 ELSE 3 END AS sev_rank FROM lineitem WHERE l_linenumber % 3 = 0), "
+        "anchored AS (SELECT * FROM second s WHERE EXISTS (SELECT 1 FROM code c WHERE c.o = s.o AND c.n = s.n)), "
+        f"both_kinds AS (SELECT o, path, n, rule_ord, rule_id, title, category, severity, sev_rank, confidence, FALSE AS llm FROM found UNION ALL SELECT o, path, n, {llm_ord}, 'LLM-SEC', 'model', 'security', severity, sev_rank, CAST(0.95 AS DOUBLE), TRUE FROM anchored), "
+        "grouped AS (SELECT *, row_number() OVER w AS pick, count(*) OVER g AS size, bool_or(llm) OVER g AND bool_or(NOT llm) OVER g AS corroborated FROM both_kinds WINDOW g AS (PARTITION BY o, path, n, category), w AS (PARTITION BY o, path, n, category ORDER BY llm, confidence DESC, rule_ord)), "
+        "merged AS (SELECT o, path, n, rule_ord, rule_id, title, category, severity, sev_rank, CASE WHEN corroborated THEN least(1.0, confidence + 0.1) ELSE confidence END AS confidence, corroborated, size, llm FROM grouped WHERE pick = 1), "
+        "floored AS (SELECT * FROM merged WHERE sev_rank <= 2), "
+        f"capped AS (SELECT * FROM floored QUALIFY row_number() OVER (PARTITION BY o, path ORDER BY sev_rank, confidence DESC, llm, {seq}) <= 2) "
+    )
+
+
+SECOND = second_sql("1000", "n, rule_ord")
+#: Here rule_ord sorts by line and rule.
+SECOND_ALL = second_sql("n * 1000", "rule_ord")
 
 
 def reviewed(spark: SparkSession, sf_dir: str, rules: tuple = PLAIN) -> tuple[DataFrame, DataFrame]:
     """(all findings, those of the rules and those of the second source at added lines; merged ones)."""
-    lines = diff.file_lines(diff.review_targets(diff.parse_files(code_diffs(spark, sf_dir))))
+    lines = diff.file_lines(diff.review_targets(diff.parse_files(code_diffs(spark, sf_dir, lines_of(rules)))))
     kept, _ = gates.anchored(second_source(spark, sf_dir), diff.added_index(lines))
     found = scan.scan(lines, rules).unionByName(kept)
     return found, gates.merged(found)
@@ -497,10 +524,10 @@ def json_coerce(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decode.coerced(answers, own).select("diff_id", "rule_id", "title", "severity", "line", "confidence", "anchors_ok")
 
 
-@register()
+@register(f"WITH {lines_sql(WIDE)}, {twins.heuristics_sql()} SELECT CAST(o AS VARCHAR) AS diff_id, 0 AS shard_no, n AS line, title, severity, evidence FROM heard")
 def heuristics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O-75..O-84."""
-    cut = shards.build_shards(diff.review_targets(diff.parse_files(code_diffs(spark, sf_dir))))
+    cut = shards.build_shards(diff.review_targets(diff.parse_files(code_diffs(spark, sf_dir, WIDE))))
     asked = cut.select("diff_id", "shard_no", shards.prompt(F.lit(""), F.lit(""), F.col("text")).alias("prompt"))
     return semantics.heuristic_findings(asked).select("diff_id", "shard_no", "line", "title", "severity", "evidence")
 
@@ -596,34 +623,34 @@ def http_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def full_review(spark: SparkSession, sf_dir: str):
-    return review(code_diffs(spark, sf_dir), Settings(max_findings_per_file=2), responder=mock_responder)
+    return review(code_diffs(spark, sf_dir, WIDE), Settings(max_findings_per_file=2), responder=mock_responder)
 
 
 @register(FOUND + ", g AS (SELECT *, row_number() OVER (PARTITION BY o, path, n, category ORDER BY confidence DESC, rule_ord) AS pick FROM found), c AS (SELECT * FROM g WHERE pick = 1 QUALIFY row_number() OVER (PARTITION BY o, path ORDER BY sev_rank, confidence DESC, n, rule_ord) <= 6) SELECT CAST(o AS VARCHAR) AS diff_id, path AS file, n AS line, rule_id, severity, confidence, evidence FROM c")
 def review_rules(spark: SparkSession, sf_dir: str, rules: tuple = PLAIN) -> DataFrame:
     """The flagship: diffs to findings, by the rules alone (O-124)."""
-    return review(code_diffs(spark, sf_dir), rules=rules).findings.select("diff_id", "file", "line", "rule_id", "severity", "confidence", "evidence")
+    return review(code_diffs(spark, sf_dir, lines_of(rules)), rules=rules).findings.select("diff_id", "file", "line", "rule_id", "severity", "confidence", "evidence")
 
 
-@register()
+@register(REVIEWED + twins.FULL)
 def review_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O-122, O-124, O-125, O-137: rules, shards, the stand-in for a model, gates and counters."""
     return full_review(spark, sf_dir).bundled().select("diff_id", *report.COUNTERS, "total_tokens", "total", "block", F.array_join("errors", "; ").alias("errors"))
 
 
-@register()
+@register(REVIEWED + twins.LINES)
 def report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O-126, O-130."""
     return full_review(spark, sf_dir).bundled().select("diff_id", report.summary_line().alias("summary"), report.console().alias("console"))
 
 
-@register()
+@register(REVIEWED + twins.markdown_sql(MADE_AT))
 def report_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O-127, O-128, O-129, O-131."""
-    return full_review(spark, sf_dir).bundled().select("diff_id", report.markdown().alias("markdown"), report.pr_comment().alias("comment"), report.json_report().alias("json"))
+    return full_review(spark, sf_dir).bundled().select("diff_id", report.markdown().alias("markdown"), report.pr_comment().alias("comment"), report.json_report(MADE_AT).alias("json"))
 
 
-@register()
+@register(REVIEWED + twins.COMMENTS)
 def comment_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """O-133, O-135."""
     return report.comments(full_review(spark, sf_dir).bundled())
@@ -639,13 +666,15 @@ def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def of_all_rules(query) -> registry.Query:
-    """The query `<name>_all`: as `query`, whose twin has only the rules of PLAIN, but by all rules of the catalog."""
+    """The query `<name>_all`: as `query` and its SQL, but by all rules of the
+    catalog and over the wider lines."""
 
     def whole(spark: SparkSession, sf_dir: str) -> DataFrame:
         return query(spark, sf_dir, catalog.RULES)
 
     whole.__name__, whole.__doc__ = f"{query.__name__}_all", query.__doc__
-    return register()(whole)
+    sql = registry.ORACLES[query.__name__].replace(FOUND, FOUND_ALL).replace(SECOND, SECOND_ALL).replace("confidence DESC, n, rule_ord", "confidence DESC, rule_ord")
+    return register(sql)(whole)
 
 
 for _query in (rule_counts, fingerprints, merge_corroborate, merged_duplicates, cap_per_file, final_order, severity_hist, verdict, rule_summary, by_category, facet_filter, review_rules):
