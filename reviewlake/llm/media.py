@@ -14,6 +14,11 @@ often do; a pair of classes needs only AGREE near corners that share a key and
 agree on a transform, then all corners of the two are compared.  So a copy with
 twenty corners in common is found even if each is as likely lost as not.
 
+Near corners also have to agree in what is around them, as far as both images show
+it: unlike images share small patches by chance far more often than their
+surroundings, and so such pairs are not made at all.  The comparison of all corners
+doesn't ask for that.
+
 Members of a bucket are compared with each other if it is small.  In large ones,
 dense groups of copies are joined first with a pair a member: in each bucket the
 members near one of its classes (a star) are paired with it, in a few rounds with
@@ -43,6 +48,9 @@ RADIUS = 7
 TURNS = 32
 #: Corners match up to so many differing bits; buckets above LARGE are dealt over blocks.
 MOST_BITS, LARGE = 36, 64
+#: Words after the descriptor: half are tests around its patch, within about REACH pixels, half tell which of
+#: them count.  Of those that count in both of two corners this share, and two more, may differ.
+AROUND, REACH, MOST_AROUND = 4, 16, 0.3
 #: Class pairs of which so many near corners that share a key agree on a transform are compared whole.
 AGREE = 2
 #: A link needs this share of the places of the image that has fewer, and bins of a shift are so many pixels wide.
@@ -171,13 +179,38 @@ def _tests() -> np.ndarray:
     return np.clip(np.rint(np.stack([x, y], axis=-1)), -RADIUS, RADIUS).astype(np.int64)
 
 
-_TESTS = _tests()
+def _around() -> np.ndarray:
+    """Offsets (turn, test, end, xy) of the tests around a patch, from a fixed draw."""
+    rng, n = np.random.default_rng(64), 32 * AROUND
+    r, angle = rng.uniform(RADIUS + 1, REACH - 2, n), rng.uniform(0, 2 * np.pi, n)
+    first = np.stack([r * np.cos(angle), r * np.sin(angle)], axis=-1)
+    way, far = rng.uniform(0, 2 * np.pi, n), rng.uniform(5, 9, n)
+    second = first + np.stack([far * np.cos(way), far * np.sin(way)], axis=-1)
+    ends = np.stack([first, second], axis=1)
+    turn = np.arange(TURNS) * 2 * np.pi / TURNS
+    c, s = np.cos(turn)[:, None, None], np.sin(turn)[:, None, None]
+    return np.rint(np.stack([ends[None, ..., 0] * c - ends[None, ..., 1] * s, ends[None, ..., 0] * s + ends[None, ..., 1] * c], axis=-1)).astype(np.int64)
+
+
+_TESTS, _AROUND = _tests(), _around()
+
+
+def _context(smooth: np.ndarray, owner: np.ndarray, yy: np.ndarray, xx: np.ndarray, turn: np.ndarray) -> np.ndarray:
+    """AROUND words a corner: tests around its patch, then which of them count: those
+    with both ends in the image and a contrast that noise doesn't turn."""
+    place = _AROUND[turn]
+    y, x = yy[:, None, None] + place[..., 1], xx[:, None, None] + place[..., 0]
+    inside = ((y >= 0) & (y < smooth.shape[1]) & (x >= 0) & (x < smooth.shape[2])).all(axis=-1)
+    seen = smooth[owner[:, None, None], np.clip(y, 0, smooth.shape[1] - 1), np.clip(x, 0, smooth.shape[2] - 1)]
+    more = seen[..., 1] - seen[..., 0]
+    bits = np.stack([more > 0, inside & (np.abs(more) >= 6)], axis=1)
+    return np.packbits(bits, axis=2, bitorder="little").view("<i8").reshape(len(owner), AROUND)
 
 
 def corners(images: np.ndarray, most: int) -> tuple[np.ndarray, ...]:
     """Up to `most` corners in each cell of each scale of each of (image, height,
     width), so that their number grows with the image: image number, x, y (of
-    the full image), turn, scale number, the four words of the descriptor."""
+    the full image), turn, scale number, the words of the descriptor and those of what is around."""
     found: list[list[np.ndarray]] = []
     for k, scale in enumerate(SCALES):
         x = _resized(images, scale)
@@ -214,10 +247,11 @@ def corners(images: np.ndarray, most: int) -> tuple[np.ndarray, ...]:
         seen = smooth[owner[:, None, None], yy[:, None, None] + place[..., 1], xx[:, None, None] + place[..., 0]]
         bits = seen[..., 0] < seen[..., 1]
         words = np.packbits(bits, axis=1, bitorder="little").view("<i8")
-        found.append([owner, (xx + 0.5) / scale, (yy + 0.5) / scale, turn, np.full(len(owner), k), words])
+        around = _context(_box(x, 2), owner, yy, xx, turn)
+        found.append([owner, (xx + 0.5) / scale, (yy + 0.5) / scale, turn, np.full(len(owner), k), words, around])
     if not found:
         none = np.zeros(0, np.int64)
-        return none, none, none, none, none, np.zeros((0, 4), np.int64)
+        return none, none, none, none, none, np.zeros((0, WORDS), np.int64), np.zeros((0, AROUND), np.int64)
     return tuple(np.concatenate(parts) for parts in zip(*found))
 
 
@@ -226,11 +260,12 @@ CORNER = T.StructType([T.StructField("x", T.FloatType()), T.StructField("y", T.F
 
 def _corner_lists(own: list[tuple[np.ndarray, ...] | None]) -> pa.Array:
     """An Arrow array of CORNER lists; None stays null."""
+    own = [None if c is None else (*c[:4], np.concatenate(c[4:], axis=1)) for c in own]
     real = [c for c in own if c is not None]
-    x, y, turn, scale, words = (np.concatenate([c[k] for c in real]) if real else np.zeros((0, WORDS)[: 1 + (k == 4)]) for k in range(5))
+    x, y, turn, scale, words = (np.concatenate([c[k] for c in real]) if real else np.zeros((0, WORDS + AROUND)[: 1 + (k == 4)]) for k in range(5))
     offsets = np.concatenate(([0], np.cumsum([0 if c is None else len(c[0]) for c in own])))
     missing = np.array([c is None for c in own] + [False])
-    word_lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * WORDS, pa.int32()), pa.array(words.astype(np.int64).ravel()))
+    word_lists = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * (WORDS + AROUND), pa.int32()), pa.array(words.astype(np.int64).ravel()))
     values = pa.StructArray.from_arrays([pa.array(x.astype(np.float32)), pa.array(y.astype(np.float32)), pa.array(turn.astype(np.int32)), pa.array(scale.astype(np.int32)), word_lists], [f.name for f in CORNER])
     return pa.ListArray.from_arrays(pa.array(offsets, pa.int32(), mask=missing), values)
 
@@ -265,6 +300,15 @@ def _distance(a: Column, b: Column) -> Column:
     return sum((F.bit_count(a[i].bitwiseXOR(b[i])) for i in range(WORDS)), F.lit(0))
 
 
+def _meet(a: Column, b: Column) -> Column:
+    """Whether two descriptors are near and what is around them doesn't say otherwise."""
+    # Corners without the words of what is around them have nothing that counts.
+    word = lambda c, i: F.coalesce(F.get(c, F.lit(i)), F.lit(0).cast("long"))
+    counts = [word(a, i + AROUND // 2).bitwiseAND(word(b, i + AROUND // 2)) for i in range(WORDS, WORDS + AROUND // 2)]
+    differ = sum((F.bit_count(word(a, i).bitwiseXOR(word(b, i)).bitwiseAND(c)) for i, c in enumerate(counts, WORDS)), F.lit(0))
+    return (_distance(a, b) <= MOST_BITS) & (differ <= sum(map(F.bit_count, counts), F.lit(0)) * MOST_AROUND + 2)
+
+
 def table_keys(words: Column, tables: range = range(TABLES)) -> Column:
     """The keys of tables: the halves of the words, with their table's number above."""
     return F.array(*(F.shiftrightunsigned(words[i // 2], 32 * (i % 2)).bitwiseAND(F.lit((1 << 32) - 1)).bitwiseOR(F.lit(i << 32)) for i in tables))
@@ -349,7 +393,7 @@ def star_pairs(members: DataFrame, seed: int) -> DataFrame:
     h = F.xxhash64("c", F.lit(seed))
     centre = members.groupBy("k").agg(F.min(h).alias("h"), F.min("r").alias("lo"), F.max("r").alias("hi")).filter(F.col("lo") != F.col("hi")).select("k", "h")
     centres = _side(members.join(centre, "k").filter(h == F.col("h")).select(*MEMBER, "r"), 2)
-    found = _side(members, 1).join(centres, (F.col("k1") == F.col("k2")) & (F.col("r1") != F.col("r2")) & (_distance(F.col("words1"), F.col("words2")) <= MOST_BITS))
+    found = _side(members, 1).join(centres, (F.col("k1") == F.col("k2")) & (F.col("r1") != F.col("r2")) & _meet(F.col("words1"), F.col("words2")))
     first = F.col("c1") < F.col("c2")
     return found.select(*_meeting(), F.struct(F.when(first, F.col("n1")).otherwise(F.col("n2")).alias("x"), F.when(first, F.col("n2")).otherwise(F.col("n1")).alias("y")).alias("p"))
 
@@ -359,7 +403,7 @@ def across(members: DataFrame, large: int, hot: bool = True) -> DataFrame:
     components r, that share a key k in members(k, c, n, words, g, size, r), given
     only by the first table in which the two meet; hot tells whether any bucket
     is larger than `large`."""
-    near = (_distance(F.col("words1"), F.col("words2")) <= MOST_BITS) & (_first_table(F.col("words1"), F.col("words2")) == F.shiftright("k1", 32))
+    near = _meet(F.col("words1"), F.col("words2")) & (_first_table(F.col("words1"), F.col("words2")) == F.shiftright("k1", 32))
     small = members.filter(F.col("size") <= large).select(*MEMBER, "r")
     pairs = _side(small, 1).join(_side(small, 2), (F.col("k1") == F.col("k2")) & (F.col("c1") < F.col("c2")) & (F.col("r1") != F.col("r2")) & near).select(*_meeting())
     if not hot:

@@ -1,6 +1,6 @@
 import numpy as np
 
-from reviewlake.llm.media import MOST_BITS, SCALES, TURNS, class_roots, corners, decode, drawn, encode_png, image_copies
+from reviewlake.llm.media import MOST_BITS, SCALES, TURNS, across, class_roots, corners, decode, drawn, encode_png, image_copies
 
 RNG = np.random.default_rng(9)
 
@@ -178,3 +178,32 @@ def test_tables_against_all_pairs_of_corners(spark):
             reach[i] = reach[j] = min(reach[i], reach[j])
     assert all(reach[i] == reach[top[i]] for i in range(n))
     assert set(c for x in found for c in x[3].tolist()) <= set(range(len(SCALES)))
+
+
+def test_surroundings_keep_links_of_copies(spark):
+    """As test_tables_against_all_pairs_of_corners, with the words of what is around corners, and stronger edits."""
+    images = []
+    for i in range(10):
+        x = blobs(300 + i, 96)
+        rng = np.random.default_rng(i)
+        pasted = blobs(700 + i, 96)
+        pasted[20:84, 16:80] = x[10:74, 20:84]
+        images += [x, np.clip(x * 0.7 + 30 + rng.integers(-12, 13, x.shape), 0, 255).astype(np.uint8), np.ascontiguousarray(np.rot90(x)[8:, 5:]), pasted]
+    found = [corners(x[None].astype(np.float32), 12)[1:] for x in images]
+    n = len(images)
+    want = {(i, j) for i in range(n) for j in range(i + 1, n) if linked(found[i], found[j])}
+    rows = [(k, m, [int(w) for w in (*c[4][m], *c[5][m])], (float(c[0][m]), float(c[1][m]), int(c[2][m]), int(c[3][m]))) for k, c in enumerate(found) for m in range(len(c[0]))]
+    each = spark.createDataFrame(rows, "c long, n int, words array<long>, t struct<x:float,y:float,turn:int,scale:int>")
+    roots = {r["c"]: r["root"] for r in class_roots(each, 5).collect()}
+    top = [roots.get(i, i) for i in range(n)]
+    assert len(want) >= 30 and sum(top[i] == top[j] for i, j in want) >= 0.9 * len(want)
+
+
+def test_corners_in_unlike_surroundings_do_not_meet(spark):
+    """Equal descriptors, of which what is around differs, are no pair; what counts in one alone says nothing."""
+    words = [int(w) for w in RNG.integers(-(1 << 62), 1 << 62, 4)]
+    around = [[0, 0, -1, -1], [-1, -1, -1, -1], [-1, -1, 0, 0], [1, 0, -1, -1]]
+    rows = [(7, c, 0, words + a, 0, 4, c) for c, a in enumerate(around)] + [(7, 4, 0, words, 0, 4, 4)]
+    members = spark.createDataFrame(rows, "k long, c long, n int, words array<long>, g long, size long, r long")
+    got = {(r["a"], r["b"]) for r in across(members, 64, hot=False).collect()}
+    assert got == {(0, 2), (0, 3), (0, 4), (1, 2), (1, 4), (2, 3), (2, 4), (3, 4)}
