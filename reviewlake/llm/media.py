@@ -25,6 +25,8 @@ members near one of its classes (a star) are paired with it, in a few rounds wit
 other centres.  That only saves work: afterwards members of a bucket of which the
 components differ are all compared.  In a large bucket those outside its largest
 component are dealt over blocks for that, each of which meets all members.
+Of the class pairs that come of it, one a component is compared whole first, and then
+all whose components still differ.
 Unlike images seldom share two such corners, so few pairs read corners at all.
 """
 
@@ -422,11 +424,11 @@ def across(members: DataFrame, large: int, hot: bool = True) -> DataFrame:
 
 
 def agreeing(found: DataFrame) -> DataFrame:
-    """(a, b) of which AGREE or more corner pairs of found(a, b, v) agree on a
+    """(a, b, m) of which m corner pairs of found(a, b, v), AGREE or more, agree on a
     transform.  Most class pairs that meet by chance meet once and go first."""
     several = stored(found.groupBy("a", "b").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") >= AGREE).select("a", "b"))
     votes = found.join(several, ["a", "b"]).select("a", "b", _bins(F.col("v")).alias("bin"))
-    return votes.groupBy("a", "b", "bin").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") >= AGREE).select("a", "b").distinct()
+    return votes.groupBy("a", "b", "bin").agg(F.count(F.lit(1)).alias("m")).filter(F.col("m") >= AGREE).groupBy("a", "b").agg(F.max("m").alias("m"))
 
 
 def verified(pairs: DataFrame, each: DataFrame, least: int, share: float = SHARE) -> DataFrame:
@@ -435,7 +437,8 @@ def verified(pairs: DataFrame, each: DataFrame, least: int, share: float = SHARE
     a = each.select(F.col("c").alias("a"), F.col("words").alias("aw"), F.col("t").alias("at"))
     b = each.select(F.col("c").alias("b"), F.col("words").alias("bw"), F.col("t").alias("bt"))
     near = pairs.join(a, "a").join(b, (pairs["b"] == b["b"]) & (_distance(F.col("aw"), F.col("bw")) <= MOST_BITS)).select("a", pairs["b"], "at", "bt")
-    both = consensus(near)
+    # Dealt anew, so that Spark may split the join of a class that meets many: else votes are counted where its corners are.
+    both = consensus(near.repartition("a", "b"))
     places = each.select("c", _place(F.col("t")).alias("place")).distinct().groupBy("c").agg(F.count(F.lit(1)).alias("m"))
     enough = F.greatest(F.lit(float(least)), F.least("am", "bm") * share)
     return both.filter(F.col("votes") >= least).join(places.select(F.col("c").alias("a"), F.col("m").alias("am")), "a").join(places.select(F.col("c").alias("b"), F.col("m").alias("bm")), "b").filter(F.col("votes") >= enough).select("a", "b")
@@ -466,6 +469,34 @@ def joined(roots: DataFrame, links: DataFrame) -> DataFrame:
     return cut(lifted.unionAll(second.join(up.select("c"), "c", "left_anti").withColumnRenamed("top", "root")))
 
 
+def picked(apart: DataFrame, least: int, seed: int) -> DataFrame:
+    """(a, b): for each component of apart(a, b, m, ra, rb) one of its pairs.  Of those
+    with `least` votes, or else with most, it is the one to the class of the least hash
+    by `seed`, so that the classes of a group choose the same one."""
+    ends = F.array(*(F.struct(F.col(r).alias("r"), F.col(c).alias("to")) for r, c in (("ra", "b"), ("rb", "a"))))
+    each = apart.select("a", "b", "m", F.explode(ends).alias("end"))
+    rank = F.struct(-F.least("m", F.lit(least)), F.xxhash64("end.to", F.lit(seed)), "a", "b")
+    return each.groupBy("end.r").agg(F.min(rank).alias("one")).select("one.a", "one.b").distinct()
+
+
+def merged(roots: DataFrame, pairs: DataFrame, each: DataFrame, least: int, seed: int = 0) -> DataFrame:
+    """roots(c, root) after those of pairs(a, b, m) that agree on geometry have joined
+    their components.  Links inside of a component change nothing, so each component
+    has one pair compared first, and then all pairs between different components are."""
+    for last in (False, True):
+        up = roots.select("c", "root")
+        named = pairs.join(up.withColumnsRenamed({"c": "a", "root": "ra"}), "a", "left").join(up.withColumnsRenamed({"c": "b", "root": "rb"}), "b", "left")
+        apart = stored(named.select("a", "b", "m", F.coalesce("ra", "a").alias("ra"), F.coalesce("rb", "b").alias("rb")).filter(F.col("ra") != F.col("rb")))
+        if apart.isEmpty():
+            break
+        some = apart.select("a", "b") if last else stored(picked(apart, least, seed))
+        links = stored(verified(some, each, least))
+        if not links.isEmpty():
+            roots = joined(roots, links)
+        pairs = apart.select("a", "b", "m").join(some, ["a", "b"], "left_anti")
+    return roots
+
+
 def class_roots(each: DataFrame, least: int, large: int = LARGE, rounds: int = 2) -> DataFrame:
     """(c, root) for the classes of each(c, n, words, t), a row a corner, that
     hang together; those without a link are left out."""
@@ -476,18 +507,18 @@ def class_roots(each: DataFrame, least: int, large: int = LARGE, rounds: int = 2
     for i in range(rounds if hot else 0):
         # Components that stars have joined need no more pairs; a bucket's centre is another one in each round.
         found = stored(star_pairs(_named(crowded, roots), i))
-        links = stored(verified(stored(agreeing(found.distinct().drop("p"))), each, least))
+        pairs = stored(agreeing(found.distinct().drop("p")))
         forget(found)
-        if links.isEmpty():
+        if pairs.isEmpty():
             break  # what other centres might join is left to the comparison of all
-        roots = joined(roots, links)
+        roots = merged(roots, pairs, each, least, i)
     found = []
     for m in groups:
         found.append(across(_named(m, roots), large, hot))
         forget(m)
     pairs = stored(agreeing(union(found)))
     forget(crowded, *found)
-    return joined(roots, stored(verified(pairs, each, least)))
+    return merged(roots, pairs, each, least)
 
 
 def image_copies(df: DataFrame, image: str = "image", id_col: str = "id", most: int = 12, least: int = 5) -> DataFrame:

@@ -1,5 +1,6 @@
 import numpy as np
 
+from reviewlake.llm import media
 from reviewlake.llm.media import MOST_BITS, SCALES, TURNS, across, class_roots, corners, decode, drawn, encode_png, image_copies
 
 RNG = np.random.default_rng(9)
@@ -207,3 +208,36 @@ def test_corners_in_unlike_surroundings_do_not_meet(spark):
     members = spark.createDataFrame(rows, "k long, c long, n int, words array<long>, g long, size long, r long")
     got = {(r["a"], r["b"]) for r in across(members, 64, hot=False).collect()}
     assert got == {(0, 2), (0, 3), (0, 4), (1, 2), (1, 4), (2, 3), (2, 4), (3, 4)}
+
+
+def test_links_inside_of_components_are_not_compared(spark, monkeypatch):
+    """Forty copies with the same six corners: a pair or so for each is compared whole, not all 780, by stars or without."""
+    base = [[int(w) for w in RNG.integers(-(1 << 62), 1 << 62, 4)] for _ in range(6)]
+    rows = [(c, n, base[n], (20.0 * n + c % 3, 10.0 * n * n, 0, 0)) for c in range(40) for n in range(6)]
+    each = spark.createDataFrame(rows, "c long, n int, words array<long>, t struct<x:float,y:float,turn:int,scale:int>")
+    compared, whole = [], media.verified
+    monkeypatch.setattr(media, "verified", lambda pairs, *rest: (compared.extend(pairs.collect()), whole(pairs, *rest))[1])
+    for large in (64, 4):
+        compared.clear()
+        assert {(r["c"], r["root"]) for r in class_roots(each, 5, large).collect()} == {(c, 0) for c in range(1, 40)}
+        assert 39 <= len(compared) <= 80
+
+
+def test_merging_loses_no_link_of_pairs_that_are_not_picked(spark, monkeypatch):
+    """Whatever pairs are links, components are those of all links, and no pair is compared twice."""
+    rng = np.random.default_rng(4)
+    pairs = [(a, b, int(rng.integers(2, 9))) for a in range(60) for b in range(a + 1, 60) if rng.random() < 0.3]
+    pairs += [(100, 100 + i, 9 - (i == 20)) for i in range(1, 21)]  # the one link has the fewest votes
+    links = {(a, b) for a, b, _ in pairs if rng.random() < 0.04} - {(100, 100 + i) for i in range(1, 20)} | {(100, 120)}
+    frame = spark.createDataFrame(sorted(links), "a long, b long")
+    compared = []
+    monkeypatch.setattr(media, "verified", lambda some, *_: (compared.extend(map(tuple, some.select("a", "b").collect())), some.join(frame, ["a", "b"], "left_semi"))[1])
+    top = {c: c for p in pairs for c in p[:2]}
+    earlier = [(1, 0), (7, 0), (30, 29)]
+    for _ in top:
+        for a, b in [*links, *earlier]:
+            top[a] = top[b] = min(top[a], top[b])
+    roots = spark.createDataFrame([(a, b) for a, b in earlier] + [(0, 0), (29, 29)], "c long, root long")
+    got = {r["c"]: r["root"] for r in media.merged(roots, spark.createDataFrame(pairs, "a long, b long, m long"), None, 5).collect()}
+    assert {c: got.get(c, c) for c in top} == top
+    assert len(set(compared)) == len(compared) < len(pairs)
